@@ -48,7 +48,7 @@ def _pieces(totals, window, batches):
     total = int(sum(T)); R = -(-total // window); index = {s: i for i, s in enumerate(names)}
     for b in batches:
         rows = []
-        for doc_id, source, at, n, ids in zip(b.doc_id, b.source, b.first, b.n, b.ids):
+        for doc_id, source, at, n, ids in zip(b["doc_id"], b["source"], b["first"], b["n"], b["ids"]):
             s, j, end = index[source], int(at), int(at) + int(n)
             while j < end:
                 r = ((j + 1) * R - 1) // T[s]

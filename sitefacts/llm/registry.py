@@ -1,10 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, packing
+from . import chat, packing, simhash
 
 
 def queries():
-    return {f.__name__: f for f in (chat.op2_chat_formatting, packing.op10_packing)}
+    return {f.__name__: f for f in (chat.op2_chat_formatting, simhash.op5_simhash_near_dedup, packing.op10_packing)}
 
 
 def oracle_sql():

@@ -33,3 +33,27 @@ def test_packing_is_gapless_and_exact(spark):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
+
+
+def test_simhash_against_all_pairs(spark):
+    from sitefacts.llm import simhash
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: simhash.fingerprint(r.text) for r in docs.collect()}
+    ids, up = sorted(want), {d: d for d in want}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if i < j and (want[i] ^ want[j]).bit_count() <= 4:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    expected = {d: (f"{want[d]:016x}", top(d)) for d in ids}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op5_simhash_near_dedup(spark, SF).collect()} == expected
+    cut = simhash.near_duplicates(docs, most=3).collect()
+    assert {r.doc_id: r.component_id for r in cut} == {d: c for d, (_, c) in expected.items()}
+    one = spark.sql("SELECT xxhash64('a b c d') AS h").first().h % 2**64
+    assert simhash.fingerprint("A b\nc  D") == one
