@@ -29,7 +29,7 @@ def fingerprint(text, size=4) -> int:
     h = np.array([xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(starts, stops)], "<u8")
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i:i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(h[i:i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 

@@ -57,3 +57,22 @@ def test_simhash_against_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in cut} == {d: c for d, (_, c) in expected.items()}
     one = spark.sql("SELECT xxhash64('a b c d') AS h").first().h % 2**64
     assert simhash.fingerprint("A b\nc  D") == one
+
+
+def test_quality_held_out(spark):
+    from sitefacts.llm import quality
+    sf = SF.replace("0.001", "0.01")
+    want = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(want[r.doc_id], r.predicted) for r in quality.op6_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in want]
+    assert np.mean([a == b for a, b in got]) > 0.9
+
+
+def test_pii_patterns(spark):
+    import re
+    from sitefacts.llm import pii
+    rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 14 <= len(d := re.sub("[ -]", "", s)) <= 19 and pii.luhn(d), "phone": lambda s: 10 <= len(re.sub(r"\D", "", s)) <= 15}
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in [*texts, "a@b.c@d.e x@y", "1.2.3.4.5.6.7.8 0256.1.1.1 300.1.1.1", ""]:
+        want = sorted(((m.start(), m.end(), k) for k in rx for m in re.finditer(rx[k], t) if ok[k](m.group())), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert pii.base_spans(t) == want
