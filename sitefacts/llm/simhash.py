@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, most: int = 4000) -> DataF
     own = F.pmod(F.xxhash64("fp"), F.col("cuts"))
     sent = cut.withColumn("own", own).select("fp", "block", "value", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("tree"))
     sent = sent.withColumn("member", F.col("own") == F.col("tree"))
-    links = sent.groupBy("block", "value", "tree").applyInPandas(_links, "a long, b long")
+    links = sent.groupBy("block", "value", "tree").applyInPandas(lambda pdf: _links(pdf), "a long, b long")
     roots = components(links)
     rooted = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -76,3 +76,21 @@ def test_pii_patterns(spark):
     for t in [*texts, "a@b.c@d.e x@y", "1.2.3.4.5.6.7.8 0256.1.1.1 300.1.1.1", ""]:
         want = sorted(((m.start(), m.end(), k) for k in rx for m in re.finditer(rx[k], t) if ok[k](m.group())), key=lambda s: (s[0], pii.KINDS.index(s[2])))
         assert pii.base_spans(t) == want
+
+
+def test_decontamination_finds_substituted_items_both_ways(spark):
+    from sitefacts.llm import decontaminate as d
+    item = " ".join(f"w{i}" for i in range(20))
+    near = item.replace("w5 ", "x ").replace("w15 ", "y ")
+    far = " ".join(f"w{i}" if i % 2 else "z" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a b {item} c"), (2, near.upper()), (3, far), (4, None), (5, ""), (1, f"a b {item} c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, None), (7, "short")], "item_id long, text string")
+    for bound in (100_000, 0):
+        got = {(r.doc_id, r.item_id, r.matched) for r in d.contaminated(docs, bench, broadcast_rows=bound).collect()}
+        assert got == {(1, 9, 20), (2, 9, 18)}
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.columns[:2] == ["doc_id", "start"] and rows.select("doc_id").distinct().count() > 100
