@@ -20,7 +20,11 @@ def tokens(text):
 def windows(words, masks):
     span = max(map(max, masks)) + 1
     at = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span)).otherwise(F.array().cast("array<int>"))
-    return F.explode(F.flatten(F.array(*[F.transform(at, lambda i, m=m, k=k: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in m]).alias("h"))) for k, m in enumerate(masks)])))
+
+    def hashed(k, mask):
+        return F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in mask]).alias("h")))
+
+    return F.explode(F.flatten(F.array(*[hashed(k, m) for k, m in enumerate(masks)])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, masks=MASKS, broadcast_rows: int = 100_000) -> DataFrame:
