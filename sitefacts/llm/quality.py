@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 256
+CHUNK = 1024
 
 
 def chunks(text):

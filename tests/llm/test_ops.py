@@ -94,3 +94,12 @@ def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:2] == ["doc_id", "start"] and rows.select("doc_id").distinct().count() > 100
+
+
+def test_language_held_out(spark):
+    from sitefacts.llm import language
+    sf = SF.replace("0.001", "0.01")
+    want = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r.lang_pred == want[r.doc_id] for r in language.op9_language_id(spark, sf).collect() if r.held_out]
+    assert np.mean(got) > 0.9
+    assert language.Filter({"xx": [1]}).predict("12 !") == ("und", 0.0) == language.Filter({}).predict(None)
