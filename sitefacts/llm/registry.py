@@ -1,10 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, language, packing, pii, quality, simhash
+from . import chat, decontaminate, language, licenses, packing, pii, quality, simhash
 
 
 def queries():
-    return {f.__name__: f for f in (chat.op2_chat_formatting, decontaminate.op3_benchmark_decontamination, simhash.op5_simhash_near_dedup, quality.op6_quality_classifier, pii.op8_pii, language.op9_language_id, packing.op10_packing)}
+    return {f.__name__: f for f in (chat.op2_chat_formatting, decontaminate.op3_benchmark_decontamination, licenses.op4_license_scan, simhash.op5_simhash_near_dedup, quality.op6_quality_classifier, pii.op8_pii, language.op9_language_id, packing.op10_packing)}
 
 
 def oracle_sql():

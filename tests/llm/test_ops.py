@@ -103,3 +103,10 @@ def test_language_held_out(spark):
     got = [r.lang_pred == want[r.doc_id] for r in language.op9_language_id(spark, sf).collect() if r.held_out]
     assert np.mean(got) > 0.9
     assert language.Filter({"xx": [1]}).predict("12 !") == ("und", 0.0) == language.Filter({}).predict(None)
+
+
+def test_license_scan(spark):
+    from sitefacts.llm import licenses as x
+    docs = spark.createDataFrame([(1, "RELEASED under the MIT licence\nCopyright 2020 A"), (2, "Released under the MIT License. And more"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in x.scan(docs, spark.createDataFrame(x.KNOWN, "license string, text string")).collect()}
+    assert got == {1: "MIT", 2: None, 3: None, 4: None}
