@@ -7,6 +7,7 @@ source is the queue ''. Repeated rows are packed as often as they occur. Further
 """
 
 import struct
+import tempfile
 import uuid
 import zlib
 
@@ -19,7 +20,10 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not spark.sparkContext.getCheckpointDir():
+        base = base or tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
