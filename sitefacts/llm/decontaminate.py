@@ -10,6 +10,8 @@ link alike. Further columns are ignored.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import shared_dir
+
 MASKS = [(0, 1, 3, 4, 6), (0, 2, 3, 5, 6)]
 
 
@@ -18,30 +20,45 @@ def tokens(text):
 
 
 def windows(words, masks):
+    """An array of (i, h): every window's start and the hash of its selected tokens."""
     span = max(map(max, masks)) + 1
     at = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span)).otherwise(F.array().cast("array<int>"))
 
     def hashed(k, mask):
         return F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in mask]).alias("h")))
 
-    return F.explode(F.flatten(F.array(*[hashed(k, m) for k, m in enumerate(masks)])))
+    return F.flatten(F.array(*[hashed(k, m) for k, m in enumerate(masks)]))
+
+
+def candidates(docs: DataFrame, items: DataFrame, masks, broadcast_rows) -> DataFrame:
+    """(key, found): for each text with hits, by its hash, the distinct (item_id, n, start) to verify."""
+    seeds = items.select("item_id", F.size("item").alias("n"), F.explode(windows(F.col("item"), masks)).alias("b")).select("item_id", "n", F.col("b.h").alias("h"), F.col("b.i").alias("q"))
+    hashed = docs.select(F.xxhash64("text").alias("key"), tokens(F.col("text")).alias("words")).select("key", F.explode(windows(F.col("words"), masks)).alias("d")).select("key", F.col("d.i").alias("i"), F.col("d.h").alias("h"))
+    hits = hashed.join(F.broadcast(seeds) if seeds.count() <= broadcast_rows else seeds, "h")
+    return hits.groupBy("key").agg(F.collect_set(F.struct("item_id", "n", (F.col("i") - F.col("q")).alias("start"))).alias("found"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, masks=MASKS, broadcast_rows: int = 100_000) -> DataFrame:
-    """(doc_id, item_id, matched, item_tokens): pairs whose overlap is verified."""
+    """(doc_id, item_id, matched, item_tokens): pairs whose overlap is verified.
+
+    Only hits leave the first pass; the second cuts the passages beside them out of the texts. Seeds, items and
+    texts with hits are broadcast up to `broadcast_rows` of each, and joined by a shuffle beyond.
+    """
+    shared_dir(docs.sparkSession)
+    docs = docs.select("doc_id", "text").where("text <> ''")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
-    seeds = items.select("item_id", "item", windows(F.col("item"), masks).alias("b")).select("item_id", "item", F.col("b.h").alias("h"), F.col("b.i").alias("q"))
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    hits = rows.select("doc_id", "words", windows(F.col("words"), masks).alias("d")).select("doc_id", "words", F.col("d.i").alias("i"), F.col("d.h").alias("h"))
-    if seeds.count() <= broadcast_rows:
-        met = hits.join(F.broadcast(seeds), "h")
-    else:
-        slim = hits.select("doc_id", "i", "h").join(seeds, "h").select("doc_id", "item_id", "item", "q", "i").distinct()
-        met = slim.join(rows, "doc_id")
-    start = F.col("i") - F.col("q")
-    same = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda k: F.coalesce(F.when(start + k >= 0, F.get("words", start + k)) == F.get("item", k), F.lit(False))))
-    found = met.select("doc_id", "item_id", same.cast("long").alias("matched"), F.size("item").cast("long").alias("item_tokens"))
-    return found.where(F.col("matched") >= similarity * F.col("item_tokens")).groupBy("doc_id", "item_id", "item_tokens").agg(F.max("matched").alias("matched"))
+
+    def side(df):
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    found = candidates(docs, items, masks, broadcast_rows).checkpoint()
+    met = docs.withColumn("key", F.xxhash64("text")).join(side(found), "key").select("doc_id", "found", tokens(F.col("text")).alias("words"))
+    cut = F.transform("found", lambda c: F.struct(c.item_id.alias("item_id"), F.greatest(F.lit(0), -c.start).alias("skip"),
+        F.slice("words", F.greatest(F.lit(0), c.start) + 1, c.n + F.least(F.lit(0), c.start)).alias("part")))
+    parts = met.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.item_id", "c.skip", "c.part")
+    laid = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.size("part")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    same = parts.join(side(items), "item_id").select("doc_id", "item_id", F.size(F.filter(laid, lambda x: x)).cast("long").alias("matched"), F.size("item").cast("long").alias("item_tokens"))
+    return same.where(F.col("matched") >= similarity * F.col("item_tokens")).groupBy("doc_id", "item_id", "item_tokens").agg(F.max("matched").alias("matched"))
 
 
 def op3_benchmark_decontamination(spark, sf_dir) -> DataFrame:
