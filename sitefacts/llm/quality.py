@@ -1,10 +1,11 @@
 """Quality by compression: zstandard dictionaries of good and bad labelled chunks.
 
-The feature is (bad - good) / (bad + good) of a text's compressed sizes, summed over its chunks, and its
-least value over the chunks; a logistic curve calibrates both. Fitting reads at most `most` labelled rows a
-class, `per_row` chunks of each, chosen by hash; every text is scored whole. Null and empty texts get the
-curve's value at zero. With one class or none the score is 0.5. A doc_id with several labels counts as bad
-if any says so. Further columns are ignored.
+A text is cut into chunks and each is compressed with the good, the bad and no dictionary. The features are sizes
+only: (bad - good) / (bad + good) over the text, its least value over the chunks, and the three compressed shares
+of the length, the last also for the text as a whole. A logistic curve calibrates them. Fitting reads at most
+`most` labelled rows a class, `per_row` chunks of each, chosen by hash; every text is scored whole. Null and
+empty texts get the curve's value at the mean of the training rows. With one class or none the score is 0.5. A
+doc_id with several labels counts as bad if any says so. Further columns are ignored.
 """
 
 import zlib
@@ -24,24 +25,43 @@ def chunks(text):
 
 
 class Scorer:
-    def __init__(self, good=b"", bad=b"", weights=(0.0, 0.0, 0.0)):
-        self.good, self.bad, self.weights, self.made = good, bad, weights, None
+    def __init__(self, good=b"", bad=b""):
+        self.good, self.bad, self.weights, self.mean, self.scale, self.made = good, bad, np.zeros(7), np.zeros(6), np.ones(6), None
 
     def __getstate__(self):
         return self.__dict__ | {"made": None}
 
     def features(self, text):
         if self.made is None:
-            self.made = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (self.good, self.bad)]
-        sizes = np.array([[len(c.compress(x)) for c in self.made] for x in chunks(text)], float).reshape(-1, 2)
-        if not len(sizes):
-            return 0.0, 0.0
-        each = (sizes[:, 1] - sizes[:, 0]) / sizes.sum(axis=1)
-        return float((sizes[:, 1] - sizes[:, 0]).sum() / sizes.sum()), float(each.min())
+            plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+            self.made = [*(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (self.good, self.bad)), plain]
+        parts = chunks(text)
+        if not parts:
+            return self.mean
+        sizes = np.array([[len(c.compress(x)) for c in self.made] for x in parts], float)
+        apart, both, n = sizes[:, 1] - sizes[:, 0], sizes[:, 1] + sizes[:, 0], sum(map(len, parts))
+        whole = len(self.made[2].compress(b"".join(parts)))
+        return np.array([apart.sum() / both.sum(), (apart / both).min(), *(sizes.sum(axis=0) / n), whole / n])
 
     def score(self, text):
-        x = self.features(text) if self.good and self.bad else (0.0, 0.0)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * x[0] + self.weights[2] * x[1], -30, 30))))
+        x = (self.features(text) - self.mean) / self.scale if self.good and self.bad else np.zeros(6)
+        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ x, -30, 30))))
+
+
+def logistic(X, y, w, ridge=0.5):
+    """Weighted ridge regression by Newton steps, halved until the loss falls."""
+    def loss(b):
+        z = X @ b
+        return (w * (np.logaddexp(0, z) - y * z)).sum() + ridge * (b @ b) / 2
+
+    beta = np.zeros(X.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
+        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + ridge * np.eye(len(beta)), X.T @ (w * (y - p)) - ridge * beta)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-6:
+            step = step / 2
+        beta = beta + step
+    return beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 600, per_row: int = 4, dictionary: int = 110_000) -> Scorer:
@@ -64,16 +84,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 600, per_row: int = 4, d
     half = [len(x) // 2 for x in by]
     s = Scorer(content(by[1][:half[1]]), content(by[0][:half[0]]))
     held = [(k, s.features(t)) for k in (0, 1) for t in by[k][half[k]:]]
-    X = np.array([[1, *f] for _, f in held])
-    y = np.array([k for k, _ in held], float)
+    raw, y = np.array([f for _, f in held]), np.array([k for k, _ in held], float)
+    s.mean, s.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-9
     n = [max(1, (y == k).sum()) for k in (0, 1)]
     w = np.where(y == 1, counts[1] / n[1], counts[0] / n[0])
-    w, beta = w / w.mean(), np.zeros(3)
-    for _ in range(50):  # Newton steps, lightly ridged
-        p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + 1e-3 * np.eye(3), X.T @ (w * (y - p)) - 1e-3 * beta)
-        beta += np.clip(step, -20, 20)
-    s.weights = tuple(beta)
+    s.weights = logistic(np.column_stack([np.ones(len(y)), (raw - s.mean) / s.scale]), y, w / w.mean())
     return s
 
 
