@@ -10,6 +10,7 @@ import struct
 import tempfile
 import uuid
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pandas as pd
@@ -29,21 +30,24 @@ def shared_dir(spark) -> str:
 
 def _tokenise(path, end_id, batches):
     from tokenizers import Tokenizer
-    tok, part, known, used, seq = Tokenizer.from_file(path), TaskContext.get().partitionId(), {}, {}, 0
+    tok, part, known, used = Tokenizer.from_file(path), TaskContext.get().partitionId(), {}, {}
     for b in batches:
-        rows = []
-        for doc_id, text, source in zip(b.doc_id, b.text, b.source):
-            words = [w for w in (text or "").replace("\n", " ").split(" ") if w]  # a token never spans white space
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > 400_000:
-                known, new = {}, list(set(words))
-            for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            ids = b"".join([known[w] for w in words]) + struct.pack("<I", end_id)
-            source, n = source or "", len(ids) // 4
-            rows.append((doc_id, source, part, used.get(source, 0), n, np.frombuffer(ids, "<u4").astype("<u4").tobytes()))
-            used[source] = used.get(source, 0) + n
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "part", "at", "n", "ids"]).astype({"doc_id": "Int64"})
+        for first in range(0, len(b), 64):
+            some = b.iloc[first:first + 64]
+            split = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in some.text]  # a token never spans white space
+            new, fresh, rows = list({w for words in split for w in words if w not in known}), {}, []
+            for i in range(0, len(new), 4096):  # encodings are far larger than their ids
+                for w, e in zip(new[i:i + 4096], tok.encode_batch_fast(new[i:i + 4096], add_special_tokens=False)):
+                    fresh[w] = np.array(e.ids, "<u4").tobytes()
+            if len(known) < 400_000:
+                known.update(fresh)
+            look = known if not fresh or next(iter(fresh)) in known else ChainMap(known, fresh)
+            for doc_id, words, source in zip(some.doc_id, split, some.source):
+                ids = b"".join([look[w] for w in words]) + struct.pack("<I", end_id)
+                source, n = source or "", len(ids) // 4
+                rows.append((doc_id, source, part, used.get(source, 0), n, ids))
+                used[source] = used.get(source, 0) + n
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "part", "at", "n", "ids"]).astype({"doc_id": "Int64"})
 
 
 def _pieces(totals, window, batches):
