@@ -6,19 +6,22 @@ cut at every `window` tokens, so only the last sequence may be short. Null text:
 source is the queue ''. Repeated rows are packed as often as they occur. Further columns are ignored.
 """
 
+import os
 import struct
 import tempfile
 import uuid
 import zlib
-from collections import ChainMap
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
 
 def shared_dir(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,61 +31,110 @@ def shared_dir(spark) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+class Words:
+    """Ids of words, kept by a worker process from task to task: two generations of `most` words, the older dropped.
+
+    A token never spans white space, and none spans a letter and the punctuation after it, so words are encoded
+    once each, without it, many in one string between marks. Words that hold the mark itself are encoded alone.
+    """
+
+    MARK, ENDS = "\x01", ".,;:!?$%&*#()"
+
+    def __init__(self, path, most=200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+        self.path, self.most, self.tok, self.new, self.old = path, most, Tokenizer.from_file(path), {}, {}
+        (self.mark,) = self.tok.encode(self.MARK, add_special_tokens=False).ids
+
+    def parts(self, word):
+        core = word.rstrip(self.ENDS)
+        if len(core) == len(word) or not core or not core[-1].isalpha():
+            return (word.lower() if word.isascii() else word,)
+        return (core.lower() if core.isascii() else core, word[len(core):])
+
+    def encode(self, parts):
+        out = {w: np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in parts if self.MARK in w}
+        plain = [w for w in parts if self.MARK not in w]
+        for i in range(0, len(plain), 2048):
+            some = plain[i:i + 2048]
+            ids = np.array(self.tok.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw, low = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], ids.tobytes(), 0
+            for w, cut in zip(some, cuts, strict=True):
+                out[w], low = raw[4 * low:4 * cut], cut + 1
+        return out
+
+    def learn(self, words):
+        """A mapping with every one of these words."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        missing = words - self.new.keys()
+        for w in missing & self.old.keys():
+            self.new[w] = self.old[w]
+        split = {w: self.parts(w) for w in missing - self.old.keys()}
+        fresh = {p for parts in split.values() for p in parts} - self.new.keys()
+        self.new.update(self.encode(list(fresh)))
+        for w, parts in split.items():
+            self.new[w] = b"".join([self.new[p] for p in parts])
+        return self.new
+
+
+_words = None
+
+
 def _tokenise(path, end_id, batches):
-    from tokenizers import Tokenizer
-    tok, part, known, used = Tokenizer.from_file(path), TaskContext.get().partitionId(), {}, {}
+    global _words
+    if _words is None or _words.path != path:
+        _words = Words(path)
+    part, used, end = TaskContext.get().partitionId(), {}, struct.pack("<I", end_id)
     for b in batches:
-        for first in range(0, len(b), 64):
-            some = b.iloc[first:first + 64]
-            split = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in some.text]  # a token never spans white space
-            new, fresh, rows = list({w for words in split for w in words if w not in known}), {}, []
-            for i in range(0, len(new), 4096):  # encodings are far larger than their ids
-                for w, e in zip(new[i:i + 4096], tok.encode_batch_fast(new[i:i + 4096], add_special_tokens=False)):
-                    fresh[w] = np.array(e.ids, "<u4").tobytes()
-            if len(known) < 400_000:
-                known.update(fresh)
-            look = known if not fresh or next(iter(fresh)) in known else ChainMap(known, fresh)
-            for doc_id, words, source in zip(some.doc_id, split, some.source):
-                ids = b"".join([look[w] for w in words]) + struct.pack("<I", end_id)
-                source, n = source or "", len(ids) // 4
-                rows.append((doc_id, source, part, used.get(source, 0), n, ids))
-                used[source] = used.get(source, 0) + n
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "part", "at", "n", "ids"]).astype({"doc_id": "Int64"})
+        for first in range(0, b.num_rows, 64):
+            some, rows = b.slice(first, 64).to_pydict(), []
+            split = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in some["text"]]
+            look = _words.learn(set().union(*split)).__getitem__
+            for doc_id, words, source in zip(some["doc_id"], split, some["source"]):
+                ids = b"".join(map(look, words)) + end
+                rows.append((doc_id, source, part, used.get(source, 0), len(ids) // 4, ids))
+                used[source] = used.get(source, 0) + len(ids) // 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TOKENS.types)], schema=TOKENS)
 
 
 def _pieces(totals, window, batches):
     names = sorted(totals)
-    T = np.array([totals[s] for s in names], dtype=object)
-    total = int(sum(T)); R = -(-total // window); index = {s: i for i, s in enumerate(names)}
+    T = [int(totals[s]) for s in names]
+    R = -(-sum(T) // window); index = {s: i for i, s in enumerate(names)}
     for b in batches:
-        rows = []
-        for doc_id, source, at, n, ids in zip(b["doc_id"], b["source"], b["first"], b["n"], b["ids"]):
-            s, j, end = index[source], int(at), int(at) + int(n)
-            while j < end:
-                r = ((j + 1) * R - 1) // T[s]
-                low, high = [int(r * t // R) for t in T], [int((r + 1) * t // R) for t in T]
-                pos = sum(low) + sum(high[:s]) - sum(low[:s]) + j - low[s]
-                take = min(end, high[s], j + window - pos % window) - j
-                x = j - int(at)
-                rows.append((doc_id, x, take, zlib.crc32(ids[4 * x:4 * (x + take)]), int(n), pos // window, pos % window))
-                j += take
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-
-
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, max_queues: int = 1024) -> DataFrame:
+        for first in range(0, b.num_rows, 256):
+            some, rows = b.slice(first, 256).to_pydict(), []
+            for doc_id, source, at, n, ids in zip(*(some[c] for c in ("doc_id", "source", "first", "n", "ids"))):
+                s, j, end = index[source], at, at + n
+                while j < end:
+                    r = ((j + 1) * R - 1) // T[s]
+                    low, high = [r * t // R for t in T], [(r + 1) * t // R for t in T]
+                    pos = sum(low) + sum(high[:s]) - sum(low[:s]) + j - low[s]
+                    take = min(end, high[s], j + window - pos % window) - j
+                    x = j - at
+                    rows.append((doc_id, x, take, zlib.crc32(ids[4 * x:4 * (x + take)]), n, pos // window, pos % window))
+                    j += take
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=PIECES)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, max_queues: int = 1024, small: int = 500_000) -> DataFrame:
     """Sources beyond `max_queues` share queues by hash, so the totals that tasks get are bounded."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("source"))
     if docs.select("source").distinct().limit(max_queues + 1).count() > max_queues:
         docs = docs.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
     out = shared_dir(spark)
-    docs.mapInPandas(lambda it: _tokenise(tokenizer, end_id, it), "doc_id long, source string, part long, at long, n long, ids binary").write.parquet(out)
+    docs.mapInArrow(lambda it: _tokenise(tokenizer, end_id, it), "doc_id long, source string, part long, at long, n long, ids binary").write.parquet(out)
     tok = spark.read.parquet(out)
     sums = tok.groupBy("part", "source").agg(F.sum("n").alias("m"))
     base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("source").orderBy("part")) - F.col("m"))
     totals = {r.source: r.m for r in sums.groupBy("source").agg(F.sum("m").alias("m")).collect()}  # max_queues rows
-    placed = tok.join(base.drop("m"), ["part", "source"]).withColumn("first", F.col("at") + F.col("base")).select("doc_id", "source", "first", "n", "ids")
-    return placed.mapInPandas(lambda it: _pieces(totals, window, it), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    base = base.drop("m")
+    if base.count() <= small:  # a row a task and source; beyond that the ids are shuffled
+        base = F.broadcast(base)
+    placed = tok.join(base, ["part", "source"]).withColumn("first", F.col("at") + F.col("base")).select("doc_id", "source", "first", "n", "ids")
+    return placed.mapInArrow(lambda it: _pieces(totals, window, it), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir) -> DataFrame:

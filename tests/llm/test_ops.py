@@ -35,6 +35,21 @@ def test_packing_is_gapless_and_exact(spark):
         assert at == len(ids)
 
 
+def test_packing_words_give_whole_text_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from sitefacts.llm import packing
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), packing.Words(path, most=2000)
+    odd = ["a\x01b \x01 c", "<|endoftext|> x<|startoftext|>.", "\u00c9 e\u0301. \u03a3\u0391\u03a3. \u0130i \ufb01 it's. don't'll!!  a\tb\r\nc  ", "I'S.'S 'LL. x'. x's, it's.", "", "   ", ".", "..,!!", "\u2260. a\u0301. \u0301 b", 'k = "9f62"### ok".']
+    con = duckdb.connect()
+    texts = [t or "" for (t,) in con.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    for text in odd + texts:
+        split = [w for w in text.replace("\n", " ").split(" ") if w]
+        look = words.learn(set(split))
+        assert b"".join(look[w] for w in split) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_simhash_against_all_pairs(spark):
     from sitefacts.llm import simhash
     docs = spark.read.parquet(f"{SF}/documents.parquet")
