@@ -67,11 +67,11 @@ class Words:
         """A mapping with every one of these words."""
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
-        missing = words - self.new.keys()
-        for w in missing & self.old.keys():
-            self.new[w] = self.old[w]
-        split = {w: self.parts(w) for w in missing - self.old.keys()}
-        fresh = {p for parts in split.values() for p in parts} - self.new.keys()
+        missing = words.difference(self.new)  # an operator would walk all known words
+        again = {w: self.old[w] for w in missing if w in self.old}
+        self.new.update(again)
+        split = {w: self.parts(w) for w in missing.difference(again)}
+        fresh = {p for parts in split.values() for p in parts}.difference(self.new)
         self.new.update(self.encode(list(fresh)))
         for w, parts in split.items():
             self.new[w] = b"".join([self.new[p] for p in parts])
