@@ -1,4 +1,5 @@
-"""Search reports (RP-1, 2, 6, 14), date coverage (RP-21) and the opportunity cohort (OP-1..3)."""
+"""Search reports (RP-1, 2, 6, 14), date coverage (RP-21), the opportunity cohort (OP-1..3), exact breakdowns (IV-1),
+analytics reports (RP-8, 10, 15..18, 20) and the comparison of two periods (CP-4, 5)."""
 
 FACTS = """
 SELECT CAST(l_shipdate AS DATE) AS date, 'https://example.com/part/' || CAST(p_partkey AS STRING) AS page,
@@ -27,11 +28,49 @@ def cohort_sql(min_impressions=20, max_clicks=2, limit=None):
       AND clicks <= impressions AND position >= 0) q{top}"""
 
 
+
+# A session ends after a day without events; its first event is its landing.
+EVENTS = """
+SELECT *, CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host,
+  CASE WHEN k < 40 THEN 'Organic Search' WHEN k < 70 THEN 'Direct' ELSE 'Referral' END AS channel
+FROM (SELECT *, first_value(event_type) OVER (PARTITION BY session ORDER BY ts, event_id) AS landing,
+    first_value(bucket) OVER (PARTITION BY session ORDER BY ts, event_id) AS k,
+    count(*) OVER (PARTITION BY session) AS session_events
+  FROM (SELECT *, CAST(user_id AS STRING) || '-' || CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS STRING) AS session
+    FROM (SELECT event_id, ts, CAST(ts AS DATE) AS date, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS bucket,
+        CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '1' DAY THEN 0 ELSE 1 END AS starts
+      FROM events) a) b) c"""
+SESSIONS = "count(DISTINCT session) AS sessions, count(DISTINCT CASE WHEN session_events > 1 THEN session END) AS engaged_sessions"
+PRODUCTION, ORGANIC = "host = 'example.com'", "host = 'example.com' AND channel = 'Organic Search'"
+
+
+def period_sql(start, end):
+    """Plain counts by user and event type: no session is needed, so none is built."""
+    return f"SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{start} 00:00:00' AND ts < TIMESTAMP '{end} 00:00:00' GROUP BY user_id, event_type"
+
+
+BEFORE, AFTER = period_sql("2024-01-01", "2024-01-15"), period_sql("2024-01-15", "2024-01-29")
+
+
+def only_sql(here, there):
+    return f"SELECT h.user_id, h.event_type, h.n FROM ({here}) h LEFT JOIN ({there}) t ON h.user_id = t.user_id AND h.event_type = t.event_type WHERE t.n IS NULL"
+
+
 SQL = {f"search_by_{d}": search_sql([d]) for d in ("page", "query", "country", "device", "date")} | {
     "search_totals": search_sql([]),
     "search_observed_dates": f"SELECT DISTINCT date FROM ({FACTS}) f",
     "opportunity_cohort": cohort_sql(limit=10),
     "page_identity": "SELECT page_id, url, sha256_hex(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages",
+    "search_page_exact_breakdowns": f"SELECT page, country, device, {METRICS} FROM ({FACTS}) f GROUP BY GROUPING SETS ((page, country), (page, device))",
+    "hostname_census": f"SELECT host, count(DISTINCT session) AS sessions, count(CASE WHEN event_type = 'view' THEN 1 END) AS views FROM ({EVENTS}) e GROUP BY host",
+    "channel_report": f"SELECT channel, {SESSIONS} FROM ({EVENTS}) e WHERE {PRODUCTION} GROUP BY channel",
+    "event_report": f"SELECT event_type, count(*) AS event_count FROM ({EVENTS}) e WHERE {PRODUCTION} GROUP BY event_type",
+    "organic_landings": f"SELECT landing, {SESSIONS} FROM ({EVENTS}) e WHERE {ORGANIC} GROUP BY landing",
+    "organic_landing_events": f"SELECT landing, event_type, count(*) AS event_count FROM ({EVENTS}) e WHERE {ORGANIC} GROUP BY landing, event_type",
+    "analytics_multi_range": "SELECT r.name, e.event_type, count(*) AS event_count, count(DISTINCT e.user_id) AS users FROM events e JOIN (SELECT 'first' AS name, TIMESTAMP '2024-01-01 00:00:00' AS low, TIMESTAMP '2024-01-15 00:00:00' AS high UNION ALL SELECT 'second', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-29 00:00:00') r ON e.ts >= r.low AND e.ts < r.high GROUP BY r.name, e.event_type HAVING count(*) > 1",
+    "compare_periods": f"SELECT b.user_id, b.event_type, b.n AS before_n, a.n AS after_n, a.n - b.n AS delta, round(CAST(100 AS DOUBLE) * CAST(a.n - b.n AS DOUBLE) / CAST(b.n AS DOUBLE), 6) AS percent FROM ({BEFORE}) b JOIN ({AFTER}) a ON b.user_id = a.user_id AND b.event_type = a.event_type",
+    "compare_only_before": only_sql(BEFORE, AFTER),
+    "compare_only_after": only_sql(AFTER, BEFORE),
 }
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
