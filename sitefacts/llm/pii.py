@@ -53,9 +53,20 @@ def span_score(text, a, b, words):
     return max(("secret", secret), ("phone", phone), key=lambda x: x[1])
 
 
+def untouched(words, taken):
+    """For each word whether no span overlaps it; both are in order of their starts, so one merge decides."""
+    free, i, end = [], 0, 0
+    for a, b in words:
+        while i < len(taken) and taken[i][0] < b:
+            end = max(end, taken[i][1])
+            i += 1
+        free.append(end <= a)
+    return free
+
+
 def added_spans(text, taken):
     words = [m.span() for m in WORD.finditer(text)]
-    free = [not any(a < e and s < b for s, e, _ in taken) for a, b in words]
+    free = untouched(words, taken)
     hot = [f and any(c.isdigit() for c in text[a:b]) for (a, b), f in zip(words, free)]
     out, i = [], 0
     while i < len(words):
@@ -89,8 +100,7 @@ def find(text):
     if not any(c in text for c in "0123456789@"):
         return [], []
     base = base_spans(text)
-    taken = base if len(base) < 50 else [(min(s for s, _, _ in base), max(e for _, e, _ in base), "")]
-    return base, added_spans(text, taken)
+    return base, added_spans(text, base)
 
 
 def written(spans):

@@ -93,6 +93,25 @@ def test_pii_patterns(spark):
         assert pii.base_spans(t) == want
 
 
+def test_pii_finds_spans_between_many_base_spans(spark):
+    import random
+    from sitefacts.llm import pii
+    secret, phone = "0123456789abcdef0123456789abcdef", "(999) 555-9999"
+    mails = [f"user{i}@example.com and" for i in range(60)]
+    text = " ".join([*mails[:30], f"password: {secret} then {phone} again", *mails[30:]])
+    base, more = pii.find(text)
+    assert len(base) == 60 and {(text[s:e], k) for s, e, k in more} == {(secret, "secret"), (phone, "phone")}
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert f"secret:{text.index(secret)}:" in pii.detect(docs).first().spans
+    masked = pii.redact(docs).first().text
+    assert secret not in masked and "555-9999" not in masked and masked.count("[email]") == 60
+    rng = random.Random(1)
+    for _ in range(300):
+        words = [m.span() for m in pii.WORD.finditer("".join(rng.choice("ab  ") for _ in range(60)))]
+        taken = sorted((s, s + rng.randint(1, 9), "x") for s in rng.sample(range(60), rng.randint(0, 8)))
+        assert pii.untouched(words, taken) == [not any(a < e and s < b for s, e, _ in taken) for a, b in words]
+
+
 def test_decontamination_finds_substituted_items_both_ways(spark):
     from sitefacts.llm import decontaminate as d
     item = " ".join(f"w{i}" for i in range(20))
