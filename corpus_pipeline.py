@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sitefacts.llm import decontaminate, packing, pii, quality, simhash
+from sitefacts.llm import decontaminate, nearcopies, packing, pii, quality
 
 
 def good(spark, docs, sf_dir):
@@ -15,7 +15,7 @@ def good(spark, docs, sf_dir):
 
 def one_of_each(spark, docs, sf_dir):
     """Rows without doc_id stay."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = nearcopies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 

@@ -74,6 +74,40 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.fingerprint("A b\nc  D") == one
 
 
+def test_near_duplicate_stage_against_all_pairs(spark):
+    import random
+    import corpus_pipeline
+    rng, texts = random.Random(5), [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for n, changed in [(100, 1), (100, 2), (200, 2), (200, 4), (400, 8), (100, 4), (100, 6)]:
+        for _ in range(8):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            near = list(words)
+            for i in rng.sample(range(n), changed):
+                near[i] = "changed"
+            texts += [" ".join(words), " ".join(near).upper()]
+    line = "one very common line of eight words here"
+    texts += [f"{line} " * 6 + " ".join(f"v{rng.randrange(5000)}" for _ in range(12)) for _ in range(60)] + ["", None, " ", "a b", "A  b", "a c"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * (same := len(x & sets[j])) >= 4 * (len(x) + len(sets[j]) - same):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()}
+    assert kept == {i for i in up if top(i) == i}
+
+
 def test_quality_held_out(spark):
     from sitefacts.llm import quality
     sf = SF.replace("0.001", "0.01")
