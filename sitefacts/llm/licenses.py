@@ -1,10 +1,13 @@
-"""License scan by canonical digest: a whole text is normalised and its SHA-256 looked up by a join.
+"""License scan by canonical digest: whole texts, blocks and lines are normalised and their SHA-256 looked up by joins.
 
-Case, punctuation, white space, copyright lines and equivalent spellings fall away. Null and empty texts, and
-texts that only contain a licence among other words, have no licence. Repeated rows keep their rows; further
-columns are ignored.
+Case, punctuation, white space, copyright lines and equivalent spellings fall away. `license` is that of the whole
+text; `notices` lists, sorted and parted by commas, the licences of single lines and of blocks between blank lines.
+Null and empty texts have neither, nor have texts that hold a licence amid a line. Repeated rows keep their rows;
+further columns are ignored.
 """
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
 ]
+TEXTS = Path(__file__).parent / "license_texts"
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("copyright holder", "copyright owner"), ("sublicence", "sublicense")]
 
 
@@ -26,11 +30,23 @@ def canonical(text):
     return out
 
 
+def known(spark) -> DataFrame:
+    """license, text: the full texts, the permission text of MIT without its title, and the notices."""
+    full = [(p.stem, p.read_text("utf-8", "replace")) for p in sorted(TEXTS.glob("*.txt"))]
+    bare = [(n, t.split("\n", 1)[1]) for n, t in full if n == "MIT"]
+    return spark.createDataFrame(full + bare + KNOWN, "license string, text string")
+
+
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, digest, license of every row; `known` has license and text, and joins without a hint."""
+    """doc_id, digest, license, notices of every row; `known` has license and text, and joins without a hint."""
     table = known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
-    return docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left").select("doc_id", "digest", "license")
+    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2("text", 256).alias("key"))
+    parts = F.array_union(F.split("text", r"\R"), F.split("text", r"\R[ \t]*\R"))
+    parts = docs.where("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), F.explode(parts).alias("part")).where("part <> ''")
+    found = parts.select("key", F.sha2(canonical(F.col("part")), 256).alias("digest")).join(table, "digest")
+    found = found.groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("notices"))
+    return rows.join(table, "digest", "left").join(found, "key", "left").select("doc_id", "digest", "license", "notices")
 
 
 def op4_license_scan(spark, sf_dir) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame(KNOWN, "license string, text string"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known(spark))

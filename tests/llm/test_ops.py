@@ -178,3 +178,15 @@ def test_license_scan(spark):
     docs = spark.createDataFrame([(1, "RELEASED under the MIT licence\nCopyright 2020 A"), (2, "Released under the MIT License. And more"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.license for r in x.scan(docs, spark.createDataFrame(x.KNOWN, "license string, text string")).collect()}
     assert got == {1: "MIT", 2: None, 3: None, 4: None}
+
+
+def test_license_scan_finds_full_texts_and_lines(spark):
+    from sitefacts.llm import licenses as x
+    mit, gpl = [(x.TEXTS / f"{n}.txt").read_text() for n in ("MIT", "GPL-3.0")]
+    rows = [(1, "Copyright (c) 2020 A\n\n" + mit.split("\n", 1)[1].upper()), (2, gpl.replace("\n", "\r\n")), (3, "Some words.\nReleased under the MIT licence\nLicensed under CC BY-NC 4.0.\nmore"), (3, "see: Released under the MIT License."), (None, None)]
+    got = x.scan(spark.createDataFrame(rows, "doc_id long, text string"), x.known(spark)).collect()
+    assert {(r.doc_id, r.license, r.notices) for r in got} == {(1, "MIT", None), (2, "GPL-3.0", None), (3, None, "CC-BY-NC-4.0,MIT"), (3, None, None), (None, None, None)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = {r.doc_id for r in docs.collect() if r.text and {t for _, t in x.KNOWN} & set(r.text.split("\n"))}
+    found = x.op4_license_scan(spark, SF).where("notices IS NOT NULL")
+    assert lines and {r.doc_id for r in found.collect()} == lines
