@@ -190,3 +190,18 @@ def test_license_scan_finds_full_texts_and_lines(spark):
     lines = {r.doc_id for r in docs.collect() if r.text and {t for _, t in x.KNOWN} & set(r.text.split("\n"))}
     found = x.op4_license_scan(spark, SF).where("notices IS NOT NULL")
     assert lines and {r.doc_id for r in found.collect()} == lines
+
+
+def test_decontamination_finds_every_substitution_in_short_items(spark):
+    from itertools import combinations
+    from sitefacts.llm import decontaminate as d
+    docs, want = [], set()
+    for n in (1, 3, 5, 6, 7, 10, 15):
+        for m in range(n - (4 * n + 4) // 5 + 2):
+            for gone in combinations(range(n), m):
+                docs.append((len(docs), "a b " + " ".join("x" if i in gone else f"t{n}w{i}" for i in range(n)) + " c"))
+                if 5 * (n - m) >= 4 * n:
+                    want.add((len(docs) - 1, n, n - m))
+    bench = spark.createDataFrame([(n, " ".join(f"t{n}w{i}" for i in range(n))) for n in (1, 3, 5, 6, 7, 10, 15)] + [(99, "?!")], "item_id long, text string")
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id, r.matched) for r in found.collect()} == want
