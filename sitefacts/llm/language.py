@@ -3,8 +3,9 @@
 The bits of an n-gram's slots are ANDed to the set of languages that contain it. Per language the hits are
 counted, corrected by the share of filled slots (false positives), and the largest rate decides; ties go to
 the first language by name. Fitting reads at most `most` labelled rows a language, chosen by hash, and keeps
-n-grams seen in at least `least` of them. Null texts and texts without a letter: `und`, score 0. With no
-labelled rows every text is `und`. At most 64 languages. Further columns are ignored.
+n-grams seen in at least a `share` of them, one at least. Null texts and texts without a letter: `und`, score 0. With no
+labelled rows every text is `und`. A slot has as
+many 64-bit words as the languages need. Further columns are ignored.
 """
 
 import re
@@ -30,12 +31,12 @@ def grams(text):
 
 class Filter:
     def __init__(self, by_language):
-        self.names = sorted(by_language)[:64]
-        self.table = np.zeros(SLOTS, np.uint64)
+        self.names = sorted(by_language)
+        self.table = np.zeros((-(-len(self.names) // 64), SLOTS), np.uint64)
         for i, name in enumerate(self.names):
             for slot in self.slots(np.array(sorted(by_language[name]), np.uint64)):
-                self.table[slot] |= np.uint64(1 << i)
-        filled = [((self.table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.names))]
+                self.table[i // 64, slot] |= np.uint64(1 << i % 64)
+        filled = [((self.table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.names))]
         self.false = np.array(filled) ** len(HASHES)
 
     @staticmethod
@@ -46,23 +47,24 @@ class Filter:
         if not text or not LETTER.search(text) or not self.names:
             return "und", 0.0
         g = grams(text)
-        bits = np.full(len(g), ~np.uint64(0))
+        bits = np.full((len(self.table), len(g)), ~np.uint64(0))
         for slot in self.slots(g):
-            bits &= self.table[slot]
-        hits = np.array([int(((bits >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(self.names))])
+            bits &= self.table[:, slot]
+        hits = np.array([int(((bits[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum()) for i in range(len(self.names))])
         rate = np.clip((hits / max(1, len(g)) - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1)
         k = int(rate.argmax())
         return self.names[k], float(rate[k])
 
 
-def fit(docs: DataFrame, most: int = 300, least: int = 15) -> Filter:
+def fit(docs: DataFrame, most: int = 300, share: float = 0.05) -> Filter:
     rows = docs.where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2) & F.col("lang").isNotNull())
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= most).select("doc_id").distinct()
-    seen = {}
+    seen, texts = {}, Counter()
     for r in rows.join(F.broadcast(first), "doc_id").select("lang", "text").toLocalIterator():  # at most `most` a language
+        texts[r.lang] += 1
         seen.setdefault(r.lang, Counter()).update(np.unique(grams(r.text or "")).tolist())
-    return Filter({k: [g for g, n in c.items() if n >= least] or list(c) for k, c in seen.items()})
+    return Filter({k: [g for g, n in c.items() if n >= share * texts[k]] or list(c) for k, c in seen.items()})
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:

@@ -205,3 +205,16 @@ def test_decontamination_finds_every_substitution_in_short_items(spark):
     bench = spark.createDataFrame([(n, " ".join(f"t{n}w{i}" for i in range(n))) for n in (1, 3, 5, 6, 7, 10, 15)] + [(99, "?!")], "item_id long, text string")
     found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
     assert {(r.doc_id, r.item_id, r.matched) for r in found.collect()} == want
+
+
+def test_language_rare_and_many(spark):
+    from sitefacts.llm import language
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{i:02}" for i in range(65)]
+    model = language.Filter({n: language.grams(f"{letters[i // 26] * 3}{letters[i % 26] * 3}").tolist() for i, n in enumerate(names)})
+    assert model.predict("cccmmm") == ("l64", 1.0) and model.predict("aaaaaa")[0] == "l00"
+    for n in (10, 14, 16, 20, 30):
+        rows = [(i, f"common {letters[i % 26] * 4}{letters[i // 26] * 4}", "xx") for i in range(2 * n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        fitted = df.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2").limit(n)
+        assert language.fit(fitted).predict("bbbb")[1] > 0.3
