@@ -60,7 +60,7 @@ class Words:
 
     MARK, ENDS, KNOWN_LETTERS = "\x01", ".,;:!?$%&*#()", "ɏ"
 
-    def __init__(self, path, most=400_000):
+    def __init__(self, path, most=900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.path, self.most, self.tok, self.new, self.old = path, most, Tokenizer.from_file(path), {"": b""}, {}
@@ -80,12 +80,10 @@ class Words:
     def parts(self, word):
         core = word.rstrip(self.ENDS)
         if len(core) == len(word) or not core or not core[-1].isalpha():
-            return (self.lowered(word),)
-        return (self.lowered(core), word[len(core):])
+            return (word.lower() if word.isascii() else self.lowered(word),)
+        return (core.lower() if core.isascii() else self.lowered(core), word[len(core):])
 
     def lowered(self, word):
-        if word.isascii():
-            return word.lower()
         low = unicodedata.normalize("NFC", word)
         return low.lower() if low.isalpha() and max(low) <= self.KNOWN_LETTERS else word
 
@@ -93,8 +91,8 @@ class Words:
         return part.isalpha() and (part.isascii() or max(part) <= self.KNOWN_LETTERS and part == part.lower() and unicodedata.is_normalized("NFC", part))
 
     def joined(self, tok, parts, sep):
-        for i in range(0, len(parts), 2048):
-            some = parts[i:i + 2048]
+        for i in range(0, len(parts), 256):
+            some = parts[i:i + 256]
             yield some, np.array(tok.encode_batch_fast([sep.join(some)], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, parts):
@@ -114,26 +112,33 @@ class Words:
                 out[w], low = raw[4 * low:4 * cut], cut + 1
         return out
 
-    def learn(self, words):
-        """A mapping with every one of these words."""
-        if len(self.new) > self.most:
-            self.new, self.old = {"": b""}, self.new
-        missing = words.difference(self.new)  # an operator would walk all known words
-        again = {w: self.old[w] for w in missing if w in self.old}
-        self.new.update(again)
-        split = {w: self.parts(w) for w in missing.difference(again)}
-        fresh = {p for parts in split.values() for p in parts}.difference(self.new)
+    def learn(self, missing):
+        """Adds these words, which are not in `new`."""
+        words = []
+        for w in missing:
+            if w in self.old:
+                self.new[w] = self.old[w]
+            else:
+                words.append(w)
+        split = [self.parts(w) for w in words]
+        fresh = {p for parts in split for p in parts}.difference(self.new)
         self.new.update(self.encode(list(fresh)))
-        for w, parts in split.items():
+        for w, parts in zip(words, split):
             self.new[w] = b"".join([self.new[p] for p in parts])
-        return self.new
 
     def texts(self, texts):
         if not self.by_word:
             return [np.array(self.ids(t), "<u4").tobytes() for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        look = self.learn(set().union(*split)).__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        if len(self.new) > self.most:
+            self.new, self.old = {"": b""}, self.new
+        split, get = [t.replace("\n", " ").split(" ") for t in texts], self.new.get
+        found = [list(map(get, words)) for words in split]
+        gaps = [[j for j, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
+        self.learn({words[j] for words, at in zip(split, gaps) for j in at})
+        for words, ids, at in zip(split, found, gaps):
+            for j in at:
+                ids[j] = self.new[words[j]]
+        return list(map(b"".join, found))
 
 
 _words = None
