@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing.
+
+Every stage but the last returns the columns of its input, whatever further ones there are. Null and empty texts and
+repeated rows go through; an empty table gives an empty one. Rows are told apart by doc_id and text.
+"""
 
 import uuid
 
@@ -8,28 +12,37 @@ from pyspark.sql import functions as F
 from sitefacts.llm import decontaminate, nearcopies, packing, pii, quality
 
 
+def whole(docs):
+    """The rows as one struct, beside doc_id and text, so that operators' columns can't clash with them."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def good(spark, docs, sf_dir):
+    """Documents that the classifier predicts good."""
     scorer = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, scorer).where("predicted = 1").select(docs.columns)
+    return quality.classify(whole(docs), scorer).where("predicted = 1").select("row.*")
 
 
 def one_of_each(spark, docs, sf_dir):
-    """Rows without doc_id stay."""
-    keep = nearcopies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near copies, that with the least doc_id (null last)."""
+    return nearcopies.one_of_each(docs)
 
 
 def without_benchmark(spark, docs, sf_dir):
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without a verified overlap with a benchmark item; two texts of one doc_id are judged apart."""
+    named = whole(docs).withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    found = decontaminate.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return named.join(found, named.doc_id.eqNullSafe(found.doc_id), "left_anti").select("row.*")
 
 
 def masked(spark, docs, sf_dir):
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """All documents, found spans replaced by their kind; n_chars follows where there is such a column."""
+    out = pii.redact(docs)
+    return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
 
 
 def packed(spark, docs, sf_dir):
+    """Pieces of all documents."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

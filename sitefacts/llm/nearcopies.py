@@ -1,11 +1,16 @@
-"""Near copies by exact word-shingle similarity: prefix filter for candidates, verified pairs, connected components.
-
-Two texts are linked if their sets of `size`-word shingles (lower-cased, split at white space; the whole text if
-shorter) have a Jaccard similarity of at least `similarity`. In any order shared by all texts, such sets have k
-shingles in common among the first n - ceil(similarity * n) + k of each, for k up to ceil(similarity * n), so no link
-is missed; k is 1 + n // 20, the lesser of both texts counts. The order is by hash, shingles of many texts last; which ones are put last changes the cost only. Each text of a shingle is first
-compared with the shingle's least text, then with all that are not yet connected to it. Texts of equal words
-(also null and empty ones) are copies. Repeated rows keep their rows; further columns are ignored.
+"""Near copies by SimHash BK-trees with exact verification of every link.
+
+A text is its set of `size`-word shingles (lower-cased, split at white space; the whole text if shorter). Two texts
+are linked if the Jaccard similarity of their sets is at least `similarity`. Candidates: `orders` random orders of
+shingles each put a text into the shard of its two least ones, which two texts of similarity 0.8 share with
+probability 0.64 an order (0.998 for six); a shard's BK-tree holds 64-bit fingerprints of all shingles of its texts,
+and over 0.999 of such texts are within `radius` 20 of them and agree in 40 of 64 least hash values. So a link is
+missed with a probability of about 0.004. All further candidates are verified by exact similarity where they are
+found, once, unless the task knows them to be connected already; only a spanning forest leaves a task. So a group of
+copies costs no pairs, and a group of texts that are alike but not similar costs comparisons in memory, no rows. A
+shard of over `most` texts or `most` * 1000 shingles is cut into parts that meet pair by pair. Texts of equal words
+(also null and empty ones) are copies. Repeated rows keep their rows; null doc_ids never name a component; an empty
+table has no rows; further columns are ignored.
 """
 
 import math
@@ -13,96 +18,132 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import shared_dir
-from .simhash import components
+from .simhash import components, fingerprint_of, groups, look_up, meetings, named, parts, together
+
+SEEDS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text, size=5):
-    """(hash of the words, sorted distinct hashes of their shingles)"""
+    """(hash of the words, sorted distinct hashes of their shingles; none wanted if size is 0)"""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    data, lens = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     if not words:
         return 0, np.zeros(0, np.int64)
+    data, lens = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    if not size:
+        return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(data, 7)))), lens
     ends, k = np.cumsum(lens + 1) - 1, min(size, len(words))
     starts, stops = (ends - lens)[:len(words) - k + 1].tolist(), ends[k - 1:].tolist()
     h = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts, stops)], "<u8").view("<i8")
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(data, 7)))), np.unique(h)
 
 
-def _shingled(size, batches):
-    for b in batches:
-        for i in range(0, len(b), 500):
-            some = b[i:i + 500]
-            got = [shingles(t, size) for t in some.text]
-            yield pd.DataFrame({"doc_id": some.doc_id.astype("Int64").values, "key": [k for k, _ in got], "sh": [s for _, s in got]})
+def samples(sh, orders):
+    """A number for the two least shingles of every order."""
+    out, values = [], sh.view(np.uint64)
+    for seed in SEEDS[:orders]:
+        mixed = values * seed
+        mixed ^= mixed >> np.uint64(29)
+        out.append(xxhash.xxh3_64_intdigest(np.sort(np.partition(mixed, 1)[:2] if len(mixed) > 2 else mixed).tobytes()) - 2**63)
+    return out
 
 
-def least_common(n, similarity):
-    return math.ceil(similarity * n - 1e-9)
+def least_values(sh):
+    """The highest byte of the least of the shingles' hashes by each of 64 functions."""
+    out = np.full(len(SEEDS), ~np.uint64(0))
+    for i in range(0, len(sh), 2048):
+        np.minimum(out, (sh[i:i + 2048].view(np.uint64)[:, None] * SEEDS).min(axis=0), out=out)
+    return xxhash_bytes(out)
 
 
-def least_early(n):
-    """A plain number or a column. More would cut more candidates and lengthen every prefix."""
-    return 1 + (n // 20 if isinstance(n, int) else F.floor(n / 20))
+def xxhash_bytes(values):
+    """A byte of each value, spread evenly."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _prefixes(hot, similarity, batches):
+def _sketches(size, orders, batches):
     for b in batches:
-        out = []
-        for sh in b.sh:
-            late = np.isin(sh, hot.value)
-            out.append(np.concatenate([sh[~late], sh[late]])[:len(sh) - least_common(len(sh), similarity) + least_early(len(sh))])
-        yield pd.DataFrame({"key": b.key, "n": [len(s) for s in b.sh], "prefix": out})
-
-
-def _verified(similarity, batches):
-    for b in batches:
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(b.x, b.y)]
-        ok = [i >= least_common(len(x) + len(y) - i, similarity) for i, x, y in zip(both, b.x, b.y)]
-        yield b.loc[np.array(ok, bool), ["a", "b"]]
-
-
-def links(rows: DataFrame, similarity, often, most_hot) -> DataFrame:
-    """Verified pairs (a, b) of keys that give the same components as all pairs of similar texts."""
-    spark = rows.sparkSession
-    some = rows.where(F.pmod("key", F.lit(8)) == 0).select("sh").where("size(sh) > 0")  # guesses the order, not the result
-    head = some.select(F.explode(F.slice("sh", F.lit(1), (F.size("sh") * 2 * (1 - similarity) + 5).cast("int"))).alias("s"))
-    hot = head.groupBy("s").count().where(F.col("count") >= often).orderBy(F.desc("count"), "s").limit(most_hot).select("s")
-    hot = spark.sparkContext.broadcast(np.array([r.s for r in hot.collect()], np.int64))
-    prefix = rows.where("size(sh) > 0").select("key", "sh").mapInPandas(lambda it: _prefixes(hot, similarity, it), "key long, n int, prefix array<long>")
-    entries, same = prefix.select("key", "n", F.explode("prefix").alias("s")), Window.partitionBy("s")
-    live = entries.withColumn("m", F.min(F.struct("key", "n")).over(same)).withColumn("high", F.max("key").over(same)).where("m.key < high")
-    live = live.select("s", "key", "n", F.col("m.key").alias("m"), F.col("m.n").alias("mn")).distinct().checkpoint()
-
-    def verify(pairs):
-        small = F.least("an", "bn")
-        pairs = pairs.where(small >= similarity * F.greatest("an", "bn") - 1e-9).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("c"))
-        pairs = pairs.where(F.col("c") >= F.least(least_early(small), F.ceil(similarity * small - 1e-9))).select("a", "b").checkpoint()
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets = rows.select("key", "sh").join(keys, "key", "left_semi").dropDuplicates(["key"])
-        sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
-        return sides.mapInPandas(lambda it: _verified(similarity, it), "a long, b long").checkpoint()
-
-    first = verify(live.where("key <> m").select(F.col("m").alias("a"), F.col("mn").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn")))
-    known = live.join(components(first), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("c"))
-    mixed = known.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
-    known = known.join(mixed, "s", "left_semi").checkpoint()
-    one, two = [known.select("s", F.col("key").alias(k), F.col("n").alias(f"{k}n"), F.col("c").alias(f"{k}c")) for k in "ab"]
-    more = one.join(two, "s").where("a < b AND ac <> bc").select("a", "an", "b", "bn")
-    return first.union(verify(more))
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, often: int = 10, most_hot: int = 200_000) -> DataFrame:
-    """doc_id, component_id (the least doc_id of its texts) for every row."""
+        for i in range(0, len(b), 500):
+            rows = []
+            for doc_id, text in zip(b.doc_id[i:i + 500], b.text[i:i + 500]):
+                key, sh = shingles(text, size)
+                rows.append((doc_id, key, len(sh), fingerprint_of(sh.view("<u8")) if len(sh) else 0, samples(sh, orders) if len(sh) else [], least_values(sh), sh))
+            out = pd.DataFrame(rows, columns=["doc_id", "key", "n", "fp", "samples", "least", "sh"]).astype({"doc_id": "Int64"})
+            yield out.assign(fp=out.fp.to_numpy("<u8").view("<i8"))
+
+
+def _forest(names, radius, similarity, batches):
+    """Verified links of each pair of parts, a spanning forest of them."""
+    agree = math.ceil(64 * (similarity - 0.18))
+    for frame in groups(batches, [*names, "i", "j"]):
+        key, n, k, sets, up, links = frame.key.tolist(), frame.n.to_numpy(), frame.k.iloc[0], frame.sh.tolist(), list(range(len(frame))), []
+        samples, least = np.array(frame.samples.tolist()), np.frombuffer(b"".join(frame.least), np.uint8).reshape(-1, len(SEEDS))
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def try_(row, others):
+            at = np.array(others)
+            at = at[np.minimum(n[at], n[row]) >= similarity * np.maximum(n[at], n[row]) - 1e-9]
+            at = at[(least[at] == least[row]).sum(axis=1) >= agree]
+            if k and len(at):  # the pair's first common shard alone decides
+                at = at[~(samples[at, :k] == samples[row, :k]).any(axis=1)]
+            for x in at.tolist():
+                if (a := top(row)) != (b := top(x)):
+                    same = len(np.intersect1d(sets[row], sets[x], assume_unique=True))
+                    if same >= math.ceil(similarity * (n[row] + n[x] - same) - 1e-9):
+                        up[a] = b
+                        links.append((key[row], key[x]))
+
+        met = {}
+        for row, d, items in meetings(frame, radius):
+            if met.get("row") != row:
+                if met:
+                    try_(met["row"], [x for _, some in sorted(met["found"], key=lambda f: f[0]) for x in some])
+                met = {"row": row, "found": []}
+            met["found"].append((d, items[:]))
+        if met:
+            try_(met["row"], [x for _, some in sorted(met["found"], key=lambda f: f[0]) for x in some])
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, orders: int = 6, radius: int = 20, most: int = 4000) -> DataFrame:
+    """The rows' doc_id, key of the text, component (its least key) and component_id (its least doc_id)."""
     spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
-    docs.select("doc_id", "text").mapInPandas(lambda it: _shingled(size, it), "doc_id long, key long, sh array<long>").write.parquet(out)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _sketches(size, orders, it), "doc_id long, key long, n long, fp long, samples array<long>, least binary, sh array<long>").write.parquet(out)
     rows = spark.read.parquet(out)
-    roots = components(links(rows, similarity, often, most_hot))
     each = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    rooted = each.join(roots, each.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("key", "component_id").checkpoint()
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    names, texts = ["k", "sample"], rows.where("n > 0")
+    shards = texts.select("key", "n", "fp", "samples").dropDuplicates(["key"]).select("key", "n", "fp", F.posexplode("samples").alias("k", "sample"))
+    met = parts(shards, names, most).checkpoint()
+    sets = texts.select("key", "samples", "least", "sh").join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    links = together(met.join(sets, "key"), names).mapInPandas(lambda it: _forest(names, radius, similarity, it), "a long, b long")
+    ids = named(each, components(links)).checkpoint()
+    return look_up(rows.select("doc_id", "key"), ids, "key")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """One row of every component: the one with the least doc_id, nulls last, then the least key."""
+    @F.pandas_udf("long")
+    def text_key(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, 0)[0] for t in text], dtype="int64")
+
+    ids = near_copies(docs, **how).checkpoint()
+    first = ids.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "key")).alias("w")).select("w.doc_id", "w.key")
+    again = ids.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key", F.lit(True).alias("again"))
+    same = lambda x, y: x.doc_id.eqNullSafe(y.doc_id) & (x.key == y.key)
+    first = first.join(again, same(first, again), "left").select(first.doc_id, first.key, F.coalesce("again", F.lit(False)).alias("again")).checkpoint()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"))
+
+    def kept(again):
+        some = first.where(F.col("again") == again)
+        return rows.join(some, same(rows, some), "left_semi")
+
+    return kept(False).unionByName(kept(True).dropDuplicates(["doc_id", "key"])).select("row.*")

@@ -66,8 +66,9 @@ def test_simhash_against_all_pairs(spark):
                 up[max(a, b)] = min(a, b)
     expected = {d: (f"{want[d]:016x}", top(d)) for d in ids}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op5_simhash_near_dedup(spark, SF).collect()} == expected
-    cut = simhash.near_duplicates(docs, most=3).collect()
-    assert {r.doc_id: r.component_id for r in cut} == {d: c for d, (_, c) in expected.items()}
+    for how in ({"most": 3}, {"most": 3, "masks": simhash.block_masks(10**9, 4000, 4)}):
+        cut = simhash.near_duplicates(docs, **how).collect()
+        assert {r.doc_id: r.component_id for r in cut} == {d: c for d, (_, c) in expected.items()}
     one = spark.sql("SELECT xxhash64('a b c d') AS h").first().h % 2**64
     assert simhash.fingerprint("A b\nc  D") == one
 
