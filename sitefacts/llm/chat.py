@@ -3,7 +3,8 @@
 Null role and text count as empty. Rows are ordered by (turn, role, text), so ties and repeated rows have
 one order; all of them are formatted. `valid` tells whether the machine accepts the role order. An unknown
 role is formatted without loss and makes the conversation invalid. Further columns are ignored. A
-conversation is one training example and so one row of the result.
+conversation is one training example and so one row of the result. A null conv_id is a conversation; an empty table
+has none.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,7 @@ def op2_chat_formatting(spark, sf_dir) -> DataFrame:
     back = read_back(format_conversations(turns.union(own)))
     text = F.concat_ws("", F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
-        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
 _ESC = "coalesce({0},'')"
@@ -69,4 +70,5 @@ WITH t AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(14 + length({_ESC.format('role')}) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+  CAST(sum(14 + length({_ESC.format('role')}) + length({_ESC.format('text')})) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, chr(10) ORDER BY turn, role, text), '(system\n)?user(\nassistant\nuser)*(\nassistant)?') AS valid FROM t GROUP BY conv_id"""

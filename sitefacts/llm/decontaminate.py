@@ -61,22 +61,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """(doc_id, item_id, matched, item_tokens): pairs whose overlap is verified.
 
     Only hits leave the first pass; the second cuts the passages beside them out of the texts. Seeds, items and
-    texts with hits are broadcast up to `broadcast_rows` of each, and joined by a shuffle beyond.
+    texts with hits are broadcast up to `broadcast_rows` of each (and 100 times as many words or hits in their arrays),
+    and joined by a shuffle beyond.
     """
     shared_dir(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("text <> ''")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
 
-    def side(df):
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
+    def side(df, values):
+        """Broadcast if its rows and what their arrays hold are few."""
+        rows, held = df.agg(F.count("*"), F.coalesce(F.sum(values), F.lit(0))).first()
+        return F.broadcast(df) if rows <= broadcast_rows and held <= 100 * broadcast_rows else df
 
     found = candidates(docs, items, masks, broadcast_rows, similarity).checkpoint()
-    met = docs.withColumn("key", F.xxhash64("text")).join(side(found), "key").select("doc_id", "found", tokens(F.col("text")).alias("words"))
+    met = docs.withColumn("key", F.xxhash64("text")).join(side(found, F.size("found")), "key").select("doc_id", "found", tokens(F.col("text")).alias("words"))
     cut = F.transform("found", lambda c: F.struct(c.item_id.alias("item_id"), F.greatest(F.lit(0), -c.start).alias("skip"),
         F.slice("words", F.greatest(F.lit(0), c.start) + 1, c.n + F.least(F.lit(0), c.start)).alias("part")))
     parts = met.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.item_id", "c.skip", "c.part")
     laid = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.size("part")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    same = parts.join(side(items), "item_id").select("doc_id", "item_id", F.size(F.filter(laid, lambda x: x)).cast("long").alias("matched"), F.size("item").cast("long").alias("item_tokens"))
+    same = parts.join(side(items, F.size("item")), "item_id").select("doc_id", "item_id", F.size(F.filter(laid, lambda x: x)).cast("long").alias("matched"), F.size("item").cast("long").alias("item_tokens"))
     return same.where(F.col("matched") >= similarity * F.col("item_tokens")).groupBy("doc_id", "item_id", "item_tokens").agg(F.max("matched").alias("matched"))
 
 

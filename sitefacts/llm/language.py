@@ -61,7 +61,8 @@ def fit(docs: DataFrame, most: int = 300, share: float = 0.05) -> Filter:
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= most).select("doc_id").distinct()
     seen, texts = {}, Counter()
-    for r in rows.join(F.broadcast(first), "doc_id").select("lang", "text").toLocalIterator():  # at most `most` a language
+    once = rows.join(F.broadcast(first), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    for r in once.select("lang", "text").toLocalIterator():  # at most `most` a language
         texts[r.lang] += 1
         seen.setdefault(r.lang, Counter()).update(np.unique(grams(r.text or "")).tolist())
     return Filter({k: [g for g, n in c.items() if n >= share * texts[k]] or list(c) for k, c in seen.items()})

@@ -65,27 +65,51 @@ def logistic(X, y, w, ridge=0.5):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 600, per_row: int = 4, dictionary: int = 110_000) -> Scorer:
+    """Of the rows chosen in each class, one half gives the dictionaries, the other the curve.
+
+    A dictionary holds `per_row` chunks of each text, picked by hash, and of these as many as `dictionary` bytes
+    take, again by hash. Texts are cut and measured by tasks; only chunks and features reach the driver. If a doc_id
+    has several texts, the least one counts.
+    """
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     known = labels.where(train & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r.quality: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rows = []
+    halves = []
     for q in (0, 1):
         ids = [r.doc_id for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-        got = docs.where(F.col("doc_id").isin(ids) & (F.length("text") < 30_000)).select("doc_id", "text").dropDuplicates(["doc_id"]).collect() if ids else []
-        rows += [(q, r.doc_id, r.text) for r in sorted(got, key=lambda r: zlib.crc32(str(r.doc_id).encode()))]
-    by = [[t for q, _, t in rows if q == k] for k in (0, 1)]
-    if not by[0] or not by[1]:
+        ids.sort(key=lambda d: zlib.crc32(str(d).encode()))
+        halves.append((ids[:len(ids) // 2], ids[len(ids) // 2:]))
+    if not all(some for half in halves for some in half):
         return Scorer()
 
-    def content(texts):
-        picked = [c for t in texts for c in sorted(chunks(t), key=zlib.crc32)[:per_row]]
-        return b"\n".join(picked)[:dictionary]
+    def texts(ids):
+        return docs.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def content(ids):
+        def cut(batches):
+            for b in batches:
+                yield pd.DataFrame({"chunk": [c for t in b.text for c in sorted(chunks(t), key=zlib.crc32)[:per_row]]})
 
-    half = [len(x) // 2 for x in by]
-    s = Scorer(content(by[1][:half[1]]), content(by[0][:half[0]]))
-    held = [(k, s.features(t)) for k in (0, 1) for t in by[k][half[k]:]]
-    raw, y = np.array([f for _, f in held]), np.array([k for k, _ in held], float)
-    s.mean, s.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-9
+        picked, room = [], dictionary
+        for c in sorted((bytes(r.chunk) for r in texts(ids).mapInPandas(cut, "chunk binary").collect()), key=lambda c: (zlib.crc32(c, 1), c)):
+            if len(c) < room:
+                picked.append(c)
+                room -= len(c) + 1
+        return b"\n".join(picked)
+
+    s = Scorer(content(halves[1][0]), content(halves[0][0]))
+    if not s.good or not s.bad:
+        return Scorer()
+
+    def measured(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "f": [list(s.features(t)) if t else None for t in b.text]})
+
+    held = [(q, r.f) for q in (0, 1) for r in sorted(texts(halves[q][1]).mapInPandas(measured, "doc_id long, f array<double>").collect(), key=lambda r: r.doc_id) if r.f]
+    if len({q for q, _ in held}) < 2:
+        return Scorer()
+    raw, y = np.array([f for _, f in held]), np.array([q for q, _ in held], float)
+    s.mean, s.scale, s.made = raw.mean(axis=0), raw.std(axis=0) + 1e-9, None
     n = [max(1, (y == k).sum()) for k in (0, 1)]
     w = np.where(y == 1, counts[1] / n[1], counts[0] / n[0])
     s.weights = logistic(np.column_stack([np.ones(len(y)), (raw - s.mean) / s.scale]), y, w / w.mean())

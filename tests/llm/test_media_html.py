@@ -53,7 +53,7 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     rows += [(9, "https://one.example/", "<div>Only page</div>"), (10, None, None), (11, "x", ""), (12, "https://a.example/0", rows[0][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for bound in (200_000, 0):
-        got = {r.page_id: r.text for r in html_text.extract(pages.withColumn("host", html_text.F.lit("clash")), broadcast_rows=bound).collect()}
+        got = {r.page_id: r.text for r in html_text.extract(pages.withColumn("host", html_text.F.lit("clash")), broadcast_nodes=bound).collect()}
         want = {i: f"Own words {i} <x> of page {i}\n\nMore {i}" for i in range(5)}
         assert got == want | {9: "Only page", 10: "", 11: "", 12: want[0]}
 
@@ -62,3 +62,26 @@ def test_html_marks():
     from sitefacts.llm import html_text
     h = "<nav>m</nav><article><header><h1>T</h1></header><p>a <b>b</b>c<ul><li>x<li>y</ul><div class='comment-list'>c</div><aside>s</aside><p>z<span class=ad>buy</span>w</article>tail<footer>f</footer>"
     assert [t for _, m, t in html_text.blocks(h) if m == "main"] == ["T", "a bc", "x", "y", "z", "w"]
+
+
+def test_style_tree_judges_marked_articles_and_unmarked_menus(spark):
+    from sitefacts.llm import html_text
+    page = "<ul class=top><li>Home<li>About us</ul><article><h1>Title {0}</h1><p>Own words {0}</p><p class=legal>All rights kept by Us Ltd</p></article>"
+    bare = "<ul class=top><li>Home<li>About us</ul><div class=text><p>Body {0} of its own</div>"
+    rows = [(i, f"https://marked.example/{i}", page.format(i)) for i in range(20)] + [(100 + i, f"https://bare.example/{i}", bare.format(i)) for i in range(8)]
+    rows += [(200, "https://few.example/", page.format(0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert all(got[i] == f"Title {i}\n\nOwn words {i}" for i in range(20))
+    assert all(got[100 + i] == f"Body {i} of its own" for i in range(8))
+    assert got[200] == "Title 0\n\nOwn words 0\n\nAll rights kept by Us Ltd"
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    from sitefacts.llm import html_text
+    began = time.time()
+    for opening in ("<div class=x>", "<p><table><tr><td>", "<b>", "<li>", "<ul><li>"):
+        assert html_text.blocks(opening * 20_000 + "deep")[-1][2] == "deep"
+    assert time.time() - began < 20
