@@ -70,17 +70,55 @@ def _sketches(size, orders, batches):
             rows = []
             for doc_id, text in zip(b.doc_id[i:i + 500], b.text[i:i + 500]):
                 key, sh = shingles(text, size)
-                rows.append((doc_id, key, len(sh), fingerprint_of(sh.view("<u8")) if len(sh) else 0, samples(sh, orders) if len(sh) else [], least_values(sh), sh))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "n", "fp", "samples", "least", "sh"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, key, len(sh), fingerprint_of(sh.view("<u8")) if len(sh) else 0, samples(sh, orders) if len(sh) else [], least_values(sh)))
+            out = pd.DataFrame(rows, columns=["doc_id", "key", "n", "fp", "samples", "least"]).astype({"doc_id": "Int64"})
             yield out.assign(fp=out.fp.to_numpy("<u8").view("<i8"))
 
 
+def _sets(size, orders, batches):
+    for b in batches:
+        for i in range(0, len(b), 100):
+            some = [shingles(t, size)[1] for t in b.text[i:i + 100]]
+            yield pd.DataFrame({"key": b.key[i:i + 100].to_numpy(), "samples": [samples(sh, orders) for sh in some], "sh": some})
+
+
+def likely(frame, radius, similarity):
+    """(row, rows of the tree, the nearest first) where fingerprint, size and least values allow the similarity."""
+    agree, n = math.ceil(len(SEEDS) * (similarity - 0.18)), frame.n.to_numpy()
+    least = np.frombuffer(b"".join(frame.least), np.uint8).reshape(-1, len(SEEDS))
+
+    def kept(row, found):
+        at = np.array([x for _, items in sorted(found, key=lambda f: f[0]) for x in items])
+        at = at[np.minimum(n[at], n[row]) >= similarity * np.maximum(n[at], n[row]) - 1e-9]
+        return at[(least[at] == least[row]).sum(axis=1) >= agree]
+
+    last, found = None, []
+    for row, d, items in meetings(frame, radius):
+        if row != last and found:
+            yield last, kept(last, found)
+            found = []
+        last = row
+        found.append((d, items[:]))
+    if found:
+        yield last, kept(last, found)
+
+
+def _plausible(names, radius, similarity, batches):
+    """The rows that have a likely partner in their shard."""
+    for frame in groups(batches, [*names, "i", "j"]):
+        some = np.zeros(len(frame), bool)
+        for row, at in likely(frame, radius, similarity):
+            some[at] = True
+            some[row] |= len(at) > 0
+        if some.any():
+            yield frame[some]
+
+
 def _forest(names, radius, similarity, batches):
     """Verified links of each pair of parts, a spanning forest of them."""
-    agree = math.ceil(64 * (similarity - 0.18))
     for frame in groups(batches, [*names, "i", "j"]):
-        key, n, k, sets, up, links = frame.key.tolist(), frame.n.to_numpy(), frame.k.iloc[0], frame.sh.tolist(), list(range(len(frame))), []
-        samples, least = np.array(frame.samples.tolist()), np.frombuffer(b"".join(frame.least), np.uint8).reshape(-1, len(SEEDS))
+        key, n, k, sets, up, links = frame.key.tolist(), frame.n.tolist(), frame.k.iloc[0], frame.sh.tolist(), list(range(len(frame))), []
+        samples = np.array(frame.samples.tolist())
 
         def top(x):
             while up[x] != x:
@@ -88,10 +126,7 @@ def _forest(names, radius, similarity, batches):
                 x = up[x]
             return x
 
-        def try_(row, others):
-            at = np.array(others)
-            at = at[np.minimum(n[at], n[row]) >= similarity * np.maximum(n[at], n[row]) - 1e-9]
-            at = at[(least[at] == least[row]).sum(axis=1) >= agree]
+        for row, at in likely(frame, radius, similarity):
             if k and len(at):  # the pair's first common shard alone decides
                 at = at[~(samples[at, :k] == samples[row, :k]).any(axis=1)]
             for x in at.tolist():
@@ -100,30 +135,40 @@ def _forest(names, radius, similarity, batches):
                     if same >= math.ceil(similarity * (n[row] + n[x] - same) - 1e-9):
                         up[a] = b
                         links.append((key[row], key[x]))
-
-        met = {}
-        for row, d, items in meetings(frame, radius):
-            if met.get("row") != row:
-                if met:
-                    try_(met["row"], [x for _, some in sorted(met["found"], key=lambda f: f[0]) for x in some])
-                met = {"row": row, "found": []}
-            met["found"].append((d, items[:]))
-        if met:
-            try_(met["row"], [x for _, some in sorted(met["found"], key=lambda f: f[0]) for x in some])
         if links:
             yield pd.DataFrame(links, columns=["a", "b"])
 
 
+def text_key(column):
+    """A hash of the text's words."""
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, 0)[0] for t in text], dtype="int64")
+
+    return key(column)
+
+
+def met_by(rows: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows whose key is among `keys`. A broadcast bitmap of 2**bits hash values (2**(bits-6) rows at most, whatever
+    the data) lets most other rows drop out before the join shuffles them."""
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
+    words = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("set"))
+    some = rows.withColumn("h", h).withColumn("word", F.shiftright("h", 6)).join(F.broadcast(words), "word")
+    some = some.where(F.expr("shiftrightunsigned(set, cast(h & 63 as int)) & 1 = 1")).select(*rows.columns)
+    return some.join(keys, "key", "left_semi")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, orders: int = 6, radius: int = 20, most: int = 4000) -> DataFrame:
     """The rows' doc_id, key of the text, component (its least key) and component_id (its least doc_id)."""
-    spark, out = docs.sparkSession, shared_dir(docs.sparkSession)
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _sketches(size, orders, it), "doc_id long, key long, n long, fp long, samples array<long>, least binary, sh array<long>").write.parquet(out)
+    spark, out, names = docs.sparkSession, shared_dir(docs.sparkSession), ["k", "sample"]
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _sketches(size, orders, it), "doc_id long, key long, n long, fp long, samples array<long>, least binary").write.parquet(out)
     rows = spark.read.parquet(out)
     each = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    names, texts = ["k", "sample"], rows.where("n > 0")
-    shards = texts.select("key", "n", "fp", "samples").dropDuplicates(["key"]).select("key", "n", "fp", F.posexplode("samples").alias("k", "sample"))
-    met = parts(shards, names, most).checkpoint()
-    sets = texts.select("key", "samples", "least", "sh").join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    shards = rows.where("n > 0").dropDuplicates(["key"]).select("key", "n", "fp", "least", F.posexplode("samples").alias("k", "sample"))
+    dealt = together(parts(shards, names, most), names)
+    met = dealt.mapInPandas(lambda it: _plausible(names, radius, similarity, it), dealt.schema).checkpoint()
+    texts = met_by(docs.select(text_key("text").alias("key"), "text"), met.select("key").distinct()).dropDuplicates(["key"])
+    sets = texts.mapInPandas(lambda it: _sets(size, orders, it), "key long, samples array<long>, sh array<long>")
     links = together(met.join(sets, "key"), names).mapInPandas(lambda it: _forest(names, radius, similarity, it), "a long, b long")
     ids = named(each, components(links)).checkpoint()
     return look_up(rows.select("doc_id", "key"), ids, "key")
@@ -131,10 +176,6 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, orders:
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """One row of every component: the one with the least doc_id, nulls last, then the least key."""
-    @F.pandas_udf("long")
-    def text_key(text: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, 0)[0] for t in text], dtype="int64")
-
     ids = near_copies(docs, **how).checkpoint()
     first = ids.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "key")).alias("w")).select("w.doc_id", "w.key")
     again = ids.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key", F.lit(True).alias("again"))
