@@ -1,88 +1,221 @@
-"""Search reports (RP-1, 2, 6, 14), date coverage (RP-21), the opportunity cohort (OP-1..3), exact breakdowns (IV-1),
-analytics reports (RP-8, 10, 15..18, 20) and the comparison of two periods (CP-4, 5)."""
-
-FACTS = """
-SELECT CAST(l_shipdate AS DATE) AS date, 'https://example.com/part/' || CAST(p_partkey AS STRING) AS page,
-       p_type AS query, n_name AS country, CASE WHEN l_linestatus = 'O' THEN 'MOBILE' ELSE 'DESKTOP' END AS device,
-       CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 1 ELSE 0 END AS clicks,
-       CAST(l_quantity AS BIGINT) AS impressions, CAST(l_linenumber AS DOUBLE) AS position
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-JOIN nation ON s_nationkey = n_nationkey"""
-METRICS = """CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,
-round(CAST(sum(clicks) AS DOUBLE) / CAST(sum(impressions) AS DOUBLE), 6) AS ctr,
-round(sum(position * impressions) / CAST(sum(impressions) AS DOUBLE), 6) AS position"""
-
-
-def search_sql(dims, start="1995-01-01", end="2001-12-31"):
-    keys = ", ".join(dims)
-    head, tail = (f"{keys}, ", f" GROUP BY {keys}") if dims else ("", "")
-    return f"SELECT {head}{METRICS} FROM ({FACTS}) f WHERE date BETWEEN DATE '{start}' AND DATE '{end}'{tail}"
-
-
-def cohort_sql(min_impressions=20, max_clicks=2, limit=None):
-    """Usable rows of the whole page report, ranked; `limit` is the report's top-k."""
-    top = f" WHERE rank <= {limit}" if limit else ""
-    return f"""SELECT * FROM (SELECT page, clicks, impressions, ctr, position,
-      row_number() OVER (ORDER BY impressions DESC, clicks, page) AS rank, count(*) OVER () AS observed
-      FROM ({search_sql(['page'])}) r WHERE impressions >= {min_impressions} AND clicks <= {max_clicks}
-      AND clicks <= impressions AND position >= 0) q{top}"""
-
-
-
-# A session ends after a day without events; its first event is its landing.
-EVENTS = """
-SELECT *, CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host,
-  CASE WHEN k < 40 THEN 'Organic Search' WHEN k < 70 THEN 'Direct' ELSE 'Referral' END AS channel
-FROM (SELECT *, first_value(event_type) OVER (PARTITION BY session ORDER BY ts, event_id) AS landing,
-    first_value(bucket) OVER (PARTITION BY session ORDER BY ts, event_id) AS k,
-    count(*) OVER (PARTITION BY session) AS session_events
-  FROM (SELECT *, CAST(user_id AS STRING) || '-' || CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS STRING) AS session
-    FROM (SELECT event_id, ts, CAST(ts AS DATE) AS date, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS bucket,
-        CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '1' DAY THEN 0 ELSE 1 END AS starts
-      FROM events) a) b) c"""
-SESSIONS = "count(DISTINCT session) AS sessions, count(DISTINCT CASE WHEN session_events > 1 THEN session END) AS engaged_sessions"
-PRODUCTION, ORGANIC = "host = 'example.com'", "host = 'example.com' AND channel = 'Organic Search'"
-
-
-def period_sql(start, end):
-    """Plain counts by user and event type: no session is needed, so none is built."""
-    return f"SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{start} 00:00:00' AND ts < TIMESTAMP '{end} 00:00:00' GROUP BY user_id, event_type"
-
-
-BEFORE, AFTER = period_sql("2024-01-01", "2024-01-15"), period_sql("2024-01-15", "2024-01-29")
-
-
-def only_sql(here, there):
-    return f"SELECT h.user_id, h.event_type, h.n FROM ({here}) h LEFT JOIN ({there}) t ON h.user_id = t.user_id AND h.event_type = t.event_type WHERE t.n IS NULL"
-
-
-SQL = {f"search_by_{d}": search_sql([d]) for d in ("page", "query", "country", "device", "date")} | {
-    "search_totals": search_sql([]),
-    "search_observed_dates": f"SELECT DISTINCT date FROM ({FACTS}) f",
-    "opportunity_cohort": cohort_sql(limit=10),
-    "page_identity": "SELECT page_id, url, sha256_hex(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages",
-    "search_page_exact_breakdowns": f"SELECT page, country, device, {METRICS} FROM ({FACTS}) f GROUP BY GROUPING SETS ((page, country), (page, device))",
-    "hostname_census": f"SELECT host, count(DISTINCT session) AS sessions, count(CASE WHEN event_type = 'view' THEN 1 END) AS views FROM ({EVENTS}) e GROUP BY host",
-    "channel_report": f"SELECT channel, {SESSIONS} FROM ({EVENTS}) e WHERE {PRODUCTION} GROUP BY channel",
-    "event_report": f"SELECT event_type, count(*) AS event_count FROM ({EVENTS}) e WHERE {PRODUCTION} GROUP BY event_type",
-    "organic_landings": f"SELECT landing, {SESSIONS} FROM ({EVENTS}) e WHERE {ORGANIC} GROUP BY landing",
-    "organic_landing_events": f"SELECT landing, event_type, count(*) AS event_count FROM ({EVENTS}) e WHERE {ORGANIC} GROUP BY landing, event_type",
-    "analytics_multi_range": "SELECT r.name, e.event_type, count(*) AS event_count, count(DISTINCT e.user_id) AS users FROM events e JOIN (SELECT 'first' AS name, TIMESTAMP '2024-01-01 00:00:00' AS low, TIMESTAMP '2024-01-15 00:00:00' AS high UNION ALL SELECT 'second', TIMESTAMP '2024-01-10 00:00:00', TIMESTAMP '2024-01-29 00:00:00') r ON e.ts >= r.low AND e.ts < r.high GROUP BY r.name, e.event_type HAVING count(*) > 1",
-    "compare_periods": f"SELECT b.user_id, b.event_type, b.n AS before_n, a.n AS after_n, a.n - b.n AS delta, round(CAST(100 AS DOUBLE) * CAST(a.n - b.n AS DOUBLE) / CAST(b.n AS DOUBLE), 6) AS percent FROM ({BEFORE}) b JOIN ({AFTER}) a ON b.user_id = a.user_id AND b.event_type = a.event_type",
-    "compare_only_before": only_sql(BEFORE, AFTER),
-    "compare_only_after": only_sql(AFTER, BEFORE),
-}
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
-
-
-def query(name):
-    def run(spark, sf_dir):
-        for t in TABLES:
-            if t in SQL[name]:
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(SQL[name].replace("sha256_hex(html)", "sha2(html, 256)").replace("encode(html)", "html"))
-    return run
-
-
-def oracle(name):
-    return SQL[name].replace("AS STRING", "AS VARCHAR").replace("sha256_hex", "sha256")
+"""Search and analytics reports (RP-1..24) and the realtime report (RT-1..4) as DataFrame functions.
+
+Search facts are (date, page, query, country, device, clicks, impressions, position, ...); events are (event_id, ts,
+user_id, host, channel, source, medium, event_name, landing key ...). Nothing is filled with zero: a group without
+rows has no row.
+"""
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import functions as X
+
+ORGANIC = "Organic Search"
+
+
+def filter_tree(tree) -> Column:
+    """RP-9: {"and": [...]}, {"or": [...]}, {"not": tree} or {"field", "value", "case_sensitive"}."""
+    if "and" in tree:
+        return reduce(lambda a, b: a & b, map(filter_tree, tree["and"]), F.lit(True))
+    if "or" in tree:
+        return reduce(lambda a, b: a | b, map(filter_tree, tree["or"]), F.lit(False))
+    if "not" in tree:
+        return ~filter_tree(tree["not"])
+    column, value = F.col(tree["field"]), F.lit(tree["value"])
+    return column == value if tree.get("case_sensitive", True) else F.lower(column) == F.lower(value)
+
+
+def filter_groups(groups) -> Column:
+    """RP-3: AND-ed (dimension, operator, expression) filters, one plain column that reaches the scan."""
+    ops = {"equals": lambda c, v: c == v, "notEquals": lambda c, v: c != v, "contains": lambda c, v: F.contains(c, F.lit(v)), "notContains": lambda c, v: ~F.contains(c, F.lit(v)),
+           "includingRegex": lambda c, v: c.rlike(v), "excludingRegex": lambda c, v: ~c.rlike(v)}
+    return reduce(lambda a, b: a & b, (ops[op](F.col(d), v) for d, op, v in groups), F.lit(True))
+
+
+def date_range(df: DataFrame, start: str, end: str, today: str | None = None) -> DataFrame:
+    """RP-2: inclusive; `today` is the Pacific date that the end may not pass."""
+    if start > end or today and end > today:
+        raise ValueError(f"not a date range: {start} to {end}")
+    return df.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def search_metrics() -> list:
+    impressions = F.sum("impressions").cast("double")
+    return [F.sum("clicks").cast("long").alias("clicks"), F.sum("impressions").cast("long").alias("impressions"), F.round(F.try_divide(F.sum("clicks").cast("double"), impressions), 6).alias("ctr"),
+            F.round(F.try_divide(F.sum(F.col("position") * F.col("impressions")), impressions), 6).alias("position")]
+
+
+def search_report(facts: DataFrame, dims=(), start=None, end=None, filters=(), search_type=None, data_state=None, aggregation="auto") -> DataFrame:
+    """RP-1..5. With byProperty a search id counts once: its best position and at most one click and impression."""
+    rows = date_range(facts, start, end) if start else facts
+    for column, value in (("type", search_type), ("data_state", data_state)):
+        rows = rows.where(F.col(column) == value) if value else rows
+    rows = rows.where(filter_groups(filters)) if filters else rows
+    if aggregation == "byProperty":
+        rows = rows.groupBy("search_id", *dims).agg(F.max("clicks").alias("clicks"), F.max("impressions").alias("impressions"), F.min("position").alias("position"))
+    return rows.groupBy(*dims).agg(*search_metrics())
+
+
+def page_of(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """RP-6."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def paginate(df: DataFrame, order: list, limit: int, max_pages: int = 20) -> DataFrame:
+    """RP-7: the retained rows with page_no and row_no. Ranks are given to at most limit * max_pages rows."""
+    kept = df.orderBy(*order).limit(limit * max_pages)
+    return kept.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("page_no", F.floor((F.col("row_no") - 1) / limit).cast("long"))
+
+
+def pagination_state(df: DataFrame, paged: DataFrame) -> DataFrame:
+    """RP-7: rows there are, rows retained, whether exhausted, and where to go on."""
+    a, b = df.agg(F.count("*").alias("row_count")), paged.agg(F.count("*").alias("retained"))
+    out = a.join(b)  # one row each
+    done = F.col("retained") >= F.col("row_count")
+    return out.select("row_count", "retained", done.alias("exhausted"), F.when(~done, F.col("retained")).alias("next_offset"))
+
+
+def search_suite(facts: DataFrame, start, end) -> dict:
+    """RP-14: totals, by page, by query, by date."""
+    return {name: search_report(facts, dims, start, end) for name, dims in (("totals", []), ("page", ["page"]), ("query", ["query"]), ("date", ["date"]))}
+
+
+def observed_dates(facts: DataFrame, end: str | None = None) -> DataFrame:
+    """RP-21: dates with a search row, and whether the end date is among them."""
+    out = facts.select("date").distinct()
+    if end is None:
+        return out
+    return out.agg(F.array_sort(F.collect_set("date")).alias("dates")).withColumn("end_observed", F.array_contains("dates", F.lit(end).cast("date")))
+
+
+def sessions(events: DataFrame, gap: str = "INTERVAL '30' MINUTES", firsts=("event_name",)) -> DataFrame:
+    """Events with session, session_events and first_<c> of the session for each of `firsts`.
+
+    A session ends after `gap` without events. A user's events are ordered hour by hour, and hours are stitched by a
+    window over one row per user and hour, so a user with very many events fills no task.
+    """
+    rows = events.withColumn("hour", F.date_trunc("HOUR", "ts"))
+    hours = rows.groupBy("user_id", "hour").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    by_user = Window.partitionBy("user_id").orderBy("hour")
+    hours = hours.withColumn("opens", F.coalesce(F.col("low") - F.lag("high").over(by_user) > F.expr(gap), F.lit(True)).cast("int")).drop("low", "high")
+    order = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id")
+    rows = rows.withColumn("new", F.coalesce(F.col("ts") - F.lag("ts").over(order) > F.expr(gap), F.lit(False)).cast("int"))
+    inside = rows.groupBy("user_id", "hour").agg(F.sum("new").alias("inside"))
+    hours = hours.join(inside, ["user_id", "hour"]).withColumn("first_no", F.sum(F.col("opens") + F.col("inside")).over(by_user) - F.col("inside")).select("user_id", "hour", "first_no")
+    rows = rows.withColumn("in_hour", F.sum("new").over(order)).join(hours, ["user_id", "hour"]).withColumn("session", F.col("first_no") + F.col("in_hour")).drop("new", "in_hour", "first_no", "hour")
+    facts = rows.groupBy("user_id", "session").agg(F.count("*").alias("session_events"), *[F.min_by(c, F.struct("ts", "event_id")).alias(f"first_{c}") for c in firsts])
+    return rows.join(facts, ["user_id", "session"]).withColumn("session", F.concat_ws("-", F.col("user_id").cast("string"), F.col("session").cast("string")))
+
+
+def session_counts() -> list:
+    return [F.count_distinct("session").alias("sessions"), F.count_distinct(F.when(F.col("session_events") > 1, F.col("session"))).alias("engaged_sessions")]
+
+
+def hostname_census(events: DataFrame, view: str = "view") -> DataFrame:
+    """RP-15: every host, without the production filter."""
+    return events.groupBy("host").agg(F.count_distinct("session").alias("sessions"), F.count_if(F.col("event_name") == view).alias("views"))
+
+
+def channel_report(events: DataFrame, host: str) -> DataFrame:
+    """RP-16."""
+    return events.where(F.col("host") == host).groupBy("channel", "source", "medium").agg(*session_counts())
+
+
+def event_report(events: DataFrame, host: str, key_events: list) -> DataFrame:
+    """RP-17: key events by the configured names."""
+    return events.where(F.col("host") == host).groupBy("event_name").agg(F.count("*").alias("event_count"), F.count_if(F.col("event_name").isin(*key_events)).alias("key_events"))
+
+
+def organic(events: DataFrame, host: str) -> DataFrame:
+    return events.where((F.col("host") == host) & (F.col("channel") == ORGANIC))
+
+
+def organic_landings(events: DataFrame, host: str) -> DataFrame:
+    """RP-18."""
+    return organic(events, host).groupBy("landing", "source").agg(*session_counts())
+
+
+def organic_events(events: DataFrame, host: str) -> DataFrame:
+    """RP-19."""
+    return organic(events, host).groupBy("event_name").agg(F.count("*").alias("event_count"))
+
+
+def organic_landing_events(events: DataFrame, host: str) -> DataFrame:
+    """RP-20: events tied to their session's first page."""
+    return organic(events, host).groupBy("landing", "source", "event_name").agg(F.count("*").alias("event_count"))
+
+
+def analytics_report(events: DataFrame, dims: list, metrics: dict, ranges: list, dim_filter=None, metric_filter=None, order=(), aggregations=(), keep_empty=False, limit=None, offset=0) -> DataFrame:
+    """RP-8..13: `ranges` are (name, start, end) with inclusive dates; an event counts in every range that holds it.
+
+    The outer bounds of all ranges reach the scan. `aggregations` adds rows of kind total, minimum, maximum, count.
+    """
+    low, high = min(r[1] for r in ranges), max(r[2] for r in ranges)
+    rows = events.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.date_add(F.lit(high).cast("date"), 1).cast("timestamp_ntz")))
+    rows = rows.where(filter_tree(dim_filter)) if dim_filter else rows
+    day = F.col("ts").cast("date")
+    held = F.array_compact(F.array(*[F.when(day.between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in ranges]))
+    out = rows.withColumn("date_range", F.explode(held)).groupBy("date_range", *dims).agg(*[c.alias(n) for n, c in metrics.items()])
+    out = out if keep_empty else out.where(F.greatest(*[F.col(m).cast("double") for m in metrics], F.lit(0.0)) > 0)
+    out = out.where(metric_filter) if metric_filter is not None else out
+    if aggregations:
+        how = {"total": F.sum, "minimum": F.min, "maximum": F.max, "count": F.count}
+        none = [F.lit(None).cast(out.schema[d].dataType).alias(d) for d in dims]
+        extra = [out.groupBy("date_range").agg(*[how[a](m).cast(out.schema[m].dataType).alias(m) for m in metrics]).select(F.lit(a).alias("row_kind"), "date_range", *none, *metrics) for a in aggregations]
+        out = reduce(DataFrame.unionByName, extra, out.select(F.lit("row").alias("row_kind"), "date_range", *dims, *metrics))
+    out = out.orderBy(*order) if order else out
+    return out.offset(offset).limit(limit) if limit else out
+
+
+def freshness(reports: DataFrame, zones: DataFrame, days: int = 3) -> DataFrame:
+    """RP-22: `reports` has end_date, time_zone, collected_at; `zones` has zone, the known names (some hundreds)."""
+    known = reports.join(F.broadcast(zones.select(F.col("zone").alias("time_zone"), F.lit(True).alias("known"))), "time_zone", "left")
+    zone = F.when(F.col("known"), F.col("time_zone")).otherwise(F.lit("UTC"))
+    age = F.date_diff(F.to_date(F.from_utc_timestamp("collected_at", zone)), F.col("end_date"))
+    return known.withColumn("freshness", F.when(F.isnull("known"), "cannot_assess").when(age < days, "not_settled").otherwise("settled")).drop("known")
+
+
+def report_warnings(thresholded, other_row, sampled, anonymised, by_page, non_final, exhausted) -> Column:
+    """RP-23: caveats of boolean columns, without repeats."""
+    said = [(thresholded, "thresholded"), (other_row, "other_row"), (sampled, "sampled"), (anonymised, "anonymised_queries"), (by_page, "page_aggregation"), (non_final, "data_not_final"), (~exhausted, "not_exhausted")]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in said])))
+
+
+def observation_name(provider: Column, dims: Column, organic_only: Column) -> Column:
+    """RP-24."""
+    base = F.concat(provider, F.lit("."), F.when(F.size(dims) > 0, F.concat_ws("+", dims)).otherwise(F.lit("totals")))
+    return F.concat(base, F.when(organic_only, F.lit(".organic")).otherwise(F.lit("")))
+
+
+def realtime_report(events: DataFrame, now: str, ranges=(("default", 29, 0),), dims=("event_name",), value: str | None = "value", dim_filter=None, metric_filter=None) -> DataFrame:
+    """RT-1, 3 over a table: events by minutes before `now`; an event counts in every range that holds it."""
+    for name, start, end in ranges:
+        if not 0 <= end <= start <= 59:
+            raise ValueError(f"not a minute range: {name}")
+    far = max(r[1] for r in ranges)
+    at = F.lit(now).cast("timestamp_ntz")
+    rows = events.where((F.col("ts") <= at) & (F.col("ts") > at - F.expr(f"INTERVAL '{far + 1}' MINUTES")))
+    rows = rows.where(filter_tree(dim_filter)) if dim_filter else rows
+    ago = F.floor(F.timestamp_diff("SECOND", F.col("ts"), at) / 60)
+    held = F.array_compact(F.array(*[F.when(ago.between(e, s), F.lit(n)) for n, s, e in ranges]))
+    out = rows.withColumn("minute_range", F.explode(held)).groupBy("minute_range", *dims).agg(F.count("*").alias("event_count"))
+    return out.where(metric_filter) if metric_filter is not None else out
+
+
+def realtime_state(row_count: int, returned: int) -> dict:
+    """RT-2: there is no offset to go on from."""
+    status = "invalid" if row_count < returned else "partial" if row_count > returned else "ok"
+    return {"status": status, "next_offset": None}
+
+
+def realtime_stream(stream: DataFrame, dims=("event_name",), window="30 minutes", slide="1 minute", lateness="10 minutes") -> DataFrame:
+    """RT-1, 4 over a stream whose `ts` is a TIMESTAMP: moving windows, rows later than `lateness` dropped by the watermark."""
+    rows = stream.withWatermark("ts", lateness).groupBy(F.window("ts", window, slide), *dims).agg(F.count("*").alias("event_count"))
+    return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *dims, "event_count")
+
+
+def late_rows(events: DataFrame, lateness: str = "INTERVAL '10' MINUTES") -> DataFrame:
+    """RT-4: events that arrive (`arrived_at`) later than the accepted lateness, counted apart."""
+    return events.where(F.col("arrived_at") - F.col("ts") > F.expr(lateness)).groupBy("event_name").agg(F.count("*").alias("late"))
