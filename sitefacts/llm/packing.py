@@ -60,7 +60,7 @@ class Words:
 
     MARK, ENDS, KNOWN_LETTERS = "\x01", ".,;:!?$%&*#()", "ɏ"
 
-    def __init__(self, path, most=900_000):
+    def __init__(self, path, most=500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.path, self.most, self.tok, self.new, self.old = path, most, Tokenizer.from_file(path), {"": b""}, {}
