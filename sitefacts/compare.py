@@ -30,8 +30,8 @@ def only_in(here: DataFrame, there: DataFrame, keys: list) -> DataFrame:
 def cap(rows: DataFrame, groups: list, order: list, most: int = 100) -> DataFrame:
     """CP-6: the first rows of each group in key order, with the number omitted."""
     part = Window.partitionBy(*groups)
-    out = rows.withColumn("k", F.row_number().over(part.orderBy(*order))).withColumn("n", F.count("*").over(part)).where(F.col("k") <= most)
-    return out.withColumn("omitted", F.greatest(F.col("n") - most, F.lit(0)).cast("long")).drop("k", "n")
+    out = rows.withColumn("rank_", F.row_number().over(part.orderBy(*order))).withColumn("count_", F.count("*").over(part)).where(F.col("rank_") <= most)
+    return out.withColumn("omitted", F.greatest(F.col("count_") - most, F.lit(0)).cast("long")).drop("rank_", "count_")
 
 
 def pair(before: DataFrame, after: DataFrame, usable_before: DataFrame, usable_after: DataFrame) -> DataFrame:

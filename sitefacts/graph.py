@@ -44,7 +44,7 @@ def redirect_chains(links: DataFrame, fetched: DataFrame, most: int = 100) -> Da
 
     Each chain visits a URL at most once, so at most `most` hops are followed; longer chains are `hop_limit`.
     """
-    moved = links.where("kind = 'redirect'").groupBy("run_id", F.col("from")).agg(F.min_by("to", F.struct("seq", "pos")).alias("to"))
+    moved = links.where("kind = 'redirect'").groupBy("run_id", F.col("from")).agg(F.min_by("to", F.struct("seq", "pos", "to")).alias("to"))
     step = moved.select("run_id", F.col("from").alias("at"), F.struct(F.col("to").alias("to")).alias("next")).checkpoint()
     here = fetched.select("run_id", F.col("url").alias("at"), F.lit(True).alias("seen")).distinct()
     live = moved.select("run_id", F.col("from").alias("start"), F.array("from").alias("path"), F.col("to").alias("at"))

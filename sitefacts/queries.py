@@ -369,7 +369,7 @@ def verdict_sql(urls):
 
 
 URLS = f"SELECT {ORIGIN} AS origin, CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) LIKE '/%' THEN '' ELSE '/' END || regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages"
-STEP = f"SELECT f, arg_min(t, (seq, pos)) AS t FROM ({EDGES}) e WHERE cost = 0 GROUP BY f"
+STEP = f"SELECT f, arg_min(t, (seq, pos, CAST(t AS VARCHAR))) AS t FROM ({EDGES}) e WHERE cost = 0 GROUP BY f"
 UNASSOCIATED = f"""SELECT *, count(*) OVER () AS unassociated FROM (SELECT landing, source, {COUNTS} FROM ({EVENTS}) e WHERE {ORG} GROUP BY landing, source) l
  WHERE landing NOT IN (SELECT replace(page, 'https://example.com', '') FROM ({COHORT}) c ORDER BY impressions DESC, clicks, page LIMIT 10)"""
 
