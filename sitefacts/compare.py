@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
+from .workdir import shared_dir
 
 STATUSES = ("compared", "limited", "incompatible", "unsupported", "unavailable")
 
@@ -54,7 +55,10 @@ def pair(before: DataFrame, after: DataFrame, usable_before: DataFrame, usable_a
 
 def compare_snapshots(pairs: DataFrame, before: DataFrame, after: DataFrame, limits: DataFrame, most: int = 100):
     """CP-4..7: (statuses, changes, only before, only after). Sides are normalised rows (site, name, keys, metric,
-    raw); `limits` is (site, name) of reports with a limitation."""
+    raw); `limits` is (site, name) of reports with a limitation. The pairs, a row a report, are kept in the checkpoint
+    folder, as every result reads them."""
+    shared_dir(pairs.sparkSession)
+    pairs = pairs.checkpoint()
     fine = pairs.where("status = 'compared'").select("site", "name")
     b, a = before.join(fine, ["site", "name"], "left_semi"), after.join(fine, ["site", "name"], "left_semi")
     key = ["site", "name", "keys"]

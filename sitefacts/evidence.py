@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
+from .workdir import shared_dir
 
 # The dimensions that an analytics comparison allows.
 ANALYTICS_DIMENSIONS = ["hostName", "sessionDefaultChannelGroup", "sessionSourceMedium", "eventName", "landingPagePlusQueryString", "sessionSource"]
@@ -212,8 +213,12 @@ def limitations(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def normalize_reports(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """NR-16: a row for each row and metric of the reports without a violation, in long form with the raw text."""
-    pages = report_pages(observations)
+    """NR-16: a row for each row and metric of the reports without a violation, in long form with the raw text.
+
+    The rules read the pages several times, so these are parsed once and kept in the checkpoint folder.
+    """
+    shared_dir(observations.sparkSession)
+    pages = report_pages(observations).checkpoint()
     good = pages.join(report_violations(pages, snapshots).select("snapshot_id", "observation").distinct(), ["snapshot_id", "observation"], "left_anti")
     rows = good.select("snapshot_id", "site", "observation", "provider", "operation", "target", "scope", "aggregation", "start_date", "end_date", "dims", "metrics", F.explode("rows").alias("r"))
     return rows.select(*rows.columns[:-2], F.col("r.keys").alias("keys"), F.posexplode(F.arrays_zip(F.col("metrics").alias("metric"), F.col("r.raw").alias("raw"))).alias("metric_no", "m")).select("*", "m.metric", "m.raw").drop("m")

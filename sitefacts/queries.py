@@ -239,7 +239,7 @@ def normalized(spark, sf):
 
 def snapshot_sides(spark, sf):
     s, o, _ = snapshots(spark, sf)
-    norm = evidence.normalize_reports(o, s).withColumnRenamed("observation", "name")
+    norm = evidence.normalize_reports(o, s).withColumnRenamed("observation", "name").checkpoint()  # both sides are parts of it
     pages = evidence.report_pages(o).groupBy("snapshot_id", F.col("observation").alias("name")).agg(F.first("scope").alias("scope"), F.first("aggregation").alias("aggregation"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
     side = o.select("snapshot_id", "site", "name", "provider", "operation", "target", "status", F.size("pages").alias("n_pages")).join(pages, ["snapshot_id", "name"], "left")
     half = lambda df, w: df.where(F.col("snapshot_id").endswith(w))
