@@ -289,7 +289,7 @@ class _Reader:
 
 def _streamed(turns, lives):
     """The rows of each conversation in order, in one partition, behind a row of kind 0 with its edits."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], lives.alias("lives"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.lit(1) if lives is None else lives).alias("lives"))
     audits = edits(blocks(records(rows)))
     digest = F.unhex(F.md5("text"))
     texts = rows.select("conv_id", F.lit(1).alias("kind"), "turn", "role", digest.alias("digest"), F.when(F.col("lives") > 0, F.col("text")).alias("text"), "lives", F.lit(None).cast("array<long>").alias("head"))
@@ -320,7 +320,7 @@ def _read(batches, begin, end):
     yield
 
 
-def repaired_turns(turns: DataFrame, lives=F.lit(1)) -> DataFrame:
+def repaired_turns(turns: DataFrame, lives=None) -> DataFrame:
     """conv_id, place, edit, role, text: the rows that stay, in order of `place` from 0; `lives` is how often a row counts."""
     schema = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("edit", pa.string()), ("role", pa.string()), ("text", pa.string())])
 
@@ -338,7 +338,7 @@ def repaired_turns(turns: DataFrame, lives=F.lit(1)) -> DataFrame:
     return _streamed(turns, lives).mapInArrow(run, "conv_id long, place long, edit string, role string, text string")
 
 
-def reports(turns: DataFrame, lives=F.lit(1)) -> DataFrame:
+def reports(turns: DataFrame, lives=None) -> DataFrame:
     """One row a conversation: faults, cost, edits, and the SHA-256 of its repaired rows `role:text`, one a line."""
     names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     schema = pa.schema([*[(n, pa.int64()) for n in names], ("audit", pa.string()), ("repaired_sha256", pa.string())])
