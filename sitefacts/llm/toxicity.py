@@ -242,7 +242,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
     ids = F.broadcast(some[0].union(some[1]))  # 2 * most rows at most
-    texts = docs.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def told(batches):
         for b in batches:
