@@ -235,11 +235,15 @@ def sketch(text):
     return min((zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labels that may be learned from."""
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    return labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def sampled(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """toxic, fold, text (lower-cased) of the rows to learn from, written once."""
     spark = docs.sparkSession
-    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
-    known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
     ids = F.broadcast(some[0].union(some[1]))  # 2 * most rows at most
     texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
@@ -257,7 +261,8 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 2_000, least_docs: int = 4, z: float = 1.64, threshold: float = 0.7) -> Model:
     """Only stems above `threshold` and four numbers a sampled text reach the driver."""
-    rows = sampled(docs, labels, most)
+    known = learnable(labels)
+    rows = sampled(docs, known, most)
     n = {(r.toxic, r.fold): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
 
     def counted(batches):
@@ -304,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2_000, least_docs: int =
 
     got = sorted((r.toxic, r.f) for r in rows.mapInPandas(measured, "toxic int, f array<double>").collect())
     X, y = np.array([[1.0, *f] for _, f in got]), np.array([float(t) for t, _ in got])
-    share = {r.toxic: r["count"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    share = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     w = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
     return Model(lexicon([0, 1]), logistic(X, y, w / w.mean()))
 
