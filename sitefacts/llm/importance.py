@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts.ranks import ranked
+from sitefacts.workdir import shared_dir
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 POLYNOMIAL = 0xEDB88320
@@ -154,7 +155,9 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = 10_000, most: int =
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words: int = 20, **settings) -> DataFrame:
     """The same rows with `rank`: 1, 2, ... for the highest scores of documents of enough words, null if not drawn."""
-    rows = weigh(docs, target, **settings).withColumn("fit", F.col("n_words") >= least_words)
+    out = shared_dir(docs.sparkSession)
+    weigh(docs, target, **settings).write.parquet(out)  # the texts are not scanned again for the bounds of the ranges
+    rows = docs.sparkSession.read.parquet(out).withColumn("fit", F.col("n_words") >= least_words)
     order: list[Column] = [F.desc("fit"), F.desc("score"), F.asc_nulls_last("doc_id")]
     placed = ranked(rows, order, "place")
     drawn = percent * placed.where("fit").count() // 100
