@@ -76,6 +76,19 @@ def sitemap_docs(spark, sf_dir) -> DataFrame:
     return maps.unionByName(rows.select(F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.lit(200).alias("status"), index.alias("body")))
 
 
+def broken_sitemaps(spark, sf_dir) -> DataFrame:
+    """For every page a sound sitemap of it, one with foreign content that is no fault, and one for each fault."""
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    loc = F.concat(F.lit("<loc>"), escaped, F.lit("</loc>"))
+    whole = lambda inside, head="<urlset>", tail="</urlset>": F.concat(F.lit(head + "<url>"), inside, F.lit("</url>" + tail))
+    bodies = {"sound": whole(loc), "foreign": whole(F.concat(F.lit("<i:loc><i:b>x</i:b></i:loc>"), loc), '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:i">'),
+        "prefix": F.concat(F.lit('<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url>'), F.lit("</s:url></s:urlset>")), "no_loc": whole(F.lit("<lastmod>2024-01-01</lastmod>")), "two_locs": whole(F.concat(loc, loc)),
+        "unknown": F.concat(F.lit("<urlset><x>"), loc, F.lit("</x></urlset>")), "nested": whole(F.concat(F.lit("<loc><b>"), escaped, F.lit("</b></loc>"))), "doctype": whole(loc, "<!DOCTYPE urlset><urlset>"), "open": whole(loc, tail=""),
+        "foreign_entry": F.concat(F.lit('<urlset xmlns:i="urn:i"><i:url>'), loc, F.lit("</i:url></urlset>"))}
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), b.alias("body")) for n, b in bodies.items()])).alias("made")
+    return table(spark, sf_dir, "pages").select("url", made).select(F.concat("url", F.lit("#"), F.col("made.name")).alias("url"), F.lit(200).alias("status"), "made.body")
+
+
 def snapshot_documents(spark, sf_dir) -> DataFrame:
     """(snapshot_id, body): two saved snapshots a host, each with an event report of its half of January."""
     e = raw_events(spark, sf_dir).withColumn("half", F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), "first").when(F.col("ts") < F.lit("2024-01-29").cast("timestamp_ntz"), "second")).where("half IS NOT NULL")

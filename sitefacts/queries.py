@@ -31,6 +31,10 @@ COHORT = f"SELECT page, {METRICS} FROM ({FACTS}) f GROUP BY page HAVING sum(impr
 ANCHORS = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) - 1 AS pos FROM pages"
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 CRAWLED = "SELECT page_id, url, CASE WHEN page_id % 10 = 7 THEN 404 ELSE 200 END AS status, html FROM pages"
+INVENTORY = f"""WITH o AS (SELECT {ORIGIN} AS o, CAST(sum(octet_length(encode('<url><loc>' || replace(url, '&', '&amp;') || '</loc><lastmod>' || strftime(DATE '2024-01-01' + CAST(page_id % 60 AS INT), '%Y-%m-%d') || '</lastmod></url>'))) + 17 AS BIGINT) AS size, count(DISTINCT url) AS n FROM pages GROUP BY 1)
+ SELECT o || '/sitemap.xml' AS root, CASE position WHEN 4 THEN name ELSE o || name END AS url, position, CASE position WHEN 1 THEN CAST(octet_length(encode('<sitemapindex><sitemap><loc>' || o || '/pages.xml</loc></sitemap><sitemap><loc>' || o || '/gone.xml</loc></sitemap><sitemap><loc>https://elsewhere.example/x.xml</loc></sitemap></sitemapindex>')) AS BIGINT) WHEN 2 THEN size END AS bytes, error,
+  CASE position WHEN 1 THEN 0::BIGINT WHEN 2 THEN n END AS urls, 0::BIGINT AS omitted, n AS all_urls
+ FROM o, (VALUES (1, '/sitemap.xml', NULL), (2, '/pages.xml', NULL), (3, '/gone.xml', 'not_fetched'), (4, 'https://elsewhere.example/x.xml', 'outside_origin')) d(position, name, error)"""
 EDGES = """SELECT DISTINCT a.l_partkey AS f, b.l_partkey AS t, CASE WHEN a.l_linenumber = 1 AND a.l_returnflag = 'R' THEN 0 ELSE 1 END AS cost, a.l_orderkey AS seq, a.l_linenumber AS pos
  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
 
@@ -414,7 +418,10 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "robots_verdicts": (verdicts, verdict_sql(URLS)),
     "ai_crawler_audit": (ai_crawler_audit, f"SELECT origin, agent AS name, CASE agent WHEN 'gptbot' THEN 'Unknown' ELSE 'Big' END AS operator, CASE agent WHEN 'gptbot' THEN 'Unknown' ELSE 'search' END AS category, allowed FROM ({verdict_sql(f'SELECT DISTINCT {ORIGIN} AS origin, chr(47) AS path FROM pages')}) v"),
     "robots_report": (robots_report, None),
-    "sitemap_entries": (lambda s, sf: sitemaps.sitemap_entries(A.sitemap_docs(s, sf)), None), "sitemap_inventory": (inventory, None), "sitemap_coverage": (lambda s, sf: sitemaps.sitemap_coverage(inventory(s, sf)), None),
+    "sitemap_entries": (lambda s, sf: sitemaps.sitemap_entries(A.sitemap_docs(s, sf)), None), "sitemap_inventory": (inventory, f"SELECT root, url, position, bytes, error, urls, omitted, all_urls FROM ({INVENTORY}) i"),
+    "sitemap_rejects": (lambda s, sf: sitemaps.sitemap_rejects(A.broken_sitemaps(s, sf)), """SELECT url || '#' || fault AS url, CASE fault WHEN 'prefix' THEN 'unsupported_sitemap' ELSE 'invalid_sitemap' END AS reject FROM pages,
+ (VALUES ('prefix'), ('no_loc'), ('two_locs'), ('unknown'), ('nested'), ('doctype'), ('open'), ('foreign_entry')) f(fault)"""),
+    "sitemap_coverage": (lambda s, sf: sitemaps.sitemap_coverage(inventory(s, sf)), f"SELECT root, count(*) FILTER (error IS NULL) AS documents, count(*) FILTER (error IS NOT NULL) AS errors, 0::BIGINT AS unvisited, max(all_urls) AS urls, max(omitted) AS omitted, false AS complete FROM ({INVENTORY}) i GROUP BY root"),
     "sitemap_future": (lambda s, sf: sitemaps.future_lastmods(sitemaps.sitemap_entries(A.sitemap_docs(s, sf)), "2024-02-01"), "SELECT DISTINCT strftime(DATE '2024-01-01' + CAST(page_id % 60 AS INT), '%Y-%m-%d') AS lastmod FROM pages WHERE DATE '2024-01-01' + CAST(page_id % 60 AS INT) > DATE '2024-02-01'"),
     "graph_edges": (lambda s, sf: site_graph(s, sf)[1].select(F.col("seq").alias("page_id"), "pos", "raw", "kind"), f"SELECT page_id, CAST(pos AS INT) AS pos, href AS raw, 'link' AS kind FROM ({ANCHORS}) a WHERE page_id % 10 <> 7"),
     "graph_incoming": (lambda s, sf: graph.incoming(A.part_links(s, sf)).select("url", "links", "from_others", "pages"), "SELECT 'https://example.com/part/' || b.l_partkey AS url, count(*) AS links, count(CASE WHEN a.l_partkey <> b.l_partkey THEN 1 END) AS from_others, count(DISTINCT a.l_partkey) AS pages FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE NOT (a.l_linenumber = 1 AND a.l_returnflag = 'R') GROUP BY b.l_partkey"),

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sitefacts import assess, compare, evidence, graph, pages, reports, robots, sitemaps, speed
+from sitefacts import assess, compare, evidence, graph, pages, reports, robots, speed
 from sitefacts import functions as X
 from sitefacts import opportunities as O
 
@@ -94,25 +94,6 @@ def test_page_flavours(spark):
     assert e["link", "i?a=1&b=2#one"] == "https://s.example/sub/i?a=1&b=2" and e["link", "/two"] == "https://s.example/two"
 
 
-@pytest.mark.parametrize("body, want", [("<urlset><url><loc>a&amp;b</loc></url></urlset>", 1), ("<urlset/>", 0), ("<urlset><url><loc><![CDATA[x<y]]></loc><lastmod>2099-01-01</lastmod></url></urlset>", 1), ("<urlset><url></url></urlset>", "invalid_sitemap"),
-    ("<urlset><url><loc>a</loc><loc>b</loc></url></urlset>", "invalid_sitemap"), ("<urlset><url><loc> </loc></url></urlset>", "invalid_sitemap"), ("<!DOCTYPE x><urlset/>", "invalid_sitemap"), ("<urlset>&x;</urlset>", "invalid_sitemap"), ("<urlset><url>", "invalid_sitemap"),
-    ("<urlset/><urlset/>", "invalid_sitemap"), ('<s:urlset xmlns:s="x"/>', "unsupported_sitemap"), ("<feed/>", "unsupported_sitemap"), (None, "invalid_sitemap"), ("<urlset><url><loc>a<b/></loc></url></urlset>", "invalid_sitemap")])
-def test_sitemap_documents(body, want):
-    try:
-        assert len(sitemaps.read_document(body)) == want
-    except sitemaps.Rejected as e:
-        assert str(e) == want
-
-
-def test_sitemap_inventory_caps(spark):
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example/{i}.xml</loc></sitemap>" for i in range(200)) + "</sitemapindex>"
-    docs = frame(spark, [("https://s.example/i.xml", 200, index)] + [(f"https://s.example/{i}.xml", 200, f"<urlset><url><loc>https://s.example/p{i}</loc></url></urlset>") for i in range(3)], "url string, status int, body string")
-    roots = frame(spark, [("https://s.example/i.xml",)], "root string")
-    got = sitemaps.sitemap_inventory(roots, docs)
-    assert [(r.position, r.error, r.urls, r.omitted) for r in got.orderBy("position").collect()] == [(1, None, 0, 196), (2, None, 1, 196), (3, None, 1, 196), (4, None, 1, 196), (5, "not_fetched", None, 196)]
-    assert not sitemaps.sitemap_coverage(got).first().complete and sitemaps.crawl_sitemap_urls(roots, docs, cap=2).count() == 2
-
-
 def test_graph_depths_chains_and_findings(spark):
     u = lambda p: f"https://s.example/{p}"
     links = frame(spark, [("r", 1, 0, u("a"), u("b"), "redirect", None), ("r", 2, 0, u("b"), u("c"), "link", None), ("r", 3, 0, u("c"), u("a"), "link", None), ("r", 4, 0, u("l"), u("m"), "redirect", None), ("r", 5, 0, u("m"), u("l"), "redirect", None), ("r", 6, 0, u("o"), "https://other.example/", "redirect", None), ("r", 7, 0, u("n"), None, "redirect", None), ("r", 8, 0, u("g"), u("gone"), "redirect", None), ("r", 9, 0, u("c"), u("c"), "link", None)],
