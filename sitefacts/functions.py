@@ -1,53 +1,59 @@
 """Scalar functions (FN-1..22) as Spark columns; null in, null out unless stated. Missing is unknown, never zero."""
 
 import re
+from functools import lru_cache
 from html import unescape
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
+
 DEFAULT_PORTS = {"http": 80, "https": 443}
 PACIFIC = "America/Los_Angeles"
 SAFE = 2**53 - 1
 
 
+# URLs that are their own serialisation: lower-case letters in a host without numbers at its end, and a path and query of
+# characters that stay as they are, no segment of which begins with a dot.
+_HOST = r"https?://(?:(?!xn--)[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?!xn--)[a-z](?:[a-z-]*[a-z])?"
+_PATH = r"/[A-Za-z0-9_~!$&()*+,;=:@./-]*"
+_REST = r"(?:\?[A-Za-z0-9_~!$&()*+,;=:@./?%-]*)?(?:#[A-Za-z0-9_~!$&()*+,;=:@./?%-]*)?\z"
+_DOTS = r"^[^?#]*/\."
+
+
+@lru_cache(maxsize=1024)
+def _base(text):
+    return urls.parse(text)
+
+
 def resolve_text(raw, base, keep_fragment=False, http_only=True):
-    """An absolute URL in serialised form, or None: lower-case host, no default port, dot segments removed, non-ASCII
-    percent-encoded; query order, case and trailing slashes stay."""
+    """An absolute URL as the URL standard serialises it, or None; `http_only` takes http and https without user only."""
     if raw is None or base is None:
         return None
-    try:
-        text = re.sub(r"[\t\r\n]", "", raw.strip("".join(map(chr, range(33)))))
-        if re.match(r"(?i)https?:", text) or not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", text):
-            cut = re.search(r"[?#]|$", text).start()
-            text = text[:cut].replace("\\", "/") + text[cut:]
-        u = urlsplit(urljoin(base, text))
-        scheme = u.scheme.lower()
-        if scheme not in DEFAULT_PORTS:
-            return None if http_only or not scheme else urlunsplit(u)
-        host, port = u.hostname, u.port
-        if not host or re.search(r"[\s<>^|%\\]", host) or http_only and "@" in u.netloc:
-            return None
-        host = host if host.isascii() else host.encode("idna").decode()
-        host = f"[{host}]" if ":" in host else host
-        user = u.netloc.rpartition("@")[0] + "@" if "@" in u.netloc else ""
-        where = user + host + (f":{port}" if port and port != DEFAULT_PORTS[scheme] else "")
-        path = quote(u.path or "/", safe="/%:@!$&'()*+,;=~[]|^-._\\")
-        query, fragment = quote(u.query, safe="/%:@!$&()*+,;=~[]|^-._?\\{}`"), quote(u.fragment, safe="/%:@!$&'()*+,;=~[]|^-._?#\\{}")
-        return urlunsplit((scheme, where, path, query, fragment if keep_fragment else ""))
-    except (ValueError, UnicodeError):
+    against = _base(base)
+    u = against and urls.parse(raw, against)
+    if not u or http_only and (u.scheme not in DEFAULT_PORTS or u.user or u.password):
         return None
+    return u.href(keep_fragment)
 
 
 def resolve_url(raw: Column, base: Column, keep_fragment=False, http_only=True) -> Column:
-    """FN-1 and, with keep_fragment and not http_only, FN-2."""
+    """FN-1 and, with keep_fragment and not http_only, FN-2.
+
+    Plain absolute references, and plain ones from the root of a plain base, are columns; only the others go to Python.
+    """
     @F.pandas_udf("string")
     def run(raw: pd.Series, base: pd.Series) -> pd.Series:
         return pd.Series([resolve_text(r, b, keep_fragment, http_only) for r, b in zip(raw, base)], dtype=object)
 
-    return run(raw, base)
+    sound = base.rlike(rf"^{_HOST}(?:{_PATH})?{_REST}") & ~base.rlike(_DOTS)
+    whole, rooted = raw.rlike(rf"^{_HOST}{_PATH}{_REST}"), raw.rlike(rf"^(?!//){_PATH}{_REST}")
+    plain = F.when(sound & (whole | rooted) & ~raw.rlike(_DOTS), F.when(whole, raw).otherwise(F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), raw)))
+    plain = plain if keep_fragment else F.substring_index(plain, "#", 1)
+    return F.coalesce(plain, run(F.when(F.isnull(plain), raw), base))
 
 
 def origin(url: Column) -> Column:

@@ -423,7 +423,7 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
  (VALUES ('prefix'), ('no_loc'), ('two_locs'), ('unknown'), ('nested'), ('doctype'), ('open'), ('foreign_entry')) f(fault)"""),
     "sitemap_coverage": (lambda s, sf: sitemaps.sitemap_coverage(inventory(s, sf)), f"SELECT root, count(*) FILTER (error IS NULL) AS documents, count(*) FILTER (error IS NOT NULL) AS errors, 0::BIGINT AS unvisited, max(all_urls) AS urls, max(omitted) AS omitted, false AS complete FROM ({INVENTORY}) i GROUP BY root"),
     "sitemap_future": (lambda s, sf: sitemaps.future_lastmods(sitemaps.sitemap_entries(A.sitemap_docs(s, sf)), "2024-02-01"), "SELECT DISTINCT strftime(DATE '2024-01-01' + CAST(page_id % 60 AS INT), '%Y-%m-%d') AS lastmod FROM pages WHERE DATE '2024-01-01' + CAST(page_id % 60 AS INT) > DATE '2024-02-01'"),
-    "graph_edges": (lambda s, sf: site_graph(s, sf)[1].select(F.col("seq").alias("page_id"), "pos", "raw", "kind"), f"SELECT page_id, CAST(pos AS INT) AS pos, href AS raw, 'link' AS kind FROM ({ANCHORS}) a WHERE page_id % 10 <> 7"),
+    "graph_edges": (lambda s, sf: site_graph(s, sf)[1].select(F.col("seq").alias("page_id"), "pos", "raw", "kind", "to"), f"SELECT page_id, CAST(pos AS INT) AS pos, href AS raw, 'link' AS kind, {ORIGIN} || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS to FROM ({ANCHORS}) a WHERE page_id % 10 <> 7"),
     "graph_incoming": (lambda s, sf: graph.incoming(A.part_links(s, sf)).select("url", "links", "from_others", "pages"), "SELECT 'https://example.com/part/' || b.l_partkey AS url, count(*) AS links, count(CASE WHEN a.l_partkey <> b.l_partkey THEN 1 END) AS from_others, count(DISTINCT a.l_partkey) AS pages FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE NOT (a.l_linenumber = 1 AND a.l_returnflag = 'R') GROUP BY b.l_partkey"),
     "graph_depths": (graph_depths, f"WITH RECURSIVE e AS (SELECT f, t, min(cost) AS cost FROM ({EDGES}) x GROUP BY f, t), d AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT e.t, d.depth + e.cost FROM d JOIN e ON e.f = d.n WHERE d.depth + e.cost <= 12) SELECT 'https://example.com/part/' || n AS url, CAST(min(depth) AS INT) AS depth FROM d GROUP BY n"),
     "redirect_chains": (redirect_chains, f"""WITH RECURSIVE s AS ({STEP}), c AS (SELECT f AS start, [f] AS path, t AS cur FROM s UNION ALL SELECT c.start, list_append(c.path, c.cur), s.t FROM c JOIN s ON s.f = c.cur WHERE NOT list_contains(c.path, c.cur))
