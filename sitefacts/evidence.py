@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
-from .workdir import shared_dir
+from . import reports as R
+from .workdir import saved
 
 # The dimensions that an analytics comparison allows.
 ANALYTICS_DIMENSIONS = ["hostName", "sessionDefaultChannelGroup", "sessionSourceMedium", "eventName", "landingPagePlusQueryString", "sessionSource"]
@@ -154,71 +155,109 @@ def build_snapshot(site: str, parts: dict) -> DataFrame:
     return out
 
 
+def scope_rows(v: Column, dropped=(), defaults=None) -> Column:
+    """Sorted (path, value) of a VARIANT object's fields, values as canonical JSON; `dropped` names fall out."""
+    m = get(v, "$", "map<string,variant>")
+    kept = F.filter(F.map_keys(m), lambda k: ~k.isin(*dropped)) if dropped else F.map_keys(m)
+    rows = F.transform(kept, lambda k: F.struct(k.alias("path"), F.to_json(F.element_at(m, k)).alias("value")))
+    missing = [F.when(~F.coalesce(F.array_contains(F.map_keys(m), F.lit(k)), F.lit(False)), F.struct(F.lit(k).alias("path"), F.lit(d).alias("value"))) for k, d in (defaults or {}).items()]
+    return F.array_sort(F.concat(F.coalesce(rows, F.array().cast("array<struct<path:string,value:string>>")), F.array_compact(F.array(*missing)))) if missing else F.array_sort(rows)
+
+
 def report_pages(observations: DataFrame) -> DataFrame:
-    """Both providers' saved pages in one shape, which `normalize_reports` judges."""
+    """Both providers' saved pages in one shape, which `normalize_reports` judges.
+
+    `scope` is the request without its period, paging and quota; `semantics` says what the numbers mean: aggregation and
+    time zone, or time zone, currency and metric types. Both are sorted (path, value) rows.
+    """
     q, r = (lambda p, k="string": get("page", f"$.request.{p}", k)), (lambda p, k="string": get("page", f"$.response.{p}", k))
-    rows = pages_of(observations.where("operation = 'report'"))
+    rows = pages_of(observations.withColumnsRenamed({"status": "obs_status", "finished_at": "collected_at"}).where("operation = 'report' AND provider IN ('search', 'analytics')"))
     search = F.col("provider") == "search"
     name = lambda c: F.transform(c, lambda x: x["name"])
     arr = "array<struct<name:string,type:string>>"
-    srows = F.transform(r("rows", "array<struct<keys:array<string>,clicks:string,impressions:string,ctr:string,position:string>>"), lambda x: F.struct(F.coalesce(x["keys"], F.array().cast("array<string>")).alias("keys"), F.array(x.clicks, x.impressions, x.ctr, x.position).alias("raw")))
+    none = F.array().cast("array<string>")
+    srows = F.transform(r("rows", "array<struct<keys:array<string>,clicks:string,impressions:string,ctr:string,position:string>>"), lambda x: F.struct(F.coalesce(x["keys"], none).alias("keys"), F.array(x.clicks, x.impressions, x.ctr, x.position).alias("raw")))
     arows = F.transform(r("rows", "array<struct<dimensionValues:array<struct<value:string>>,metricValues:array<struct<value:string>>>>"), lambda x: F.struct(F.transform(F.coalesce(x.dimensionValues, F.array().cast("array<struct<value:string>>")), lambda d: d.value).alias("keys"), F.transform(x.metricValues, lambda m: m.value).alias("raw")))
     metrics = F.array(*map(F.lit, ("clicks", "impressions", "ctr", "position")))
-    none = F.array().cast("array<string>")
-    return rows.select("snapshot_id", "site", F.col("name").alias("observation"), "provider", "operation", "target", "page_no", "pagination",
+    request, flag = get("page", "$.request", "variant"), lambda p: F.coalesce(r(f"metadata.{p}", "boolean"), F.lit(False))
+    scope = F.when(search, scope_rows(request, ("startDate", "endDate", "startRow", "rowLimit"), {"dimensions": "[]", "type": '"web"', "dataState": '"final"'})).otherwise(scope_rows(request, ("dateRanges", "offset", "limit", "returnPropertyQuota"), {"dimensions": "[]"}))
+    said = lambda **kv: F.array(*[F.struct(F.lit(k).alias("path"), v.alias("value")) for k, v in sorted(kv.items())])
+    semantics = F.when(search, said(aggregation=r("responseAggregationType"), time_zone=F.lit(X.PACIFIC))).otherwise(said(time_zone=r("metadata.timeZone"), currency=r("metadata.currencyCode"), metrics=F.to_json(r("metricHeaders", "variant"))))
+    unfinished = F.exists(F.coalesce(F.map_keys(r("metadata", "map<string,variant>")), none), lambda k: k.startswith("first_incomplete") | (k == "firstIncompleteDate"))
+    schema = F.when(search, F.coalesce(r("responseAggregationType"), F.lit("")) == "").otherwise((F.coalesce(r("metadata.timeZone"), F.lit("")) == "") | ~F.coalesce(F.size(r("metricHeaders", arr)) > 0, F.lit(False)))
+    return rows.select("snapshot_id", "site", F.col("name").alias("observation"), "provider", "operation", "target", "page_no", "pagination", "obs_status", "collected_at", F.isnotnull("error").alias("failed"),
         F.coalesce(F.when(search, q("dimensions", "array<string>")).otherwise(name(q("dimensions", arr))), none).alias("dims"), F.when(search, metrics).otherwise(name(q("metrics", arr))).alias("metrics"),
         F.when(search, q("startDate")).otherwise(q("dateRanges[0].startDate")).cast("date").alias("start_date"), F.when(search, q("endDate")).otherwise(q("dateRanges[0].endDate")).cast("date").alias("end_date"),
         F.when(search, 1).otherwise(F.size(q("dateRanges", "array<variant>"))).alias("n_ranges"), F.coalesce(F.when(search, q("startRow", "bigint")).otherwise(q("offset", "bigint")), F.lit(0)).alias("offset"),
-        q("dataState").alias("data_state"), r("metadata.firstIncompleteDate").alias("first_incomplete"), name(r("dimensionHeaders", arr)).alias("header_dims"), name(r("metricHeaders", arr)).alias("header_metrics"),
-        F.transform(r("metricHeaders", arr), lambda x: x["type"]).alias("metric_types"), r("metadata.currencyCode").alias("currency"), r("rowCount").alias("row_count"), F.coalesce(r("metadata.dataLossFromOtherRow", "boolean"), F.lit(False)).alias("other_row"),
-        F.coalesce(r("metadata.subjectToThresholding", "boolean"), F.lit(False)).alias("thresholded"), r("metadata.samplingMetadatas", "array<variant>").isNotNull().alias("sampled"),
-        F.regexp_replace(F.to_json(get("page", "$.request", "variant")), r'"(startRow|offset|startDate|endDate)":("[^"]*"|[0-9]+),?', "").alias("scope"), r("responseAggregationType").alias("aggregation"),
+        q("dataState").alias("data_state"), unfinished.alias("unfinished"), F.coalesce(name(r("dimensionHeaders", arr)), none).alias("header_dims"), name(r("metricHeaders", arr)).alias("header_metrics"),
+        F.transform(r("metricHeaders", arr), lambda x: x["type"]).alias("metric_types"), r("metadata.currencyCode").alias("currency"), r("metadata.timeZone").alias("time_zone"), F.coalesce(F.to_json(r("rowCount", "variant")), F.lit("0")).alias("row_count"),
+        flag("dataLossFromOtherRow").alias("other_row"), flag("subjectToThresholding").alias("thresholded"), F.coalesce(F.size(r("metadata.samplingMetadatas", "array<variant>")) > 0, F.lit(False)).alias("sampled"),
+        scope.alias("scope"), semantics.alias("semantics"), r("responseAggregationType").alias("aggregation"), F.coalesce(schema, F.lit(True)).alias("odd_schema"),
         F.exists(F.coalesce(q("dimensions", "array<variant>"), F.array().cast("array<variant>")), lambda d: F.coalesce(get(d, "$.dimensionExpression", "variant").isNotNull(), F.lit(False))).alias("expressions"),
         F.coalesce(F.when(search, srows).otherwise(arows), F.array().cast("array<struct<keys:array<string>,raw:array<string>>>")).alias("rows"))
 
 
 def report_violations(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """NR-1..14: one row per report and broken rule; no row for a report that can be used."""
+    """NR-1..14: one row per report and broken rule; no row for a report that can be used. `schema`: a response without
+    an aggregation label, a time zone or metric headers."""
     key = ["snapshot_id", "observation"]
-    order = Window.partitionBy(*key).orderBy("page_no")
+    order = Window.partitionBy(*key).orderBy("page_no")  # at most 20 pages a report
     rows = pages.join(snapshots.select("snapshot_id", F.col("start_date").alias("s0"), F.col("end_date").alias("s1")), "snapshot_id", "left")
     rows = rows.withColumn("due", F.coalesce(F.sum(F.size("rows")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     a, s = F.col("provider") == "analytics", F.col("provider") == "search"
-    n_count = F.when(F.col("row_count").rlike(r"^[0-9]+$"), F.col("row_count").try_cast("bigint"))
-    shape = F.exists("rows", lambda r: (F.size(r["keys"]) != F.size("dims")) | (F.size(r.raw) != F.size("metrics")))
-    money = F.exists(F.coalesce("metric_types", F.array().cast("array<string>")), lambda t: t == "TYPE_CURRENCY")
-    single = {"NR-1": s & (F.coalesce("data_state", F.lit("final")) != "final") | s & F.col("first_incomplete").isNotNull(), "NR-2": F.col("offset") != F.col("due"), "NR-3": s & F.arrays_overlap("dims", F.array(F.lit("date"), F.lit("hour"))),
+    n_count = F.when(F.col("row_count").rlike(r"^[0-9]+(\.0+)?\z"), F.substring_index("row_count", ".", 1).try_cast("bigint"))
+    shape = F.exists("rows", lambda r: (F.size(r["keys"]) != F.size("dims")) | F.coalesce(F.size(r.raw) != F.size("metrics"), F.lit(True)))
+    money = F.exists(F.coalesce("metric_types", F.array().cast("array<string>")), lambda t: F.coalesce(t == "TYPE_CURRENCY", F.lit(False)))
+    single = {"schema": F.col("odd_schema"), "NR-1": s & ((F.coalesce("data_state", F.lit("final")) != "final") | F.col("unfinished")), "NR-2": F.col("offset") != F.col("due"), "NR-3": s & F.arrays_overlap("dims", F.array(F.lit("date"), F.lit("hour"))),
               "NR-4": a & (F.col("n_ranges") != 1), "NR-5": a & ((F.size(F.array_except("dims", F.array(*map(F.lit, ANALYTICS_DIMENSIONS)))) > 0) | F.col("expressions")), "NR-6": F.size(F.array_distinct("metrics")) < F.size("metrics"),
               "NR-7": a & ((F.col("header_dims") != F.col("dims")) | (F.col("header_metrics") != F.col("metrics")) | F.isnull("header_metrics")), "NR-8": a & money & (F.coalesce("currency", F.lit("")) == ""),
-              "NR-9": (F.col("start_date") != F.col("s0")) | (F.col("end_date") != F.col("s1")) | F.isnull("start_date"), "NR-11": shape}
+              "NR-9": (F.col("start_date") != F.col("s0")) | (F.col("end_date") != F.col("s1")) | F.isnull("start_date") | F.isnull("end_date") | F.isnull("s0") | F.isnull("s1"), "NR-11": shape}
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), rule) for rule, c in single.items()]))
     per_page = rows.select(*key, F.explode(broken).alias("rule"))
-    per = rows.groupBy(*key).agg(F.count_distinct("scope", F.coalesce("aggregation", F.lit(""))).alias("scopes"), F.sum(F.size("rows")).alias("kept"), F.count_distinct("row_count").alias("counts"), F.count_if(F.isnull("row_count")).alias("no_count"), F.count_if(n_count.isNull() | (n_count > X.SAFE)).alias("bad_count"),
+    fixed = F.struct("scope", "semantics", "start_date", "end_date")
+    per = rows.groupBy(*key).agg(F.count_distinct(fixed).alias("kinds"), F.sum(F.size("rows")).alias("kept"), F.count_distinct("row_count").alias("counts"), F.count_if(n_count.isNull() | (n_count > X.SAFE)).alias("bad_count"),
         F.max(n_count).alias("row_count"), F.first("pagination").alias("pagination"), F.first("provider").alias("provider"))
-    is_a = F.col("provider") == "analytics"
-    whole = {"NR-10": F.col("scopes") > 1, "NR-13": is_a & ((F.col("bad_count") > 0) | (F.col("counts") > 1) | (F.col("row_count") < F.col("kept")) | (F.col("pagination.exhausted") & (F.col("row_count") != F.col("kept")))),
-             "NR-14": (F.col("pagination.rowsReturned") != F.col("kept")) | F.col("pagination.exhausted") & F.col("pagination.nextOffset").isNotNull()}
+    is_a, p = F.col("provider") == "analytics", F.col("pagination")
+    done = F.coalesce(p.exhausted, F.lit(False))
+    whole = {"NR-10": F.col("kinds") > 1, "NR-13": is_a & ((F.col("bad_count") > 0) | (F.col("counts") > 1) | (F.col("row_count") < F.col("kept")) | (done & (F.col("row_count") != F.col("kept")))),
+             "NR-14": p.isNotNull() & (~p.rowsReturned.eqNullSafe(F.col("kept")) | ~p.nextOffset.eqNullSafe(F.when(~done, F.col("kept"))))}
     per_report = per.select(*key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), rule) for rule, c in whole.items()]))).alias("rule"))
     repeated = pages.select(*key, F.explode("rows").alias("r")).groupBy(*key, "r.keys").count().where("count > 1").select(*key, F.lit("NR-12").alias("rule"))
     return per_page.unionByName(per_report).unionByName(repeated).distinct()
 
 
-def limitations(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """NR-15: what limits a usable report."""
-    per = pages.groupBy("snapshot_id", "observation").agg(F.bool_or("thresholded").alias("thresholded"), F.bool_or("other_row").alias("other_row"), F.bool_or("sampled").alias("sampled"), F.bool_and(F.coalesce("pagination.exhausted", F.lit(False))).alias("exhausted"), F.first("provider").alias("provider"), F.max("end_date").alias("end_date"))
-    met = per.join(snapshots.select("snapshot_id", "observed_search_dates"), "snapshot_id", "left")
-    trailing = (F.col("provider") == "search") & ~F.coalesce(F.array_contains("observed_search_dates", F.col("end_date").cast("string")), F.lit(True))
-    said = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("thresholded", "other_row", "sampled")], F.when(trailing, "end_date_not_observed"), F.when(~F.col("exhausted"), "not_exhausted")))
+def limitations(pages: DataFrame, snapshots: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """NR-15: what limits a usable report: (snapshot_id, observation, limitations).
+
+    `zones` are the known time zones (column zone); without them an analytics report's freshness can't be assessed.
+    """
+    per = pages.groupBy("snapshot_id", "observation").agg(*[F.bool_or(c).alias(c) for c in ("thresholded", "other_row", "sampled", "failed")], F.bool_and(F.coalesce("pagination.exhausted", F.lit(False)) & (F.col("obs_status") == "ok")).alias("whole"),
+        F.first("provider").alias("provider"), F.max("end_date").alias("end_date"), F.min("time_zone").alias("time_zone"), F.max("collected_at").alias("collected_at"))
+    zones = pages.sparkSession.createDataFrame([], "zone string") if zones is None else zones
+    met = R.freshness(per, zones).join(snapshots.select("snapshot_id", "observed_search_dates"), "snapshot_id", "left")
+    analytics = F.col("provider") == "analytics"
+    trailing = (F.col("provider") == "search") & ~F.coalesce(F.array_contains("observed_search_dates", F.col("end_date").cast("string")), F.lit(False))
+    said = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("thresholded", "other_row", "sampled")], F.when(trailing, "end_date_not_observed"), F.when(analytics & (F.col("freshness") != "settled"), F.concat(F.lit("freshness_"), "freshness")), F.when(~F.coalesce("whole", F.lit(False)) | F.col("failed"), "not_exhausted")))
     return met.select("snapshot_id", "observation", said.alias("limitations"))
 
 
+def report_facts(pages: DataFrame) -> DataFrame:
+    """A row a report with what its pages share: period, scope and semantics, those of the first page."""
+    first = lambda c: F.min_by(c, "page_no").alias(c)
+    return pages.groupBy("snapshot_id", "observation").agg(*map(first, ("scope", "semantics", "start_date", "end_date", "dims", "metrics")))
+
+
 def normalize_reports(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """NR-16: a row for each row and metric of the reports without a violation, in long form with the raw text.
 
-    The rules read the pages several times, so these are parsed once and kept in the checkpoint folder.
+    `is_number` tells that the source held a number, not a text. The rules read the pages several times, so these are
+    parsed once and kept in the shared folder.
     """
-    shared_dir(observations.sparkSession)
-    pages = report_pages(observations).checkpoint()
+    return normalized_pages(saved(report_pages(observations)), snapshots)
+
+
+def normalized_pages(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The same of `report_pages`."""
     good = pages.join(report_violations(pages, snapshots).select("snapshot_id", "observation").distinct(), ["snapshot_id", "observation"], "left_anti")
-    rows = good.select("snapshot_id", "site", "observation", "provider", "operation", "target", "scope", "aggregation", "start_date", "end_date", "dims", "metrics", F.explode("rows").alias("r"))
-    return rows.select(*rows.columns[:-2], F.col("r.keys").alias("keys"), F.posexplode(F.arrays_zip(F.col("metrics").alias("metric"), F.col("r.raw").alias("raw"))).alias("metric_no", "m")).select("*", "m.metric", "m.raw").drop("m")
+    rows = good.select("snapshot_id", "site", "observation", "provider", "operation", "target", "scope", "semantics", "start_date", "end_date", "dims", "metrics", (F.col("provider") == "search").alias("is_number"), F.explode("rows").alias("r"))
+    return rows.select(*rows.columns[:-2], "is_number", F.col("r.keys").alias("keys"), F.posexplode(F.arrays_zip(F.col("metrics").alias("metric"), F.col("r.raw").alias("raw"))).alias("metric_no", "m")).select("*", "m.metric", "m.raw").drop("m", "metrics")

@@ -117,15 +117,18 @@ def robots_match(pattern: Column, path: Column) -> Column:
     return F.coalesce(F.regexp_like(path, robots_regex(pattern)), F.lit(False))
 
 
-def safe_number(raw: Column) -> Column:
-    """FN-11: a double of a decimal or scientific text, null beyond what a double holds exactly."""
+def safe_number(raw: Column, is_number: Column | None = None) -> Column:
+    """FN-11: a double of a text `-?digits[.digits][e[+-]digits]`, null beyond what a double holds exactly.
+
+    Texts other than integers hold at most 15 significant digits. Where `is_number` is true the value was no text in its
+    source, and only the range is asked for.
+    """
     value = raw.try_cast("double")
-    integer = raw.rlike(r"^[+-]?[0-9]+$")
-    digits = F.length(F.regexp_replace(F.regexp_replace(F.regexp_extract(raw, r"^[+-]?([0-9.]*)", 1), r"\.", ""), "^0+", ""))
-    nonzero = F.regexp_extract(raw, r"^[+-]?([0-9.]*)", 1).rlike("[1-9]")
-    ok = raw.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$") & (integer | (digits <= 15)) & ~(nonzero & (value == 0))
-    small = F.when(integer, F.abs(raw.try_cast("decimal(38,0)")) <= SAFE).otherwise(F.abs(value) <= SAFE)
-    return F.when(ok & small & ~F.isnan(value), value)
+    integer, mantissa = raw.rlike(r"^-?[0-9]+\z"), F.regexp_replace(F.regexp_extract(raw, r"^([-0-9.]*)", 1), r"[-.]", "")
+    digits = F.length(F.regexp_replace(F.regexp_replace(mantissa, "^0+", ""), "0+$", ""))
+    sound = raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z") & (integer | (digits <= 15) & ~((value == 0) & mantissa.rlike("[1-9]")))
+    sound = sound if is_number is None else sound | F.coalesce(is_number, F.lit(False))
+    return F.when(sound & (F.abs(value) <= SAFE) & ~F.isnan(value), value)
 
 
 def canonical_json(v: Column) -> Column:

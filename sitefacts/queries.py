@@ -8,7 +8,7 @@ from . import functions as X
 from . import opportunities as O
 from . import pages as P
 from . import reports as R
-from .workdir import shared_dir
+from .workdir import saved, shared_dir
 
 START, END = "1995-01-01", "2001-12-31"
 FACTS = """SELECT CAST(l_shipdate AS DATE) AS date, 'https://example.com/part/' || p_partkey AS page, p_type AS query, n_name AS country,
@@ -27,6 +27,15 @@ COUNTS = "count(DISTINCT session) AS sessions, count(DISTINCT CASE WHEN session_
 PROD, ORG = "host = 'example.com'", "host = 'example.com' AND channel = 'Organic Search'"
 PERIOD = "SELECT user_id, event_type AS event_name, count(*) AS n FROM events WHERE ts >= '{}' AND ts < '{}' GROUP BY ALL"
 BEFORE, AFTER = PERIOD.format("2024-01-01", "2024-01-15"), PERIOD.format("2024-01-15", "2024-01-29")
+HOURS = "SELECT user_id, event_type AS event_name, hour(ts) AS hour, count(*) AS n FROM events WHERE ts >= '{}' AND ts < '{}' GROUP BY ALL"
+SAVED = """SELECT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host, CASE WHEN ts < '2024-01-15' THEN 'first' ELSE 'second' END AS half, event_type AS keys, count(*) AS n, count(DISTINCT user_id) AS u,
+ count(*) FILTER (CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) < 10) AS c FROM events WHERE ts < '2024-01-29' GROUP BY ALL"""
+SAVED_VALUES = f"""SELECT host, half, keys, name, metric, raw FROM (SELECT host, half, keys, n, u, c FROM ({SAVED}) v) q,
+ LATERAL (VALUES ('analytics.eventName', 'eventCount', CAST(n AS VARCHAR)), ('analytics.eventName', 'totalUsers', CAST(u AS VARCHAR)), ('search.query', 'clicks', CAST(c AS VARCHAR)), ('search.query', 'impressions', CAST(n AS VARCHAR)),
+  ('search.query', 'ctr', CAST(round(c::DOUBLE / n, 4) AS VARCHAR)), ('search.query', 'position', '1.5')) m(name, metric, raw)"""
+# What makes a pair of saved reports incomparable or limited, from the saved halves.
+SAVED_PAIRS = f"""SELECT host, name, CASE WHEN name = 'search.totals' THEN 'unavailable' WHEN host = 'localhost' THEN 'incompatible' WHEN name = 'analytics.eventName' AND thresholded THEN 'limited' ELSE 'compared' END AS status
+ FROM (SELECT host, bool_or(least < 30) AS thresholded FROM (SELECT host, half, min(u) AS least FROM ({SAVED}) v GROUP BY ALL) m GROUP BY host HAVING count(*) = 2) h, (VALUES ('analytics.eventName'), ('search.query'), ('search.totals')) o(name)"""
 COHORT = f"SELECT page, {METRICS} FROM ({FACTS}) f GROUP BY page HAVING sum(impressions) >= 20 AND sum(clicks) <= 2"
 ANCHORS = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) - 1 AS pos FROM pages"
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
@@ -65,10 +74,16 @@ def changes(spark, sf):
     return compare.deltas(*periods(spark, sf), ["user_id", "event_name"])
 
 
+def hours(spark, sf, start, end):
+    """Events by hour of the day, so that either period has keys of its own."""
+    e = A.raw_events(spark, sf).where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    return e.groupBy("user_id", "event_name", F.hour("ts").alias("hour")).agg(F.count("*").cast("string").alias("raw"))
+
+
 def only(first):
     def run(spark, sf):
-        here, there = periods(spark, sf)[::1 if first else -1]
-        return compare.only_in(here, there, ["user_id", "event_name"]).drop("metric")
+        here, there = [hours(spark, sf, "2024-01-01", "2024-01-15"), hours(spark, sf, "2024-01-15", "2024-01-29")][::1 if first else -1]
+        return compare.only_in(here, there, ["user_id", "event_name", "hour"])
     return run
 
 
@@ -238,22 +253,26 @@ def report_violations(spark, sf):
 
 def normalized(spark, sf):
     s, o, _ = snapshots(spark, sf)
-    return evidence.normalize_reports(o, s).select("snapshot_id", "observation", F.concat_ws("|", "keys").alias("keys"), "metric", "raw")
+    return evidence.normalize_reports(o, s).select("snapshot_id", "observation", F.concat_ws("|", "keys").alias("keys"), "metric", "raw", F.to_json(F.filter("semantics", lambda x: x.path.isin("aggregation", "currency", "time_zone"))).alias("semantics"))
 
 
-def snapshot_sides(spark, sf):
+def report_limitations(spark, sf):
     s, o, _ = snapshots(spark, sf)
-    norm = evidence.normalize_reports(o, s).withColumnRenamed("observation", "name").checkpoint()  # both sides are parts of it
-    pages = evidence.report_pages(o).groupBy("snapshot_id", F.col("observation").alias("name")).agg(F.first("scope").alias("scope"), F.first("aggregation").alias("aggregation"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
-    side = o.select("snapshot_id", "site", "name", "provider", "operation", "target", "status", F.size("pages").alias("n_pages")).join(pages, ["snapshot_id", "name"], "left")
-    half = lambda df, w: df.where(F.col("snapshot_id").endswith(w))
-    return [half(side, w) for w in ("first", "second")], [half(norm, w) for w in ("first", "second")]
+    return evidence.limitations(evidence.report_pages(o), s, spark.createDataFrame([("UTC",)], "zone string")).select("snapshot_id", "observation", F.concat_ws(",", "limitations").alias("limitations"))
 
 
 def compared(spark, sf):
-    (b, a), (nb, na) = snapshot_sides(spark, sf)
+    s, o, _ = snapshots(spark, sf)
+    pages = saved(evidence.report_pages(o))  # read for facts, rules, limitations and rows
+    norm = saved(evidence.normalized_pages(pages, s).withColumnRenamed("observation", "name"))
+    facts = evidence.report_facts(pages).select("snapshot_id", F.col("observation").alias("name"), "scope", "semantics", "start_date", "end_date")
+    side = o.select("snapshot_id", "site", "name", "provider", "operation", "target", "status", F.size("pages").alias("n_pages")).join(facts, ["snapshot_id", "name"], "left")
+    limits = evidence.limitations(pages, s, spark.createDataFrame([("UTC",)], "zone string")).where(F.size("limitations") > 0)
+    limits = limits.join(s.select("snapshot_id", "site"), "snapshot_id").select("site", F.col("observation").alias("name")).distinct()
+    half = lambda df, w: df.where(F.col("snapshot_id").endswith(w))
+    (b, a), (nb, na) = [half(side, w) for w in ("first", "second")], [half(norm, w) for w in ("first", "second")]
     pairs = compare.pair(b, a, nb.select("site", "name").distinct(), na.select("site", "name").distinct())
-    return compare.compare_snapshots(pairs, nb, na, pairs.limit(0))
+    return compare.compare_snapshots(pairs, nb, na, limits)
 
 
 def compare_snapshots(spark, sf):
@@ -406,14 +425,17 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "realtime_two_ranges": (realtime_two_ranges, "WITH n AS (SELECT max(ts) AS now FROM events), a AS (SELECT event_type AS event_name, floor(date_diff('microsecond', ts, now) / 60000000) AS ago FROM events, n) SELECT r.minute_range, event_name, count(*) AS event_count FROM a JOIN (VALUES ('near', 29), ('wide', 59)) r(minute_range, far) ON ago BETWEEN 0 AND far GROUP BY ALL"),
     "realtime_sliding": (realtime_sliding, None), "freshness_check": (freshness_check, None),
     "compare_periods": (changes, f"SELECT b.user_id, b.event_name, 'events' AS metric, CAST(b.n AS VARCHAR) AS before_raw, CAST(a.n AS VARCHAR) AS after_raw, CAST(a.n - b.n AS DOUBLE) AS delta, round(100.0::DOUBLE * (a.n - b.n) / b.n, 6) AS percent FROM ({BEFORE}) b JOIN ({AFTER}) a USING (user_id, event_name)"),
-    "compare_only_before": (only(True), f"SELECT user_id, event_name, CAST(n AS VARCHAR) AS raw FROM ({BEFORE}) b ANTI JOIN ({AFTER}) a USING (user_id, event_name)"),
-    "compare_only_after": (only(False), f"SELECT user_id, event_name, CAST(n AS VARCHAR) AS raw FROM ({AFTER}) b ANTI JOIN ({BEFORE}) a USING (user_id, event_name)"),
-    "compare_snapshots": (compare_snapshots, None),
-    "compare_summary": (compare_summary, "SELECT 'https://' || host || '/' AS site, 1::BIGINT AS compared, 0::BIGINT AS limited, 0::BIGINT AS incompatible, 0::BIGINT AS unsupported, 1::BIGINT AS unavailable FROM (SELECT DISTINCT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host FROM events) h"),
-    "evidence_rollup": (evidence_rollup, "SELECT DISTINCT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END || CASE WHEN ts < '2024-01-15' THEN '-first' ELSE '-second' END AS snapshot_id, 'partial' AS status, 2::BIGINT AS observations FROM events WHERE ts < '2024-01-29'"),
-    "report_violations": (report_violations, "SELECT 'localhost-first' AS snapshot_id, 'analytics.eventName' AS observation, 'NR-9' AS rule WHERE EXISTS (SELECT 1 FROM events)"),
-    "normalized_reports": (normalized, """WITH q AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END || CASE WHEN ts < '2024-01-15' THEN '-first' ELSE '-second' END AS snapshot_id, event_type AS keys, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE ts < '2024-01-29' GROUP BY ALL)
- SELECT snapshot_id, 'analytics.eventName' AS observation, keys, 'eventCount' AS metric, CAST(n AS VARCHAR) AS raw FROM q UNION ALL SELECT snapshot_id, 'analytics.eventName', keys, 'totalUsers', CAST(u AS VARCHAR) FROM q"""),
+    "compare_only_before": (only(True), f"SELECT user_id, event_name, hour, CAST(n AS VARCHAR) AS raw FROM ({HOURS.format('2024-01-01', '2024-01-15')}) b ANTI JOIN ({HOURS.format('2024-01-15', '2024-01-29')}) a USING (user_id, event_name, hour)"),
+    "compare_only_after": (only(False), f"SELECT user_id, event_name, hour, CAST(n AS VARCHAR) AS raw FROM ({HOURS.format('2024-01-15', '2024-01-29')}) b ANTI JOIN ({HOURS.format('2024-01-01', '2024-01-15')}) a USING (user_id, event_name, hour)"),
+    "compare_snapshots": (compare_snapshots, f"""SELECT 'https://' || host || '/' AS site, name, keys, metric, b.raw AS before_raw, a.raw AS after_raw, CAST(a.raw AS DOUBLE) - CAST(b.raw AS DOUBLE) AS delta,
+ CASE WHEN CAST(b.raw AS DOUBLE) <> 0 THEN round(100.0::DOUBLE * (CAST(a.raw AS DOUBLE) - CAST(b.raw AS DOUBLE)) / CAST(b.raw AS DOUBLE), 6) END AS percent, 0::BIGINT AS omitted
+ FROM (SELECT * FROM ({SAVED_VALUES}) x WHERE half = 'first') b JOIN (SELECT * FROM ({SAVED_VALUES}) y WHERE half = 'second') a USING (host, name, keys, metric) JOIN (SELECT host, name FROM ({SAVED_PAIRS}) p WHERE status IN ('compared', 'limited')) f USING (host, name)"""),
+    "compare_summary": (compare_summary, "SELECT 'https://' || host || '/' AS site, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in compare.STATUSES) + f" FROM ({SAVED_PAIRS}) p GROUP BY host"),
+    "report_limitations": (report_limitations, f"SELECT host || '-' || half AS snapshot_id, name AS observation, CASE WHEN name = 'analytics.eventName' AND min(u) < 30 THEN 'thresholded' ELSE '' END AS limitations FROM ({SAVED}) v, (VALUES ('analytics.eventName'), ('search.query')) o(name) GROUP BY host, half, name"),
+    "evidence_rollup": (evidence_rollup, f"SELECT host || '-' || half AS snapshot_id, CASE WHEN count(*) > 0 THEN 'partial' END AS status, 3::BIGINT AS observations FROM ({SAVED}) v GROUP BY host, half"),
+    "report_violations": (report_violations, f"SELECT DISTINCT host || '-' || half AS snapshot_id, name AS observation, CASE half WHEN 'first' THEN 'NR-9' ELSE 'NR-1' END AS rule FROM ({SAVED_VALUES}) v WHERE host = 'localhost' AND (half = 'first' OR name = 'search.query')"),
+    "normalized_reports": (normalized, f"""SELECT host || '-' || half AS snapshot_id, name AS observation, keys, metric, raw, CASE name WHEN 'search.query' THEN '[{{"path":"aggregation","value":"byProperty"}},{{"path":"time_zone","value":"America/Los_Angeles"}}]'
+ ELSE '[{{"path":"currency","value":"' || CASE WHEN host = 'localhost' AND half = 'second' THEN 'EUR' ELSE 'USD' END || '"}},{{"path":"time_zone","value":"UTC"}}]' END AS semantics FROM ({SAVED_VALUES}) v WHERE NOT (host = 'localhost' AND half = 'second' AND name = 'search.query')"""),
     "robots_rules": (robots_of(robots.robots_rules), None), "robots_issues": (robots_of(robots.robots_issues), None),
     "robots_verdicts": (verdicts, verdict_sql(URLS)),
     "ai_crawler_audit": (ai_crawler_audit, f"SELECT origin, agent AS name, CASE agent WHEN 'gptbot' THEN 'Unknown' ELSE 'Big' END AS operator, CASE agent WHEN 'gptbot' THEN 'Unknown' ELSE 'search' END AS category, allowed FROM ({verdict_sql(f'SELECT DISTINCT {ORIGIN} AS origin, chr(47) AS path FROM pages')}) v"),
@@ -423,7 +445,7 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
  (VALUES ('prefix'), ('no_loc'), ('two_locs'), ('unknown'), ('nested'), ('doctype'), ('open'), ('foreign_entry')) f(fault)"""),
     "sitemap_coverage": (lambda s, sf: sitemaps.sitemap_coverage(inventory(s, sf)), f"SELECT root, count(*) FILTER (error IS NULL) AS documents, count(*) FILTER (error IS NOT NULL) AS errors, 0::BIGINT AS unvisited, max(all_urls) AS urls, max(omitted) AS omitted, false AS complete FROM ({INVENTORY}) i GROUP BY root"),
     "sitemap_future": (lambda s, sf: sitemaps.future_lastmods(sitemaps.sitemap_entries(A.sitemap_docs(s, sf)), "2024-02-01"), "SELECT DISTINCT strftime(DATE '2024-01-01' + CAST(page_id % 60 AS INT), '%Y-%m-%d') AS lastmod FROM pages WHERE DATE '2024-01-01' + CAST(page_id % 60 AS INT) > DATE '2024-02-01'"),
-    "graph_edges": (lambda s, sf: site_graph(s, sf)[1].select(F.col("seq").alias("page_id"), "pos", "raw", "kind", "to"), f"SELECT page_id, CAST(pos AS INT) AS pos, href AS raw, 'link' AS kind, {ORIGIN} || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS to FROM ({ANCHORS}) a WHERE page_id % 10 <> 7"),
+    "graph_edges": (lambda s, sf: site_graph(s, sf)[1].select(F.col("seq").alias("page_id"), "pos", "raw", "kind", F.col("to").alias("target")), f"SELECT page_id, CAST(pos AS INT) AS pos, href AS raw, 'link' AS kind, {ORIGIN} || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM ({ANCHORS}) a WHERE page_id % 10 <> 7"),
     "graph_incoming": (lambda s, sf: graph.incoming(A.part_links(s, sf)).select("url", "links", "from_others", "pages"), "SELECT 'https://example.com/part/' || b.l_partkey AS url, count(*) AS links, count(CASE WHEN a.l_partkey <> b.l_partkey THEN 1 END) AS from_others, count(DISTINCT a.l_partkey) AS pages FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE NOT (a.l_linenumber = 1 AND a.l_returnflag = 'R') GROUP BY b.l_partkey"),
     "graph_depths": (graph_depths, f"WITH RECURSIVE e AS (SELECT f, t, min(cost) AS cost FROM ({EDGES}) x GROUP BY f, t), d AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT e.t, d.depth + e.cost FROM d JOIN e ON e.f = d.n WHERE d.depth + e.cost <= 12) SELECT 'https://example.com/part/' || n AS url, CAST(min(depth) AS INT) AS depth FROM d GROUP BY n"),
     "redirect_chains": (redirect_chains, f"""WITH RECURSIVE s AS ({STEP}), c AS (SELECT f AS start, [f] AS path, t AS cur FROM s UNION ALL SELECT c.start, list_append(c.path, c.cur), s.t FROM c JOIN s ON s.f = c.cur WHERE NOT list_contains(c.path, c.cur))

@@ -2,7 +2,7 @@
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workdir import shared_dir
@@ -26,3 +26,22 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     starts = spark.createDataFrame([(int(r.part), b) for r, b in zip(counts, before)], "__part long, __before long")
     joined = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
     return joined.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND((1 << PART_BITS) - 1) + 1).drop("__part", "__before", "__place")
+
+
+def first_of_each(rows: DataFrame, groups: list, order: list, most: int, place: str = "place", total: str = "total") -> DataFrame:
+    """The first `most` rows of each group with their place (from 1) and the number of all rows of the group.
+
+    The place alone limits the window, so every task passes on at most `most` rows a group (up to
+    spark.sql.optimizer.windowGroupLimitThreshold), and no group is sorted whole in one task; the number comes from an
+    aggregate of its own. A null in `groups` is a group. `rows` is read twice: save it if it is dear.
+    """
+    names = [f"__{i}" for i in range(len(groups))]
+    counts = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)]).agg(F.count("*").alias(total))
+    top = rows.withColumn(place, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(place) <= most)
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)]
+    if not groups:
+        return top.crossJoin(counts)  # one row
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return top.join(counts, on).drop(*names)
