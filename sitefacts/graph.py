@@ -7,6 +7,9 @@ from . import functions as X
 from . import pages as P
 
 REDIRECTS = (301, 302, 303, 307, 308)
+# What to do about a finding.
+NEXT_CHECKS = {"http_error": "Check the route and the pages that link to it.", "missing_html_metadata": "Check whether the field is meant to be empty, and the rendered page.", "canonical_difference": "Check whether another canonical is intended.",
+    "noindex_directive": "Check whether the page is meant to be left out.", "no_incoming_link_observed": "Crawl further and check the navigation; a part of a site proves no orphan.", "redirect_chain": "Check each redirect and where the chain ends."}
 
 
 def edges(crawled: DataFrame, max_links: int = 500) -> DataFrame:
@@ -70,12 +73,12 @@ def incoming(links: DataFrame) -> DataFrame:
 
 
 def findings(crawled: DataFrame, links: DataFrame, chains: DataFrame, sitemap: DataFrame, seeds: DataFrame) -> DataFrame:
-    """GR-5..11: (run_id, url, kind, evidence as JSON). `sitemap` and `seeds` are (run_id, url)."""
+    """GR-5..11: (run_id, url, kind, evidence as JSON, next_check). `sitemap` and `seeds` are (run_id, url)."""
     html = (F.col("status") == 200) & F.col("parsed")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     inn = incoming(links)
     def rows(df, kind, *evidence):
-        return df.select("run_id", "url", F.lit(kind).alias("kind"), F.to_json(F.struct(*evidence)).alias("evidence"))
+        return df.select("run_id", "url", F.lit(kind).alias("kind"), F.to_json(F.struct(*evidence)).alias("evidence"), F.lit(NEXT_CHECKS[kind]).alias("next_check"))
 
     out = rows(crawled.where("status >= 400").join(inn, ["run_id", "url"], "left"), "http_error", "status", "links", "pages")
     out = out.unionByName(rows(crawled.where(html & (empty("title") | empty("description") | empty("canonical"))), "missing_html_metadata", "title", "description", "canonical"))

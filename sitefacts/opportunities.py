@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import reports as R
+from .ranks import first_of_each
 
 SAFE = X.SAFE
 
@@ -37,31 +38,49 @@ def cohort_summary(report: DataFrame | None, kept: DataFrame, spark) -> DataFram
 
 
 def organic_association(candidates: DataFrame, site: str, landings: DataFrame, events: DataFrame, cap: int = 10) -> DataFrame:
-    """OP-4: candidates with their path, organic sessions by source and events, both capped with counts; null if none."""
-    rows = candidates.withColumn("path", X.configured_path(F.col("page"), F.lit(site)))
-    few = lambda c: F.slice(F.array_sort(F.collect_list(c)), 1, cap)
-    a = landings.groupBy(F.col("landing").alias("path")).agg(F.count("*").alias("landing_rows"), few(F.struct((-F.col("sessions")).alias("o"), "source", "sessions", "engaged_sessions")).alias("landing_top"))
-    b = events.groupBy(F.col("landing").alias("path")).agg(F.count("*").alias("event_rows"), few(F.struct((-F.col("event_count")).alias("o"), "source", "event_name", "event_count")).alias("event_top"))
-    return rows.join(a, "path", "left").join(b, "path", "left")
+    """OP-4: candidates with their path, organic sessions by source and events, both capped with counts; null if none.
+
+    Only the first `cap` rows of a landing reach the array; a landing such as / with very many sources is never whole in a
+    task.
+    """
+    def few(table, value, *more):
+        top = first_of_each(table, ["landing"], [F.desc(value), *map(F.asc, more)], cap, "o", "n")
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("o", *more, *[c for c in table.columns if c not in ("landing", *more)]))), lambda x: x.dropFields("o"))
+        return top.groupBy(F.col("landing").alias("path")).agg(F.max("n").alias("n"), rows.alias("top"))
+
+    a = few(landings.select("landing", "source", "sessions", "engaged_sessions"), "sessions", "source").withColumnsRenamed({"n": "landing_rows", "top": "landing_top"})
+    b = few(events.select("landing", "source", "event_name", "event_count"), "event_count", "source", "event_name").withColumnsRenamed({"n": "event_rows", "top": "event_top"})
+    return candidates.withColumn("path", X.configured_path(F.col("page"), F.lit(site))).join(a, "path", "left").join(b, "path", "left")
+
+
+def latest(rows: DataFrame, key: list, time: str = "collected_at") -> DataFrame:
+    """The last row of each key; of several at one time the first by its text."""
+    return first_of_each(rows, key, [F.desc_nulls_last(time), F.to_json(F.struct(*rows.columns))], 1, "__place", "__total").drop("__place", "__total")
 
 
-def technical(candidates: DataFrame, pages: DataFrame, inspections: DataFrame, routes: DataFrame) -> DataFrame:
+def technical(candidates: DataFrame, pages: DataFrame, inspections: DataFrame, search_property: str | None = None) -> DataFrame:
     """OP-5..8: page and inspection evidence by exact URL, ordered next checks, and what stays unknown.
 
-    `pages` are crawl metadata rows of complete reads (url, status, title, canonical, robots, x_robots_tag),
-    `inspections` (url, verdict, google_canonical, user_canonical), `routes` (url, indexing) the wanted policy.
+    `pages` are whole reads that were ok (url, final_url, status, canonical, robots, x_robots_tag, collected_at),
+    `inspections` (url, property, verdict, google_canonical, user_canonical, collected_at); of several the last counts,
+    and with `search_property` only inspections of that property. A missing canonical or verdict is a difference. Columns
+    of `organic_association`, where `candidates` has them, tell what stays unknown of analytics.
     """
-    p = pages.select("url", "status", "title", F.col("canonical").alias("page_canonical"), (X.mentions_noindex(F.concat_ws(",", "robots")) | X.mentions_noindex(F.col("x_robots_tag"))).alias("noindex"), F.lit(True).alias("read")).dropDuplicates(["url"])
-    i = inspections.select("url", "verdict", "google_canonical", "user_canonical", F.lit(True).alias("inspected")).dropDuplicates(["url"])
-    rows = candidates.withColumnRenamed("page", "url").join(p, "url", "left").join(i, "url", "left").join(routes.select("url", "indexing"), "url", "left")
+    p = latest(pages.select("url", "final_url", "status", "canonical", "robots", "x_robots_tag", "collected_at"), ["url"])
+    noindex = F.coalesce(X.mentions_noindex(F.concat_ws(",", "robots")), F.lit(False)) | F.coalesce(X.mentions_noindex(F.col("x_robots_tag")), F.lit(False))
+    off = ~F.col("canonical").eqNullSafe(F.col("url")) | ~F.col("status").eqNullSafe(F.lit(200)) | ~F.col("final_url").eqNullSafe(F.col("url")) | noindex
+    p = p.select("url", "status", "final_url", F.col("canonical").alias("page_canonical"), off.alias("off_route"), F.lit(True).alias("read"))
+    i = inspections if search_property is None else inspections.where(F.col("property") == search_property)
+    i = latest(i.select("url", "verdict", "google_canonical", "user_canonical", "collected_at"), ["url"]).select("url", "verdict", "google_canonical", "user_canonical", F.lit(True).alias("inspected"))
+    rows = candidates.withColumnRenamed("page", "url").join(p, "url", "left").join(i, "url", "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
-    wants = F.coalesce(F.col("indexing") == "index", F.lit(False))
-    checks = F.array_compact(F.array(
-        F.when(wants & (F.col("page_canonical") != F.col("url")), "canonical_against_policy"), F.when(wants & (F.col("status") != 200), "status_against_policy"), F.when(wants & has("noindex"), "noindex_against_policy"),
-        F.when(F.col("google_canonical") != F.col("url"), "google_canonical_differs"), F.when(F.col("user_canonical") != F.col("url"), "user_canonical_differs"), F.when(F.col("verdict") != "PASS", "verdict_not_pass"),
-        F.when(~has("read"), "read_page"), F.when(~has("inspected"), "inspect_url")))
-    unknown = F.array_compact(F.array(F.when(~has("read"), "page_not_read"), F.when(~has("inspected"), "not_inspected"), F.when(F.isnull("indexing"), "no_route_policy")))
-    return rows.withColumn("next_checks", checks).withColumn("unknowns", unknown)
+    elsewhere = F.coalesce(F.col("google_canonical") != F.col("url"), F.lit(False)) | F.coalesce(F.col("user_canonical") != F.col("url"), F.lit(False))
+    checks = F.array_compact(F.array(F.when(has("inspected") & ~F.col("verdict").eqNullSafe(F.lit("PASS")), "reconcile_verdict"), F.when(has("inspected") & elsewhere, "check_reported_canonicals"), F.lit("inspect_page_queries"), F.when(has("off_route"), "check_route_policy"),
+        F.when(~has("read"), "read_page"), F.when(~has("inspected"), "inspect_url"), F.lit("validate_events")))
+    unknown = [F.lit("no_page_breakdown"), F.when(~has("read"), "page_not_read"), F.when(~has("inspected"), "not_inspected")]
+    if "path" in rows.columns:
+        unknown[1:1] = [F.when(F.isnull("path"), "no_path_association"), F.when(F.isnull("landing_rows"), "organic_landings_not_observed"), F.when(F.isnull("event_rows"), "organic_events_not_observed")]
+    return rows.withColumn("next_checks", checks).withColumn("unknowns", F.array_compact(F.array(*unknown)))
 
 
 def followups(rows: DataFrame) -> DataFrame:
@@ -109,29 +128,49 @@ def analytics_row_issues(rows: DataFrame, path: Column, arity: int, metrics: int
 
 
 def displayed(breakdowns: DataFrame, most: int = 28) -> DataFrame:
-    """IV-5: the newest dates in ascending order; of other tables the first rows by impressions; omitted counts."""
-    part = Window.partitionBy("page", "breakdown")
+    """IV-5: the newest dates in ascending order; of other tables the first rows in the provider's order; omitted counts.
+
+    The provider's order is `row_no` where the rows have one; else clicks, the order in which it lists rows.
+    """
     newest = F.when(F.col("breakdown") == "date", F.col("value"))
-    rows = breakdowns.withColumn("k", F.row_number().over(part.orderBy(F.desc(newest), F.desc("impressions"), "value"))).withColumn("n", F.count("*").over(part))
-    kept = rows.where(F.col("k") <= most)
+    order = [F.desc(newest), *([F.asc("row_no")] if "row_no" in breakdowns.columns else [F.desc("clicks")]), F.asc("value")]
+    kept = first_of_each(breakdowns, ["page", "breakdown"], order, most, "k", "n")
     place = F.when(F.col("breakdown") == "date", F.least(F.col("n"), F.lit(most)) + 1 - F.col("k")).otherwise(F.col("k"))
     return kept.withColumn("place", place.cast("long")).withColumn("omitted", F.greatest(F.col("n") - most, F.lit(0)).cast("long")).drop("k", "n")
 
 
-def investigate(urls: DataFrame, site: str, facts: DataFrame, landings: DataFrame, events: DataFrame, pages: DataFrame, inspections: DataFrame, most: int = 28) -> DataFrame:
-    """IV-6..10: one brief per URL: totals or their absence, breakdown sizes, page and inspection facts, checks, unknowns."""
+def investigate(urls: DataFrame, site: str, facts: DataFrame, landings: DataFrame, events: DataFrame, pages: DataFrame, inspections: DataFrame, most: int = 28, failed: DataFrame | None = None, unusable: DataFrame | None = None) -> DataFrame:
+    """IV-6..10: one brief per URL: findings, page and inspection facts, ordered next checks, unknowns.
+
+    The breakdowns are aggregated once. `pages` and `inspections` are as in `technical`, with title and description;
+    `failed` (url, source, status, code) are observations that were not ok, `unusable` (url, source, rows) rows that
+    could not be read. `finding` is the statement on the totals, `findings` are all statements.
+    """
+    kinds = ("totals", "query", "device", "country", "date")
     tables = exact_breakdowns(facts, urls.select(F.col("url").alias("page")))
-    totals = tables.where("breakdown = 'totals'").select(F.col("page").alias("url"), "clicks", "impressions", "ctr", "position")
-    sizes = tables.groupBy(F.col("page").alias("url")).agg(F.count_if(F.col("breakdown") == "query").alias("queries"), F.count_if(F.col("breakdown") == "date").alias("dates"))
+    only = F.col("breakdown") == "totals"
+    sums = tables.groupBy(F.col("page").alias("url")).agg(*[F.max(F.when(only, F.col(c))).alias(c) for c in ("clicks", "impressions", "ctr", "position")], *[F.count_if(F.col("breakdown") == k).alias(f"n_{k}") for k in kinds])
     land = landing_evidence(urls, site, landings, events).groupBy("url").agg(F.sum("sessions").alias("retained_sessions"), F.count("event_count").alias("event_rows"))
-    p = pages.select("url", "title", "description", F.array_contains(F.array(X.has_noindex(F.col("robots"), F.col("x_robots_tag"))), True).alias("noindex"), F.lit(True).alias("read")).dropDuplicates(["url"])
-    i = inspections.select("url", "verdict", "google_canonical", "user_canonical").dropDuplicates(["url"])
+    p = latest(pages.select("url", "final_url", "status", "title", "description", "canonical", "robots", "x_robots_tag", "collected_at"), ["url"]).withColumn("read", F.lit(True))
+    i = latest(inspections.select("url", "verdict", "google_canonical", "user_canonical", "collected_at"), ["url"]).drop("collected_at").withColumn("inspected", F.lit(True))
+    none = urls.sparkSession.createDataFrame([], "url string, said array<string>")
+    listed = lambda df, text: none if df is None else df.select("url", text.alias("t")).groupBy("url").agg(F.array_sort(F.collect_list("t")).alias("said"))  # a few observations a URL
+    bad = listed(failed, F.concat("source", F.lit(": "), "status", F.lit("; "), F.coalesce("code", F.lit("pagination incomplete")))).withColumnRenamed("said", "bad")
+    odd = listed(unusable, F.concat("source", F.lit(": "), F.col("rows").cast("string"), F.lit(" unusable rows"))).withColumnRenamed("said", "odd") if unusable is not None else none.withColumnRenamed("said", "odd")
     rows = urls.select("url").distinct().withColumn("path", X.configured_path(F.col("url"), F.lit(site)))
-    for part in (totals, sizes, land, p, i):
+    for part in (sums, land, p, i, bad, odd):
         rows = rows.join(part, "url", "left")
-    finding = F.when(F.col("impressions").isNotNull(), F.concat(F.col("clicks").cast("string"), F.lit(" clicks of "), F.col("impressions").cast("string"), F.lit(" impressions"))).otherwise("no usable totals row")
-    checks = F.array_compact(F.array(F.when(F.col("read") & (F.coalesce("title", F.lit("")) == ""), "missing_title"), F.when(F.col("read") & (F.coalesce("description", F.lit("")) == ""), "missing_description"), F.when(F.col("noindex"), "noindex_directive"),
-        F.when((F.col("verdict") != "PASS") | (F.col("google_canonical") != F.col("user_canonical")), "inspection_concern")))
-    unknowns = F.array_compact(F.array(F.when(F.isnull("impressions"), "no_search_rows"), F.when(F.isnull("path"), "analytics_skipped"), F.when(F.isnull("read"), "page_not_read"), F.when(F.isnull("verdict"), "not_inspected")))
-    rows = rows.withColumn("finding", finding).withColumn("next_checks", checks).withColumn("unknowns", unknowns)
-    return rows.withColumn("status", F.when(F.size("unknowns") > 0, "partial").otherwise("ok"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    finding = F.when(F.col("n_totals") == 1, F.concat(F.col("clicks").cast("string"), F.lit(" clicks of "), F.col("impressions").cast("string"), F.lit(" impressions"))).otherwise("no usable totals row")
+    stated = [F.when(F.col("n_totals") == 1, F.concat(finding, F.lit(", CTR "), text("ctr"), F.lit(", position "), text("position"))), *[F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(f"{k}: "), F.col(f"n_{k}").cast("string"), F.lit(" rows, "), F.least(F.col(f"n_{k}"), F.lit(most)).cast("string"), F.lit(" shown"))) for k in kinds[1:]],
+        F.when(has("read"), F.concat(F.lit("HTTP "), text("status"), F.lit("; title "), text("title"), F.lit("; description "), text("description"), F.lit("; canonical "), text("canonical"), F.lit("; final URL "), text("final_url"))),
+        F.when(has("inspected"), F.concat(F.lit("stored verdict "), text("verdict")))]
+    elsewhere = F.coalesce(F.col("google_canonical") != F.col("url"), F.lit(False)) | F.coalesce(F.col("user_canonical") != F.col("url"), F.lit(False))
+    off = ~F.col("status").eqNullSafe(F.lit(200)) | ~F.col("final_url").eqNullSafe(F.col("url")) | ~F.col("canonical").eqNullSafe(F.col("url")) | F.coalesce(X.has_noindex(F.col("robots"), F.col("x_robots_tag")), F.lit(False))
+    bare = (F.coalesce("title", F.lit("")) == "") | (F.coalesce("description", F.lit("")) == "")
+    checks = F.array_compact(F.array(F.when(has("inspected") & (~F.col("verdict").eqNullSafe(F.lit("PASS")) | elsewhere), "reconcile_stored_state"), F.when(has("read") & off, "check_route_policy"), F.when(has("read") & bare, "missing_title_or_description"),
+        F.lit("review_separate_breakdowns"), F.lit("compare_daily_rows"), F.lit("validate_events")))
+    unknowns = F.concat(F.array_compact(F.array(F.when(F.isnull("path"), "analytics_skipped"), *[F.when(F.coalesce(f"n_{k}", F.lit(0)) == 0, f"search.{k}: no usable rows") for k in kinds], F.when(~has("read"), "page_not_read"), F.when(~has("inspected"), "not_inspected"))), F.coalesce("bad", F.array().cast("array<string>")), F.coalesce("odd", F.array().cast("array<string>")))
+    rows = rows.withColumn("finding", finding).withColumn("findings", F.array_compact(F.array(*stated))).withColumn("next_checks", checks).withColumn("unknowns", unknowns)
+    return rows.withColumnsRenamed({"n_query": "queries", "n_date": "dates"}).withColumn("status", F.when(F.size("unknowns") > 0, "partial").otherwise("ok"))

@@ -37,6 +37,13 @@ SAVED_VALUES = f"""SELECT host, half, keys, name, metric, raw FROM (SELECT host,
 SAVED_PAIRS = f"""SELECT host, name, CASE WHEN name = 'search.totals' THEN 'unavailable' WHEN host = 'localhost' THEN 'incompatible' WHEN name = 'analytics.eventName' AND thresholded THEN 'limited' ELSE 'compared' END AS status
  FROM (SELECT host, bool_or(least < 30) AS thresholded FROM (SELECT host, half, min(u) AS least FROM ({SAVED}) v GROUP BY ALL) m GROUP BY host HAVING count(*) = 2) h, (VALUES ('analytics.eventName'), ('search.query'), ('search.totals')) o(name)"""
 COHORT = f"SELECT page, {METRICS} FROM ({FACTS}) f GROUP BY page HAVING sum(impressions) >= 20 AND sum(clicks) <= 2"
+TECHNICAL = f"""SELECT page AS url, concat_ws(',', CASE WHEN i.k IS NOT NULL AND i.k % 2 <> 0 THEN 'reconcile_verdict' END, CASE WHEN i.k % 3 = 0 THEN 'check_reported_canonicals' END, 'inspect_page_queries',
+  CASE WHEN p.k % 9 = 0 OR p.k % 7 = 0 OR p.k % 5 = 0 OR p.k % 8 = 0 THEN 'check_route_policy' END, CASE WHEN p.k IS NULL THEN 'read_page' END, CASE WHEN i.k IS NULL THEN 'inspect_url' END, 'validate_events') AS next_checks,
+  concat_ws(',', 'no_page_breakdown', CASE WHEN p.k IS NULL THEN 'page_not_read' END, CASE WHEN i.k IS NULL THEN 'not_inspected' END) AS unknowns
+ FROM (SELECT page FROM ({COHORT}) c ORDER BY impressions DESC, clicks, page LIMIT 1000) c LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_type LIKE '%N%') p ON page = 'https://example.com/part/' || p.k
+ LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_type LIKE '%E%') i ON page = 'https://example.com/part/' || i.k"""
+BREAKDOWNS = f"""SELECT page, CASE WHEN grouping(query) = 0 THEN 'query' WHEN grouping(device) = 0 THEN 'device' WHEN grouping(country) = 0 THEN 'country' WHEN grouping(date) = 0 THEN 'date' ELSE 'totals' END AS breakdown,
+  coalesce(query, device, country, CAST(date AS VARCHAR)) AS value, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions FROM ({FACTS}) f GROUP BY GROUPING SETS ((page), (page, query), (page, device), (page, country), (page, date))"""
 ANCHORS = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) - 1 AS pos FROM pages"
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 CRAWLED = "SELECT page_id, url, CASE WHEN page_id % 10 = 7 THEN 404 ELSE 200 END AS status, html FROM pages"
@@ -284,7 +291,7 @@ def compare_summary(spark, sf):
 
 
 def organic_tables(spark, sf):
-    e = A.analytics_events(spark, sf)
+    e = saved(A.analytics_events(spark, sf))  # both tables need sessions
     return R.organic_landings(e, A.HOST), R.organic_landing_events(e, A.HOST)
 
 
@@ -294,9 +301,15 @@ def opportunity_organic(spark, sf):
 
 
 def technical(spark, sf):
-    pages = A.table(spark, sf, "part").select(F.concat(F.lit(f"{A.SITE}part/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 9 == 0, 404).otherwise(200).alias("status"), F.col("p_type").alias("title"), F.lit(f"{A.SITE}part/1").alias("canonical"), F.array(F.lit("robots: index")).alias("robots"), F.lit(None).cast("string").alias("x_robots_tag")).where("status = 200 OR title LIKE '%A%'")
-    seen = pages.where("title LIKE '%E%'").select("url", F.lit("FAIL").alias("verdict"), F.col("url").alias("google_canonical"), F.lit("x").alias("user_canonical"))
-    return O.technical(candidates(spark, sf, 1000), pages, seen, pages.select("url", F.lit("index").alias("indexing")))
+    """Parts as pages, some read twice; a ninth is missing now, and a seventh redirects."""
+    k, url = F.col("p_partkey"), F.concat(F.lit(f"{A.SITE}part/"), F.col("p_partkey").cast("string"))
+    once = A.table(spark, sf, "part").select("p_partkey", "p_type", url.alias("url"))
+    pages = once.select("url", F.when(k % 7 == 0, f"{A.SITE}moved").otherwise(F.col("url")).alias("final_url"), F.when(k % 9 == 0, 404).otherwise(200).alias("status"), F.when(k % 5 != 0, F.col("url")).alias("canonical"), F.array(F.when(k % 8 == 0, "noindex").otherwise("index")).alias("robots"), F.lit(None).cast("string").alias("x_robots_tag"), F.lit("2024-02-02").alias("collected_at"), "p_type")
+    pages = pages.where("p_type LIKE '%N%'")
+    old = pages.withColumn("status", F.lit(500)).withColumn("collected_at", F.lit("2024-02-01"))
+    seen = once.where("p_type LIKE '%E%'").select("url", F.lit(A.SITE).alias("property"), F.when(k % 2 == 0, "PASS").alias("verdict"), F.when(k % 3 == 0, "https://example.com/other").otherwise(F.col("url")).alias("google_canonical"), F.lit(None).cast("string").alias("user_canonical"), F.lit("2024-02-02").alias("collected_at"))
+    other = seen.withColumn("property", F.lit("sc-domain:other")).withColumn("verdict", F.lit("FAIL")).withColumn("collected_at", F.lit("2024-03-01"))
+    return O.technical(candidates(spark, sf, 1000), pages.unionByName(old), seen.unionByName(other), A.SITE)
 
 
 def opportunity_technical(spark, sf):
@@ -314,9 +327,11 @@ def opportunity_unassociated(spark, sf):
 def investigate_pages(spark, sf):
     facts_ = A.search_facts(spark, sf)
     urls = facts_.select(F.col("page").alias("url")).distinct()
-    c = A.crawled(spark, sf)
-    return O.investigate(urls, A.SITE, facts_, *organic_tables(spark, sf), c, c.select("url", F.lit("PASS").alias("verdict"), F.col("url").alias("google_canonical"), F.col("url").alias("user_canonical"))).select(
-        "url", "finding", "queries", "dates", "retained_sessions", F.concat_ws(",", "next_checks").alias("next_checks"), F.concat_ws(",", "unknowns").alias("unknowns"), "status")
+    k = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    pages = urls.select("url", F.col("url").alias("final_url"), F.when(k % 9 == 0, 404).otherwise(200).alias("status"), F.when(k % 4 != 0, "t").alias("title"), F.lit("d").alias("description"), F.when(k % 5 != 0, F.col("url")).alias("canonical"), F.array(F.lit("index")).alias("robots"), F.lit(None).cast("string").alias("x_robots_tag"), F.lit(None).cast("string").alias("collected_at")).where(k % 10 != 0)
+    seen = urls.select("url", F.when(k % 2 == 0, "PASS").alias("verdict"), F.col("url").alias("google_canonical"), F.col("url").alias("user_canonical"), F.lit(None).cast("string").alias("collected_at")).where(k % 3 != 0)
+    out = O.investigate(urls, A.SITE, facts_, *organic_tables(spark, sf), pages, seen)
+    return out.select("url", "finding", "queries", "dates", "retained_sessions", F.concat_ws(",", "next_checks").alias("next_checks"), F.concat_ws(",", "unknowns").alias("unknowns"), "status")
 
 
 def investigate_display(spark, sf):
@@ -324,11 +339,11 @@ def investigate_display(spark, sf):
 
 
 def site_events(spark, sf):
-    return R.event_report(A.analytics_events(spark, sf), A.HOST, A.KEY_EVENTS).withColumn("site", F.lit(A.SITE))
+    return R.event_report(A.raw_events(spark, sf), A.HOST, A.KEY_EVENTS).withColumn("site", F.lit(A.SITE))
 
 
 def config(spark):
-    return spark.range(1).select(F.lit(A.SITE).alias("site"), F.lit(A.HOST).alias("production_host"), F.array(F.lit("signup")).alias("excluded_events"), F.array(F.lit("refund")).alias("success_events"))
+    return spark.range(1).select(F.lit(A.SITE).alias("site"), F.lit(A.HOST).alias("production_host"), F.lit(A.SITE).alias("search_property"), F.lit("properties/1").alias("analytics_property"), F.array(F.lit("signup")).alias("excluded_events"), F.array(F.lit("refund")).alias("success_events"))
 
 
 def assess_top_rows(spark, sf):
@@ -354,10 +369,9 @@ def assess_not_observed(spark, sf):
 def assess_findings(spark, sf):
     s, o, _ = snapshots(spark, sf)
     keys = site_events(spark, sf).groupBy("site").agg(F.array_sort(F.collect_list("event_name")).alias("key_events"), F.lit(True).alias("incomplete"))
-    expected = o.select("site", F.explode(F.array(F.lit("analytics.eventName"), F.lit("search.totals"), F.lit("search.page"))).alias("name")).distinct()
-    latest = o.where("snapshot_id LIKE '%second'").select("site", "name", "status", F.size("pages").alias("n_pages"))
-    out = assess.configured(config(spark), keys).unionByName(assess.expected_reports(expected, latest)).unionByName(assess.provider_incomplete(latest))
-    return out
+    latest = o.where("snapshot_id LIKE 'example.com-second'").select("site", "name", "status", F.size("pages").alias("n_pages"))
+    out = assess.configured(config(spark), keys).unionByName(assess.expected_reports(assess.standard_suite(config(spark)), latest)).unionByName(assess.provider_incomplete(latest))
+    return assess.with_next_checks(out).select("site", "finding", "level", "subject", "value", F.isnotnull("next_check").alias("has_next_check"))
 
 
 def crux_histogram(spark, sf):
@@ -406,7 +420,8 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "opportunity_organic": (opportunity_organic, f"""SELECT page, replace(page, 'https://example.com', '') AS path, l.n AS landing_rows, v.n AS event_rows FROM (SELECT * FROM ({COHORT}) c ORDER BY impressions DESC, clicks, page LIMIT 1000) c
  LEFT JOIN (SELECT landing, count(*) AS n FROM (SELECT DISTINCT landing, source FROM ({EVENTS}) e WHERE {ORG}) x GROUP BY landing) l ON l.landing = replace(page, 'https://example.com', '')
  LEFT JOIN (SELECT landing, count(*) AS n FROM (SELECT DISTINCT landing, source, event_name FROM ({EVENTS}) e WHERE {ORG}) x GROUP BY landing) v ON v.landing = replace(page, 'https://example.com', '')"""),
-    "opportunity_technical": (opportunity_technical, None), "opportunity_followups": (opportunity_followups, None),
+    "opportunity_technical": (opportunity_technical, TECHNICAL),
+    "opportunity_followups": (opportunity_followups, f"SELECT url, unnest(['search_queries_of_page'] || CASE WHEN contains(next_checks, 'read_page') THEN ['page_read'] ELSE [] END || CASE WHEN contains(next_checks, 'inspect_url') THEN ['url_inspection'] ELSE [] END) AS request FROM ({TECHNICAL}) t"),
     "opportunity_unassociated": (opportunity_unassociated, f"SELECT * FROM ({UNASSOCIATED}) u ORDER BY sessions DESC, landing, source LIMIT 10"),
     "page_identity": (page_identity, "SELECT page_id, url, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages"),
     "page_metadata": (page_metadata, None), "page_seo_fields": (lambda s, sf: P.seo_fields(P.observed(A.fetches(s, sf))), None),
@@ -414,7 +429,7 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "page_image_alt": (lambda s, sf: P.image_alt_summary(P.observed(A.fetches(s, sf))).select(F.col("seq").alias("page_id"), "images", "missing", "empty", "meaningful"), "SELECT page_id, CAST(len(regexp_extract_all(html, '<img ')) AS BIGINT) AS images, 0::BIGINT AS missing, 0::BIGINT AS empty, 0::BIGINT AS meaningful FROM pages"),
     "hostname_census": (events(R.hostname_census), f"SELECT host, count(DISTINCT session) AS sessions, count(CASE WHEN event_name = 'view' THEN 1 END) AS views FROM ({EVENTS}) e GROUP BY host"),
     "channel_report": (events(R.channel_report, A.HOST), f"SELECT channel, source, medium, {COUNTS} FROM ({EVENTS}) e WHERE {PROD} GROUP BY ALL"),
-    "event_report": (events(R.event_report, A.HOST, A.KEY_EVENTS), f"SELECT event_name, count(*) AS event_count, count(CASE WHEN event_name IN ('purchase', 'signup') THEN 1 END) AS key_events FROM ({EVENTS}) e WHERE {PROD} GROUP BY event_name"),
+    "event_report": (lambda s, sf: R.event_report(A.raw_events(s, sf), A.HOST, A.KEY_EVENTS), f"SELECT event_name, count(*) AS event_count, count(CASE WHEN event_name IN ('purchase', 'signup') THEN 1 END) AS key_events FROM ({EVENTS}) e WHERE {PROD} GROUP BY event_name"),
     "organic_landings": (events(R.organic_landings, A.HOST), f"SELECT landing, source, {COUNTS} FROM ({EVENTS}) e WHERE {ORG} GROUP BY landing, source"),
     "organic_events": (events(R.organic_events, A.HOST), f"SELECT event_name, count(*) AS event_count FROM ({EVENTS}) e WHERE {ORG} GROUP BY event_name"),
     "organic_landing_events": (events(R.organic_landing_events, A.HOST), f"SELECT landing, source, event_name, count(*) AS event_count FROM ({EVENTS}) e WHERE {ORG} GROUP BY ALL"),
@@ -452,12 +467,21 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
  SELECT 'https://example.com/part/' || start AS start, 'https://example.com/part/' || cur AS final, CASE WHEN list_contains(path, cur) THEN 'loop' ELSE 'observed_destination' END AS termination, CAST(len(path) AS BIGINT) AS hops FROM c WHERE list_contains(path, cur) OR cur NOT IN (SELECT f FROM s)"""),
     "graph_findings": (graph_findings, None), "graph_frontier": (graph_frontier, None), "crawl_replay": (crawl_replay, None), "crawl_coverage": (crawl_coverage, None), "page_table": (page_table, None),
     "inspection_sample": (inspection_sample, "SELECT page_id, url, k AS place, CASE WHEN page_id % 2 = 0 THEN 'PASS' END AS verdict FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS k FROM pages WHERE page_id % 10 <> 7) p WHERE k <= 3"),
-    "investigate_pages": (investigate_pages, None), "investigate_display": (investigate_display, None),
+    "investigate_pages": (investigate_pages, f"""WITH b AS (SELECT page AS url, CAST(split_part(page, '/', 5) AS BIGINT) AS k, max(CASE breakdown WHEN 'totals' THEN clicks END) AS clicks, max(CASE breakdown WHEN 'totals' THEN impressions END) AS impressions, count(*) FILTER (breakdown = 'query') AS queries, count(*) FILTER (breakdown = 'date') AS dates FROM ({BREAKDOWNS}) x GROUP BY page)
+ SELECT url, clicks || ' clicks of ' || impressions || ' impressions' AS finding, queries, dates, CAST(retained_sessions AS BIGINT) AS retained_sessions,
+  concat_ws(',', CASE WHEN k % 3 <> 0 AND k % 2 <> 0 THEN 'reconcile_stored_state' END, CASE WHEN k % 10 <> 0 AND (k % 9 = 0 OR k % 5 = 0) THEN 'check_route_policy' END, CASE WHEN k % 10 <> 0 AND k % 4 = 0 THEN 'missing_title_or_description' END, 'review_separate_breakdowns', 'compare_daily_rows', 'validate_events') AS next_checks,
+  concat_ws(',', CASE WHEN k % 10 = 0 THEN 'page_not_read' END, CASE WHEN k % 3 = 0 THEN 'not_inspected' END) AS unknowns, CASE WHEN k % 10 = 0 OR k % 3 = 0 THEN 'partial' ELSE 'ok' END AS status
+ FROM b LEFT JOIN (SELECT 'https://example.com' || landing AS url, sum(sessions) AS retained_sessions FROM (SELECT landing, source, {COUNTS} FROM ({EVENTS}) e WHERE {ORG} GROUP BY landing, source) l GROUP BY landing) s USING (url)"""),
+    "investigate_display": (investigate_display, f"""SELECT page, breakdown, value, CASE breakdown WHEN 'date' THEN least(n, 5) + 1 - k ELSE k END AS place, greatest(n - 5, 0) AS omitted FROM (SELECT *, row_number() OVER (PARTITION BY page, breakdown ORDER BY CASE breakdown WHEN 'date' THEN value END DESC, clicks DESC, value) AS k, count(*) OVER (PARTITION BY page, breakdown) AS n FROM ({BREAKDOWNS}) b) q WHERE k <= 5"""),
     "assess_top_rows": (assess_top_rows, f"SELECT source, landing, sessions, place, observed, least(observed, 10) AS displayed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sessions DESC, landing) AS place, count(*) OVER (PARTITION BY source) AS observed FROM (SELECT landing, source, {COUNTS} FROM ({EVENTS}) e WHERE {ORG} GROUP BY landing, source) l) q WHERE place <= 10"),
     "assess_other_hosts": (assess_other_hosts, f"SELECT 'https://example.com/' AS site, 'other-hostnames' AS finding, 'fact' AS level, host AS subject, CAST(count(DISTINCT session) AS VARCHAR) AS value FROM ({EVENTS}) e WHERE host <> 'example.com' GROUP BY host"),
     "assess_key_events": (assess_key_events, f"SELECT 'https://example.com/' AS site, CASE event_name WHEN 'signup' THEN 'excluded-key-event' ELSE 'reported-key-event' END AS finding, CASE event_name WHEN 'signup' THEN 'check' ELSE 'fact' END AS level, event_name AS subject, CAST(count(*) AS VARCHAR) AS value FROM ({EVENTS}) e WHERE {PROD} AND event_name IN ('signup', 'purchase') GROUP BY event_name"),
-    "assess_not_observed": (assess_not_observed, f"SELECT 'https://example.com/' AS site, 'success-event-not-observed' AS finding, 'check' AS level, 'refund' AS subject, NULL::VARCHAR AS value UNION ALL SELECT DISTINCT 'https://example.com/', 'configured-event-not-observed', 'check', event_type || '_twice', NULL FROM events WHERE user_id % 5 <> 0"),
-    "assess_findings": (assess_findings, None),
+    "assess_not_observed": (assess_not_observed, f"SELECT 'https://example.com/' AS site, 'success-event-not-observed' AS finding, 'unknown' AS level, 'refund' AS subject, NULL::VARCHAR AS value UNION ALL SELECT DISTINCT 'https://example.com/', 'configured-event-not-observed', 'fact', event_type || '_twice', NULL FROM events WHERE user_id % 5 <> 0"),
+    "assess_findings": (assess_findings, f"""SELECT 'https://example.com/' AS site, finding, level, subject, value, true AS has_next_check FROM (VALUES ('success-events-unverified', 'fact', 'https://example.com/', '1'), ('key-event-metadata-partial', 'unknown', 'https://example.com/', NULL),
+  ('report-unavailable', 'unknown', 'search.totals', NULL), ('report-unavailable', 'unknown', 'search.page', NULL), ('report-unavailable', 'unknown', 'analytics.hostName', NULL), ('report-unavailable', 'unknown', 'analytics.sessionDefaultChannelGroup+sessionSourceMedium', NULL),
+  ('report-unavailable', 'unknown', 'analytics.landingPagePlusQueryString+sessionSource.organic', NULL), ('report-unavailable', 'unknown', 'analytics.eventName.organic', NULL), ('report-unavailable', 'unknown', 'analytics.landingPagePlusQueryString+sessionSource+eventName.organic', NULL),
+  ('provider-incomplete', 'unknown', 'search.totals', 'error')) f(finding, level, subject, value)
+ UNION ALL SELECT 'https://example.com/', 'configured-key-events', 'fact', 'https://example.com/', string_agg(DISTINCT event_type, ',' ORDER BY event_type), true FROM events WHERE user_id % 5 <> 0"""),
     "crux_histogram": (crux_histogram, """SELECT 'https://example.com/' || event_type AS url, 'value' AS metric, b AS bin, low, high, density FROM (SELECT event_type, round(count(CASE WHEN value < 50 THEN 1 END)::DOUBLE / count(*), 6) AS l, round(count(CASE WHEN value >= 200 THEN 1 END)::DOUBLE / count(*), 6) AS h FROM events GROUP BY event_type) e,
  LATERAL (SELECT 0 AS b, '0' AS low, '50' AS high, l AS density UNION ALL SELECT 1, '200', NULL, h) x"""),
     "capture_diff": (capture_diff, "SELECT url, field, CASE WHEN field = 'h1' THEN 'different' ELSE 'equal' END AS result FROM pages, (VALUES ('titles'), ('descriptions'), ('canonicals'), ('robots'), ('h1'), ('json_ld'), ('links'), ('link_texts')) f(field) WHERE page_id % 10 <> 7"),

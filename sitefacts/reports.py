@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
+from .ranks import ranked
 
 ORGANIC = "Organic Search"
+AGGREGATIONS = ("auto", "byPage", "byProperty", "byNewsShowcasePanel")
 
 
 def filter_tree(tree) -> Column:
@@ -47,34 +49,66 @@ def search_metrics() -> list:
             F.round(F.try_divide(F.sum(F.col("position") * F.col("impressions")), impressions), 6).alias("position")]
 
 
-def search_report(facts: DataFrame, dims=(), start=None, end=None, filters=(), search_type=None, data_state=None, aggregation="auto") -> DataFrame:
-    """RP-1..5. With byProperty a search id counts once: its best position and at most one click and impression."""
+def search_report(facts: DataFrame, dims=(), start=None, end=None, filters=(), search_type=None, data_state=None, aggregation="auto", labelled=False) -> DataFrame:
+    """RP-1..5. With byProperty a search id counts once: its best position and at most one click and impression.
+
+    `labelled` adds the label as a column; auto is byPage where pages are asked for, else byProperty in name.
+    """
+    if aggregation not in AGGREGATIONS:
+        raise ValueError(f"unknown aggregation: {aggregation}")
     rows = date_range(facts, start, end) if start else facts
     for column, value in (("type", search_type), ("data_state", data_state)):
         rows = rows.where(F.col(column) == value) if value else rows
     rows = rows.where(filter_groups(filters)) if filters else rows
     if aggregation == "byProperty":
         rows = rows.groupBy("search_id", *dims).agg(F.max("clicks").alias("clicks"), F.max("impressions").alias("impressions"), F.min("position").alias("position"))
-    return rows.groupBy(*dims).agg(*search_metrics())
+    out = rows.groupBy(*dims).agg(*search_metrics())
+    label = ("byPage" if "page" in dims else "byProperty") if aggregation == "auto" else aggregation
+    return out.withColumn("aggregation", F.lit(label)) if labelled else out
 
 
 def page_of(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
-    """RP-6."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """RP-6: rows offset + 1 to offset + limit in the order, by ranks that need no single task; `row_no` tells the place."""
+    return ranked(df, order, "row_no").where((F.col("row_no") > offset) & (F.col("row_no") <= offset + limit))
+
+
+def paginate(df: DataFrame, order: list, limit: int, max_pages: int = 20, start: int = 0) -> DataFrame:
+    """RP-7: the retained rows with page_no (from 0) and row_no (from 1, after `start`)."""
+    kept = page_of(df, order, start, limit * max_pages)
+    return kept.withColumn("row_no", F.col("row_no") - start).withColumn("page_no", F.floor((F.col("row_no") - 1) / limit).cast("long"))
 
 
-def paginate(df: DataFrame, order: list, limit: int, max_pages: int = 20) -> DataFrame:
-    """RP-7: the retained rows with page_no and row_no. Ranks are given to at most limit * max_pages rows."""
-    kept = df.orderBy(*order).limit(limit * max_pages)
-    return kept.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("page_no", F.floor((F.col("row_no") - 1) / limit).cast("long"))
+def pagination_state(df: DataFrame, limit: int, max_pages: int = 20, start: int = 0, provider: str = "search") -> DataFrame:
+    """RP-7: (row_count, pages, retained, exhausted, next_offset, status) of reading `df` page by page.
+
+    A search report is exhausted by a page with fewer rows than `limit`, so it may end with an empty page; an analytics
+    report by having as many rows as its rowCount says.
+    """
+    n = df.agg(F.count("*").alias("row_count")).withColumn("left", F.greatest(F.col("row_count") - start, F.lit(0)))
+    full = F.floor(F.col("left") / limit)
+    pages = full + 1 if provider == "search" else F.greatest(F.ceil(F.col("left") / limit), F.lit(1))
+    out = n.withColumn("pages", F.least(pages, F.lit(max_pages)).cast("long")).withColumn("retained", F.least(F.col("left"), F.lit(limit * max_pages)).cast("long"))
+    done = (F.col("left") < limit * max_pages) if provider == "search" else (F.col("left") <= limit * max_pages)
+    return out.select("row_count", "pages", "retained", done.alias("exhausted"), F.when(~done, F.col("retained") + start).alias("next_offset"), F.when(done, "ok").otherwise("partial").alias("status"))
 
 
-def pagination_state(df: DataFrame, paged: DataFrame) -> DataFrame:
-    """RP-7: rows there are, rows retained, whether exhausted, and where to go on."""
-    a, b = df.agg(F.count("*").alias("row_count")), paged.agg(F.count("*").alias("retained"))
-    out = a.join(b)  # one row each
-    done = F.col("retained") >= F.col("row_count")
-    return out.select("row_count", "retained", done.alias("exhausted"), F.when(~done, F.col("retained")).alias("next_offset"))
+def pagination_of(pages: DataFrame, key: list) -> DataFrame:
+    """RP-7 over saved pages (key, provider, page_no, n_rows, row_limit, row_count): what reading them came to.
+
+    Reading stops at the first page that exhausts the report, has no valid rowCount, or makes no progress: an error after
+    a page is partial.
+    """
+    order = Window.partitionBy(*key).orderBy("page_no")  # at most 20 pages a report
+    search = F.col("provider") == "search"
+    rows = pages.withColumn("offset", F.sum("n_rows").over(order))
+    odd = ~search & F.coalesce((F.col("row_count") < 0) | (F.col("row_count") > X.SAFE), F.lit(True))
+    done = ~odd & F.when(search, F.col("n_rows") < F.col("row_limit")).otherwise(F.col("offset") >= F.col("row_count"))
+    rows = rows.withColumn("error", F.when(odd, "invalid_response").when(~done & (F.col("n_rows") == 0), "no_progress")).withColumn("done", done)
+    rows = rows.withColumn("over", F.coalesce(F.max(F.col("done") | F.isnotnull("error")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).where(~F.col("over"))
+    kept = F.when(F.col("error") != "invalid_response", F.col("n_rows")).when(F.isnull("error"), F.col("n_rows")).otherwise(0)
+    out = rows.groupBy(*key).agg(F.count_if(~F.col("error").eqNullSafe(F.lit("invalid_response"))).alias("pages"), F.sum(kept).alias("retained"), F.bool_or("done").alias("exhausted"), F.max("error").alias("error"))
+    status = F.when(F.isnotnull("error"), F.when(F.col("pages") > 0, "partial").otherwise("error")).when(F.col("exhausted"), "ok").otherwise("partial")
+    return out.withColumn("next_offset", F.when(~F.col("exhausted"), F.col("retained"))).withColumn("status", status)
 
 
 def search_suite(facts: DataFrame, start, end) -> dict:
@@ -165,8 +199,9 @@ def analytics_report(events: DataFrame, dims: list, metrics: dict, ranges: list,
         none = [F.lit(None).cast(out.schema[d].dataType).alias(d) for d in dims]
         extra = [out.groupBy("date_range").agg(*[how[a](m).cast(out.schema[m].dataType).alias(m) for m in metrics]).select(F.lit(a).alias("row_kind"), "date_range", *none, *metrics) for a in aggregations]
         out = reduce(DataFrame.unionByName, extra, out.select(F.lit("row").alias("row_kind"), "date_range", *dims, *metrics))
-    out = out.orderBy(*order) if order else out
-    return out.offset(offset).limit(limit) if limit else out
+    if order and not limit:
+        out = out.orderBy(*order)
+    return page_of(out, order, offset, limit).drop("row_no") if limit and order else out.offset(offset).limit(limit) if limit else out
 
 
 def freshness(reports: DataFrame, zones: DataFrame, days: int = 3) -> DataFrame:
