@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .packing import shared_dir
 from .simhash import components, fingerprint_of, groups, look_up, meetings, named, parts, together
 
@@ -64,6 +65,7 @@ def xxhash_bytes(values):
     return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+@tidy
 def _sketches(size, orders, batches):
     for b in batches:
         for i in range(0, len(b), 500):
@@ -75,6 +77,7 @@ def _sketches(size, orders, batches):
             yield out.assign(fp=out.fp.to_numpy("<u8").view("<i8"))
 
 
+@tidy
 def _sets(size, orders, batches):
     for b in batches:
         for i in range(0, len(b), 100):
@@ -103,6 +106,7 @@ def likely(frame, radius, similarity):
         yield last, kept(last, found)
 
 
+@tidy
 def _plausible(names, radius, similarity, batches):
     """The rows that have a likely partner in their shard."""
     for frame in groups(batches, [*names, "i", "j"]):
@@ -114,6 +118,7 @@ def _plausible(names, radius, similarity, batches):
             yield frame[some]
 
 
+@tidy
 def _forest(names, radius, similarity, batches):
     """Verified links of each pair of parts, a spanning forest of them."""
     for frame in groups(batches, [*names, "i", "j"]):

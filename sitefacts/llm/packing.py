@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .memory import tidy
+
 TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 RUNS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("round", pa.int64()), ("within", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -50,7 +52,7 @@ def shared_dir(spark) -> str:
 
 
 class Words:
-    """Ids of words, kept by a worker process from task to task: two generations of `most` words, the older dropped.
+    """Ids of words, for one task: two generations of `most` words, the older dropped.
 
     A token never spans white space, and none spans a letter and the punctuation after it, so words are encoded
     once each, without it. Words of letters only go many in one string through the bare model, where each ends with
@@ -60,7 +62,7 @@ class Words:
 
     MARK, ENDS, KNOWN_LETTERS = "\x01", ".,;:!?$%&*#()", "ɏ"
 
-    def __init__(self, path, most=200_000):
+    def __init__(self, path, most=300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.path, self.most, self.tok, self.new, self.old = path, most, Tokenizer.from_file(path), {"": b""}, {}
@@ -141,18 +143,14 @@ class Words:
         return list(map(b"".join, found))
 
 
-_words = None
-
-
+@tidy
 def _tokenise(path, end_id, batches):
-    global _words
-    if _words is None or _words.path != path:
-        _words = Words(path)
+    words = Words(path)  # of this task; a worker would keep it beside whatever runs next
     part, used, end = TaskContext.get().partitionId(), {}, struct.pack("<I", end_id)
     for b in batches:
         for first in range(0, b.num_rows, 64):
             some, rows = b.slice(first, 64).to_pydict(), []
-            for doc_id, raw, source in zip(some["doc_id"], _words.texts([t or "" for t in some["text"]]), some["source"]):
+            for doc_id, raw, source in zip(some["doc_id"], words.texts([t or "" for t in some["text"]]), some["source"]):
                 ids = raw + end
                 rows.append((doc_id, source, part, used.get(source, 0), len(ids) // 4, ids))
                 used[source] = used.get(source, 0) + len(ids) // 4
