@@ -1,10 +1,11 @@
-"""Site graph (GR-1..16) over a crawl archive, keyed by run_id. Loops cut their lineage by checkpoint()."""
+"""Site graph (GR-1..16) over a crawl archive, keyed by run_id. Loops cut their lineage by written tables."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
 from . import pages as P
+from .workdir import saved
 
 REDIRECTS = (301, 302, 303, 307, 308)
 # What to do about a finding.
@@ -24,46 +25,99 @@ def edges(crawled: DataFrame, max_links: int = 500) -> DataFrame:
     return links.unionByName(canonical).unionByName(moved)
 
 
-def depths(links: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def depths(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """GR-2: (run_id, url, depth) of every URL reached: a link costs 1, a redirect 0, canonicals are not followed.
 
-    `most` bounds the rounds; nodes that changed in a round alone are followed in the next.
+    Level by level: a level's URLs are settled with all that redirects reach from them, then links lead to the next one.
+    A round writes the URLs that are new in it and reads the settled ones to leave them out, so all rounds together
+    write every URL once.
     """
-    steps = links.where("kind IN ('link', 'redirect') AND to IS NOT NULL").select("run_id", "from", "to", (F.col("kind") == "link").cast("int").alias("cost"))
-    steps = steps.groupBy("run_id", "from", "to").agg(F.min("cost").alias("cost")).checkpoint()
-    known = seeds.select("run_id", "url", F.lit(0).alias("depth")).distinct().checkpoint()
-    fresh = known
-    for _ in range(most):
-        reached = fresh.join(steps, (fresh.run_id == steps.run_id) & (fresh.url == steps["from"])).groupBy(fresh.run_id, F.col("to").alias("url")).agg(F.min(F.col("depth") + F.col("cost")).alias("reached"))
-        fresh = reached.join(known, ["run_id", "url"], "left").where("depth IS NULL OR reached < depth").select("run_id", "url", F.col("reached").alias("depth")).checkpoint()
-        if fresh.isEmpty():
-            return known
-        known = known.unionByName(fresh).groupBy("run_id", "url").agg(F.min("depth").alias("depth")).checkpoint()
-    raise RuntimeError(f"depths still change after {most} rounds")
-
-
-def redirect_chains(links: DataFrame, fetched: DataFrame, most: int = 100) -> DataFrame:
-    """GR-3: from every redirect the first redirect of each target is followed until the chain ends.
-
-    Each chain visits a URL at most once, so at most `most` hops are followed; longer chains are `hop_limit`.
+    steps = saved(links.where("kind IN ('link', 'redirect') AND to IS NOT NULL").groupBy("run_id", "from", "to").agg(F.min((F.col("kind") == "link").cast("int")).alias("cost")))
+    linked, moved = steps.where("cost = 1 AND from <> to").drop("cost"), steps.where("cost = 0 AND from <> to").drop("cost")
+    moves = not moved.isEmpty()
+
+    def after(urls, ways, depth):
+        return urls.join(ways, (urls.run_id == ways.run_id) & (urls.url == ways["from"])).select(urls.run_id, F.col("to").alias("url"), F.lit(depth).alias("depth")).distinct()
+
+    level = saved(seeds.select("run_id", "url", F.lit(0).alias("depth")).distinct())
+    settled, depth = level, 0
+    while True:
+        fresh = level
+        while moves:
+            fresh = saved(after(fresh, moved, depth).join(settled, ["run_id", "url"], "left_anti"))
+            if fresh.isEmpty():
+                break
+            settled, level = settled.unionByName(fresh), level.unionByName(fresh)
+        depth += 1
+        level = saved(after(level, linked, depth).join(settled, ["run_id", "url"], "left_anti"))
+        if level.isEmpty():
+            return settled
+        settled = settled.unionByName(level)
+
+
+def _doubled(nodes: DataFrame, most: int, paths: bool):
+    """(done, live) of nodes (run_id, node, jump, hops, final, termination[, path]) after every node looked at least `most`
+    hops ahead. A jump doubles each round; one that meets an end is done. A null jump is an end."""
+    done, live, span = [nodes.where("jump IS NULL")], saved(nodes.where("jump IS NOT NULL")), 1
+    while span < most and not live.isEmpty():
+        known = live
+        for part in done:
+            known = known.unionByName(part)
+        there = known.select("run_id", F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("hops").alias("more"), F.col("final").alias("f"), F.col("termination").alias("t"), *([F.col("path").alias("rest")] if paths else []))
+        met = live.join(there, ["run_id", "jump"])
+        met = saved(met.select("run_id", "node", F.col("further").alias("jump"), (F.col("hops") + F.col("more")).alias("hops"), F.col("f").alias("final"), F.col("t").alias("termination"), *([F.concat("path", "rest").alias("path")] if paths else [])))
+        done, live, span = [*done, met.where("jump IS NULL")], met.where("jump IS NOT NULL"), span * 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out, live
+
+
+def redirect_chains(links: DataFrame, fetched: DataFrame, paths: bool = False) -> DataFrame:
+    """GR-3: from every redirect the first redirect of each target is followed until the chain ends: (run_id, start, final,
+    termination, hops), and with `paths` the URLs from start to final.
+
+    Jumps double, so a chain of n hops takes log2(n) rounds. What is left after as many hops as there are redirects
+    leads into a loop: the URLs that jumps end in then are those on loops, whose least URL names the loop.
     """
-    moved = links.where("kind = 'redirect'").groupBy("run_id", F.col("from")).agg(F.min_by("to", F.struct("seq", "pos", "to")).alias("to"))
-    step = moved.select("run_id", F.col("from").alias("at"), F.struct(F.col("to").alias("to")).alias("next")).checkpoint()
-    here = fetched.select("run_id", F.col("url").alias("at"), F.lit(True).alias("seen")).distinct()
-    live = moved.select("run_id", F.col("from").alias("start"), F.array("from").alias("path"), F.col("to").alias("at"))
-    done = None
-    for hop in range(most + 1):
-        met = live.join(step, ["run_id", "at"], "left").join(here, ["run_id", "at"], "left")
-        end = F.when(F.isnull("at"), "invalid_target").when(F.array_contains("path", F.col("at")), "loop").when(~X.same_origin(F.col("start"), F.col("at")), "outside_origin")
-        end = end.when(F.isnull("next"), F.when(F.col("seen"), "observed_destination").otherwise("unfetched"))
-        end = end.when(F.lit(hop == most), "hop_limit")
-        met = met.withColumn("termination", end).checkpoint()
-        over = met.where("termination IS NOT NULL").select("run_id", "start", F.when(F.isnull("at"), F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.col("at").alias("final"), "termination")
-        done = over if done is None else done.unionByName(over)
-        live = met.where("termination IS NULL").select("run_id", "start", F.concat("path", F.array("at")).alias("path"), F.col("next.to").alias("at"))
-        if live.isEmpty():
-            break
-    return done.withColumn("hops", (F.size("path") - F.when(F.isnull("final"), 0).otherwise(1)).cast("long"))
+    first = links.where("kind = 'redirect'").groupBy("run_id", F.col("from").alias("node")).agg(F.min_by("to", F.struct("seq", "pos", "to")).alias("to"))
+    first = saved(first)
+    here = fetched.select("run_id", F.col("url").alias("to"), F.lit(True).alias("seen")).distinct()
+    on = first.select("run_id", F.col("node").alias("to"), F.lit(True).alias("moves"))
+    met = first.join(on, ["run_id", "to"], "left").join(here, ["run_id", "to"], "left")
+    end = F.when(F.isnull("to"), "invalid_target").when(~F.coalesce(X.same_origin(F.col("node"), F.col("to")), F.lit(False)), "outside_origin").when(F.isnull("moves"), F.when(F.col("seen"), "observed_destination").otherwise("unfetched"))
+    kind = [F.array("node").alias("path")] if paths else []
+    nodes = saved(met.select("run_id", "node", F.when(F.isnull(end), F.col("to")).alias("jump"), F.lit(1).cast("long").alias("hops"), F.when(F.isnotnull(end), F.col("to")).alias("final"), end.alias("termination"), *kind))
+    done, live = _doubled(nodes, nodes.count(), paths)
+    out = done.withColumn("path", F.when(F.isnull("final"), F.col("path")).otherwise(F.concat("path", F.array("final")))) if paths else done
+    if not live.isEmpty():
+        out = out.unionByName(_loops(nodes, live, paths))
+    return out.select("run_id", F.col("node").alias("start"), "final", "termination", "hops", *(["path"] if paths else []))
+
+
+def _loops(nodes: DataFrame, live: DataFrame, paths: bool) -> DataFrame:
+    """Rows of `redirect_chains` for the starts that lead into a loop; `hops` counts the way to it and once around."""
+    ring = saved(live.select("run_id", F.col("jump").alias("node")).distinct())
+    kind, none = ([F.array("node").alias("path")] if paths else []), F.lit(None).cast("string")
+    step = saved(ring.join(nodes, ["run_id", "node"]).select("run_id", "node", "jump", F.col("node").alias("leader")))
+    jumps, span, size = step, 1, ring.count()
+    while span < size:  # the least URL within reach, which doubles
+        there = jumps.select("run_id", F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("leader").alias("theirs"))
+        jumps = saved(jumps.join(there, ["run_id", "jump"]).select("run_id", "node", F.col("further").alias("jump"), F.least("leader", "theirs").alias("leader")))
+        span *= 2
+    led = jumps.select("run_id", "node", "leader")
+    length = led.groupBy("run_id", "leader").agg(F.count("*").alias("around"))
+    ends = led.select("run_id", "node", none.alias("jump"), F.lit(0).cast("long").alias("hops"), F.col("node").alias("final"), F.lit("loop").alias("termination"), *([F.array().cast("array<string>").alias("path")] if paths else []))
+    tails = nodes.join(live.select("run_id", "node"), ["run_id", "node"], "left_semi").join(ring, ["run_id", "node"], "left_anti")
+    done, _ = _doubled(saved(ends.unionByName(tails)), nodes.count() + 1, paths)
+    out = done.join(led.withColumnRenamed("node", "final"), ["run_id", "final"]).join(length, ["run_id", "leader"])
+    if paths:  # the loop once, from its leader on, turned to begin where a start enters it
+        to_lead = led.join(step.drop("leader"), ["run_id", "node"]).select("run_id", "node", F.when(F.col("node") != F.col("leader"), F.col("jump")).alias("jump"), F.when(F.col("node") != F.col("leader"), 1).otherwise(0).cast("long").alias("hops"), none.alias("final"), none.alias("termination"))
+        far = _doubled(saved(to_lead), size + 1, False)[0].select("run_id", "node", "hops")
+        rings = led.join(far, ["run_id", "node"]).groupBy("run_id", "leader").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("o"), "node"))), lambda x: x.node).alias("ring"))
+        at = F.array_position("ring", F.col("final")).cast("int")
+        out = out.join(rings, ["run_id", "leader"]).withColumn("path", F.concat("path", F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1), F.array("final")))
+    return out.select("run_id", "node", none.alias("jump"), (F.col("hops") + F.col("around")).alias("hops"), "final", "termination", *(["path"] if paths else []))
 
 
 def incoming(links: DataFrame) -> DataFrame:
@@ -127,7 +181,7 @@ def crawl_replay(crawled: DataFrame, links: DataFrame, seeds: DataFrame, max_pag
         used = new.select("run_id").distinct().withColumn("used", F.lit(0).cast("long")) if taken is None else taken.groupBy("run_id").agg(F.max("place").alias("used"))
         fine = new.where("reason IS NULL").join(used, "run_id", "left").withColumn("place", F.row_number().over(order) + F.coalesce("used", F.lit(0))).checkpoint()
         got = fine.where(F.col("place") <= max_pages).select("run_id", "url", "depth", "hop", "place").checkpoint()
-        rest = new.where("reason IS NOT NULL").select("run_id", "url", "reason").unionByName(fine.where(F.col("place") > max_pages).select("run_id", "url", F.lit("page_limit").alias("reason")))
+        rest = new.where("reason IS NOT NULL").select("run_id", "url", "reason", "rank").unionByName(fine.where(F.col("place") > max_pages).select("run_id", "url", F.lit("page_limit").alias("reason"), "rank"))
         taken, left = (got, rest) if taken is None else (taken.unionByName(got).checkpoint(), left.unionByName(rest).checkpoint())
         met = got.join(ways, (got.run_id == ways.run_id) & (got.url == ways["from"])).drop(ways.run_id).join(sites, "run_id")
         link = F.col("kind") == "link"
@@ -136,19 +190,18 @@ def crawl_replay(crawled: DataFrame, links: DataFrame, seeds: DataFrame, max_pag
             break
     halt = taken.join(stopped, ["run_id", "url"]).groupBy("run_id").agg(F.min("place").alias("halt"))
     rows = taken.join(halt, "run_id", "left").withColumn("reason", F.when(F.col("place") > F.col("halt"), "rate_limited")).drop("halt")
-    others = left.join(taken.select("run_id", "url"), ["run_id", "url"], "left_anti").groupBy("run_id", "url").agg(F.min("reason").alias("reason"))
+    others = left.join(taken.select("run_id", "url"), ["run_id", "url"], "left_anti").groupBy("run_id", "url").agg(F.min_by("reason", "rank").alias("reason"))  # the first
     none = F.lit(None)
     return rows.select("run_id", "url", "depth", "hop", "place", "reason").unionByName(others.select("run_id", "url", none.cast("int").alias("depth"), none.cast("int").alias("hop"), none.cast("long").alias("place"), "reason"))
 
 
 def crawl_coverage(replay: DataFrame, crawled: DataFrame) -> DataFrame:
-    """GR-14: pages fetched, reasons against others, and whether nothing was left out."""
+    """GR-14: pages fetched, URLs skipped, and whether nothing was left out: any skip makes a crawl incomplete."""
     fetched = replay.where("place IS NOT NULL AND reason IS NULL").join(crawled.select("run_id", "url", F.lit(True).alias("stored")).distinct(), ["run_id", "url"], "left")
     a = fetched.groupBy("run_id").agg(F.count("*").alias("pages"), F.count_if(F.isnull("stored")).alias("not_in_archive"))
-    limits = ["page_limit", "depth_limit", "redirect_limit", "rate_limited", "robots_error"]
-    b = replay.where("reason IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("skipped"), F.count_if(F.col("reason").isin(*limits)).alias("limited"))
-    out = a.join(b, "run_id", "full").select("run_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "not_in_archive", "skipped", "limited")])
-    return out.withColumn("complete", (F.col("limited") == 0) & (F.col("not_in_archive") == 0))
+    b = replay.where("reason IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("skipped"))
+    out = a.join(b, "run_id", "full").select("run_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "not_in_archive", "skipped")])
+    return out.withColumn("complete", (F.col("skipped") == 0) & (F.col("not_in_archive") == 0))
 
 
 def page_table(crawled: DataFrame, depth: DataFrame, verdicts: DataFrame) -> DataFrame:

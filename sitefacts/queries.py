@@ -187,15 +187,15 @@ def inventory(spark, sf):
 
 
 def site_graph(spark, sf):
-    c = A.crawled(spark, sf)
-    return c, graph.edges(c)
+    c = saved(A.crawled(spark, sf))  # every page is parsed once
+    return c, saved(graph.edges(c))
 
 
 def graph_findings(spark, sf):
     c, links = site_graph(spark, sf)
     seeds = c.where("seq = 0").select("run_id", "url")
     listed = c.where("seq % 2 = 0").select("run_id", "url")
-    chains = graph.redirect_chains(links, c)
+    chains = graph.redirect_chains(links, c, paths=True)
     return graph.findings(c, links, chains, listed, seeds).select("url", "kind", "evidence")
 
 

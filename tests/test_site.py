@@ -104,7 +104,7 @@ def test_graph_depths_chains_and_findings(spark):
     pages_ = frame(spark, [("r", u("a"), 200, True, "t", None, None, ["robots: noindex"], None), ("r", u("c"), 404, False, None, None, None, None, None), ("r", u("z"), 200, True, "t", "d", u("y"), None, None)],
         "run_id string, url string, status int, parsed boolean, title string, description string, canonical string, robots array<string>, x_robots_tag string")
     both = frame(spark, [("r", u("c")), ("r", u("z"))], "run_id string, url string")
-    kinds = {(r.url[-1], r.kind) for r in graph.findings(pages_, links, graph.redirect_chains(links, pages_).limit(0), both, both.limit(0)).collect()}
+    kinds = {(r.url[-1], r.kind) for r in graph.findings(pages_, links, graph.redirect_chains(links, pages_, paths=True).limit(0), both, both.limit(0)).collect()}
     assert kinds == {("a", "missing_html_metadata"), ("a", "noindex_directive"), ("c", "http_error"), ("z", "canonical_difference"), ("z", "no_incoming_link_observed")}
     seeds = frame(spark, [("r", u(""), u("a"))], "run_id string, site string, url string")
     replay = {r.url: (r.depth, r.place, r.reason) for r in graph.crawl_replay(pages_, links, seeds, max_pages=2).collect()}
