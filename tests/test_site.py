@@ -64,7 +64,7 @@ def test_robots_groups_ties_and_status(spark):
     assert got["down", "/", "A"] == (False, "*", "/") and got["gone", "/", "A"] == (True, None, None)
     assert {(r.line, r.issue) for r in robots.robots_issues(rows).where("origin = 'o'").collect()} == {(1, "rule_before_user_agent"), (11, "missing_colon"), (12, "empty_user_agent"), (13, "empty_sitemap")}
     assert [r.sitemap for r in robots.robots_sitemaps(rows).collect()] == ["/s.xml"]
-    assert {(r.path, r.bytes, r.warning) for r in robots.llms_presence(files).collect()} == {("/llms.txt", 2, None), ("/llms-full.txt", None, "unavailable_or_too_large")}
+    assert {(r.path, r.bytes, r.warning) for r in robots.llms_presence(files).collect()} == {("/llms.txt", 2, None), ("/llms-full.txt", None, None)}
 
 
 PAGE = """<head><title> A &amp; B</title><base href="/sub/"><meta content="d1" name="Description"><meta name=description content="d2"><link rel=canonical href="c?x#f"><link rel="canonical" href="">
