@@ -20,7 +20,8 @@ import unicodedata
 import uuid
 import zlib
 from fractions import Fraction
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ def shared_dir(spark) -> str:
 
 
 class Words:
-    """Ids of words, for one task: two generations of `most` words, the older dropped.
+    """Ids of words: two generations of `most` words within a task, the older dropped; `forget` leaves a worker process the
+    tokenizers and the words that came first, which are mostly the frequent ones.
 
     A token never spans white space, and none spans a letter and the punctuation after it, so words are encoded
     once each, without it. Words of letters only go many in one string through the bare model, where each ends with
@@ -128,6 +130,9 @@ class Words:
         for w, parts in zip(words, split):
             self.new[w] = b"".join([self.new[p] for p in parts])
 
+    def forget(self, most=100_000):
+        self.new, self.old = dict(islice(self.new.items(), most)), {}
+
     def texts(self, texts):
         if not self.by_word:
             return [np.array(self.ids(t), "<u4").tobytes() for t in texts]
@@ -143,9 +148,14 @@ class Words:
         return list(map(b"".join, found))
 
 
+@lru_cache(maxsize=1)
+def _loaded(path):
+    return Words(path)
+
+
 @tidy
 def _tokenise(path, end_id, batches):
-    words = Words(path)  # of this task; a worker would keep it beside whatever runs next
+    words = _loaded(path)
     part, used, end = TaskContext.get().partitionId(), {}, struct.pack("<I", end_id)
     for b in batches:
         for first in range(0, b.num_rows, 64):
@@ -155,6 +165,7 @@ def _tokenise(path, end_id, batches):
                 rows.append((doc_id, source, part, used.get(source, 0), len(ids) // 4, ids))
                 used[source] = used.get(source, 0) + len(ids) // 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TOKENS.types)], schema=TOKENS)
+    words.forget()
 
 
 def round_of(j, weight, total, window):
