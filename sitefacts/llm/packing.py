@@ -82,6 +82,8 @@ class Words:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def parts(self, word):
+        if word.isascii() and word.isalpha():
+            return (word.lower(),)
         core = word.rstrip(self.ENDS)
         if len(core) == len(word) or not core or not core[-1].isalpha():
             return (word.lower() if word.isascii() else self.lowered(word),)
@@ -102,10 +104,12 @@ class Words:
     def encode(self, parts):
         out, plain, rest = {}, [], []
         for p in parts:
-            if self.MARK in p:
+            if p.isascii() and p.isalpha() or self.plain(p):
+                plain.append(p)
+            elif self.MARK in p:
                 out[p] = np.array(self.ids(p), "<u4").tobytes()
             else:
-                (plain if self.plain(p) else rest).append(p)
+                rest.append(p)
         for some, ids in self.joined(self.bare, plain, " "):
             raw, low = ids.tobytes(), 0
             for w, cut in zip(some, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
@@ -128,7 +132,7 @@ class Words:
         fresh = {p for parts in split for p in parts}.difference(self.new)
         self.new.update(self.encode(list(fresh)))
         for w, parts in zip(words, split):
-            self.new[w] = b"".join([self.new[p] for p in parts])
+            self.new[w] = self.new[parts[0]] if len(parts) == 1 else b"".join([self.new[p] for p in parts])
 
     def forget(self, most=100_000):
         self.new, self.old = dict(islice(self.new.items(), most)), {}
@@ -158,8 +162,8 @@ def _tokenise(path, end_id, batches):
     words = _loaded(path)
     part, used, end = TaskContext.get().partitionId(), {}, struct.pack("<I", end_id)
     for b in batches:
-        for first in range(0, b.num_rows, 64):
-            some, rows = b.slice(first, 64).to_pydict(), []
+        for first in range(0, b.num_rows, 128):
+            some, rows = b.slice(first, 128).to_pydict(), []
             for doc_id, raw, source in zip(some["doc_id"], words.texts([t or "" for t in some["text"]]), some["source"]):
                 ids = raw + end
                 rows.append((doc_id, source, part, used.get(source, 0), len(ids) // 4, ids))
@@ -216,8 +220,8 @@ def _pieces(layouts, window, batches):
 def _runs(window, batches):
     """A row for every round in which a document gives tokens; weights come with the rows."""
     for b in batches:
-        for first in range(0, b.num_rows, 64):
-            some, rows = b.slice(first, 64).to_pydict(), []
+        for first in range(0, b.num_rows, 128):
+            some, rows = b.slice(first, 128).to_pydict(), []
             for doc_id, source, at, n, ids, weight, total, tokens, late in zip(*(some[c] for c in ("doc_id", "source", "first", "n", "ids", "weight", "total", "tokens", "late"))):
                 j, end, weight, total = at, at + n, int(weight), int(total)
                 while j < end:
