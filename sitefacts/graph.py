@@ -1,4 +1,4 @@
-"""Site graph (GR-1..16) over a crawl archive, keyed by run_id. Loops cut their lineage by written tables."""
+"""Site graph (GR-1..11, GR-15, GR-16) over a crawl archive, keyed by run_id. Loops cut their lineage by written tables."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,67 +143,6 @@ def findings(crawled: DataFrame, links: DataFrame, chains: DataFrame, sitemap: D
     return out.unionByName(rows(chains.withColumnRenamed("start", "url"), "redirect_chain", "path", "termination"))
 
 
-def frontier(discovered: DataFrame, max_depth: int = 3, max_hops: int = 5, include_query: bool = False) -> DataFrame:
-    """GR-12: one row per (run_id, url) with the first reason against fetching it, or null.
-
-    `discovered` is (run_id, site, url, depth, hop, seed, robots_error, rate_limited, allowed). A permitted
-    discovery clears what others of the same URL were rejected for.
-    """
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    reason = F.when(~F.coalesce(X.same_origin(F.col("site"), F.col("url")), F.lit(False)), "outside_origin").when(flag("robots_error"), "robots_error").when(flag("rate_limited"), "rate_limited")
-    reason = reason.when(~F.coalesce(F.col("allowed"), F.lit(True)), "robots_disallow").when(F.col("hop") > max_hops, "redirect_limit")
-    reason = reason.when(F.contains("url", F.lit("?")) & ~flag("seed") & F.lit(not include_query), "query_not_selected").when(F.col("depth") > max_depth, "depth_limit")
-    rows = discovered.withColumn("reason", reason)
-    best = F.min_by(F.struct("reason", "depth", "hop"), F.struct(F.col("reason").isNotNull(), "depth", "hop"))
-    return rows.groupBy("run_id", "url").agg(best.alias("b")).select("run_id", "url", "b.reason", "b.depth", "b.hop")
-
-
-def crawl_replay(crawled: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int = 20, max_depth: int = 3, max_hops: int = 5, include_query: bool = False) -> DataFrame:
-    """GR-13: (run_id, url, depth, hop, place, reason): the archive fetched anew, first come first served.
-
-    Seeds are (run_id, site, url). A round fetches what the last one found, in order of parents and edges; URLs
-    without a place are `page_limit`. A first answer 429 leaves the rest `rate_limited`.
-    """
-    nofollow = crawled.withColumn("nf", X.has_nofollow(F.col("robots"), F.col("x_robots_tag"))).select("run_id", F.col("url").alias("from"), "nf")
-    ways = links.where("kind IN ('link', 'redirect') AND to IS NOT NULL").join(nofollow, ["run_id", "from"], "left")
-    ways = ways.where((F.col("kind") == "redirect") | ~(F.coalesce("nf", F.lit(False)) | F.coalesce(F.col("rel").rlike(r"(?i)\bnofollow\b"), F.lit(False))))
-    ways = ways.select("run_id", F.col("from"), "to", "kind", "pos").checkpoint()
-    stopped = crawled.where("status = 429").select("run_id", F.lit(True).alias("limited"), "url")
-    found = seeds.select("run_id", "site", "url", F.lit(0).alias("depth"), F.lit(0).alias("hop"), F.lit(True).alias("seed"), F.row_number().over(Window.partitionBy("run_id").orderBy("url")).cast("long").alias("rank"))
-    sites, taken, left = seeds.groupBy("run_id").agg(F.min("site").alias("site")), None, None
-    order = Window.partitionBy("run_id").orderBy("rank")
-    for _ in range(max_pages * (max_hops + 1)):
-        judged = frontier(found.withColumn("robots_error", F.lit(False)).withColumn("rate_limited", F.lit(False)).withColumn("allowed", F.lit(True)), max_depth, max_hops, include_query)
-        ranks = found.groupBy("run_id", "url").agg(F.min("rank").alias("rank"))
-        new = judged.join(ranks, ["run_id", "url"])
-        if taken is not None:
-            new = new.join(taken.select("run_id", "url"), ["run_id", "url"], "left_anti")
-        used = new.select("run_id").distinct().withColumn("used", F.lit(0).cast("long")) if taken is None else taken.groupBy("run_id").agg(F.max("place").alias("used"))
-        fine = new.where("reason IS NULL").join(used, "run_id", "left").withColumn("place", F.row_number().over(order) + F.coalesce("used", F.lit(0))).checkpoint()
-        got = fine.where(F.col("place") <= max_pages).select("run_id", "url", "depth", "hop", "place").checkpoint()
-        rest = new.where("reason IS NOT NULL").select("run_id", "url", "reason", "rank").unionByName(fine.where(F.col("place") > max_pages).select("run_id", "url", F.lit("page_limit").alias("reason"), "rank"))
-        taken, left = (got, rest) if taken is None else (taken.unionByName(got).checkpoint(), left.unionByName(rest).checkpoint())
-        met = got.join(ways, (got.run_id == ways.run_id) & (got.url == ways["from"])).drop(ways.run_id).join(sites, "run_id")
-        link = F.col("kind") == "link"
-        found = met.select("run_id", "site", F.col("to").alias("url"), (F.col("depth") + link.cast("int")).alias("depth"), F.when(link, 0).otherwise(F.col("hop") + 1).alias("hop"), F.lit(False).alias("seed"), (F.col("place") * 100_000 + F.col("pos")).alias("rank")).checkpoint()
-        if found.isEmpty():
-            break
-    halt = taken.join(stopped, ["run_id", "url"]).groupBy("run_id").agg(F.min("place").alias("halt"))
-    rows = taken.join(halt, "run_id", "left").withColumn("reason", F.when(F.col("place") > F.col("halt"), "rate_limited")).drop("halt")
-    others = left.join(taken.select("run_id", "url"), ["run_id", "url"], "left_anti").groupBy("run_id", "url").agg(F.min_by("reason", "rank").alias("reason"))  # the first
-    none = F.lit(None)
-    return rows.select("run_id", "url", "depth", "hop", "place", "reason").unionByName(others.select("run_id", "url", none.cast("int").alias("depth"), none.cast("int").alias("hop"), none.cast("long").alias("place"), "reason"))
-
-
-def crawl_coverage(replay: DataFrame, crawled: DataFrame) -> DataFrame:
-    """GR-14: pages fetched, URLs skipped, and whether nothing was left out: any skip makes a crawl incomplete."""
-    fetched = replay.where("place IS NOT NULL AND reason IS NULL").join(crawled.select("run_id", "url", F.lit(True).alias("stored")).distinct(), ["run_id", "url"], "left")
-    a = fetched.groupBy("run_id").agg(F.count("*").alias("pages"), F.count_if(F.isnull("stored")).alias("not_in_archive"))
-    b = replay.where("reason IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("skipped"))
-    out = a.join(b, "run_id", "full").select("run_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "not_in_archive", "skipped")])
-    return out.withColumn("complete", (F.col("skipped") == 0) & (F.col("not_in_archive") == 0))
-
-
 def page_table(crawled: DataFrame, depth: DataFrame, verdicts: DataFrame) -> DataFrame:
     """GR-15: pages with their depth and robots verdict; `verdicts` is robots_verdicts for one agent."""
     rows = crawled.withColumn("origin", X.origin(F.col("url"))).withColumn("path", X.path_query(F.col("url")))

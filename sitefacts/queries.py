@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import adapters as A
-from . import assess, compare, evidence, graph, robots, sitemaps, speed
+from . import assess, compare, crawl, evidence, graph, robots, sitemaps, speed
 from . import functions as X
 from . import opportunities as O
 from . import pages as P
@@ -215,21 +215,43 @@ def redirect_chains(spark, sf):
 
 def graph_frontier(spark, sf):
     found = A.part_links(spark, sf).select("run_id", F.lit(A.SITE).alias("site"), F.col("to").alias("url"), F.col("pos").cast("int").alias("depth"), F.when(F.col("kind") == "redirect", 6).otherwise(0).alias("hop"), F.lit(False).alias("seed"), F.lit(False).alias("robots_error"), F.lit(False).alias("rate_limited"), (F.col("seq") % 5 > 0).alias("allowed"))
-    return graph.frontier(found).select("url", "reason", "depth", "hop")
-
-
-def replay(spark, sf):
-    links = A.part_links(spark, sf)
-    part = A.table(spark, sf, "part").select(F.lit("run").alias("run_id"), F.concat(F.lit(f"{A.SITE}part/"), F.col("p_partkey").cast("string")).alias("url"), F.lit(200).alias("status"), F.array().cast("array<string>").alias("robots"), F.lit(None).cast("string").alias("x_robots_tag"))
-    return graph.crawl_replay(part, links, first_part(spark).withColumn("site", F.lit(A.SITE))), part
+    return crawl.frontier(found).select("url", "reason", "depth", "hop")
 
 
 def crawl_replay(spark, sf):
-    return replay(spark, sf)[0]
+    """The graph of parts, whose robots file forbids every part ending in 7, with a sitemap of every fiftieth part."""
+    links, at = A.part_links(spark, sf), F.concat(F.lit(f"{A.SITE}part/"), F.col("p_partkey").cast("string"))
+    part = A.table(spark, sf, "part").select(F.lit("run").alias("run_id"), at.alias("url"), F.lit(200).alias("status"), F.array().cast("array<string>").alias("robots"), F.lit(None).cast("string").alias("x_robots_tag"), "p_partkey")
+    seeds = first_part(spark).withColumn("site", F.lit(A.SITE))
+    files = spark.range(1).select(F.lit(A.SITE.rstrip("/")).alias("origin"), F.lit("/robots.txt").alias("path"), F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /part/*7$").alias("body"))
+    denied, blocked = crawl.robots_policy(seeds.select("run_id", "site"), part.select("run_id", "url"), files, "Sitefacts")
+    listed = part.where("p_partkey % 50 = 0").select("run_id", "url", F.col("p_partkey").alias("pos"))
+    return crawl.replay(part, links, seeds, listed, denied, blocked)[0]
+
+
+def crawled_sites(spark, sf):
+    """Every host of the pages crawled from its first page, with its robots file and its sitemaps."""
+    c = A.crawled(spark, sf).withColumn("url", F.regexp_replace("url", "#.*$", "")).withColumn("run_id", X.origin(F.col("url")))
+    c = saved(c)
+    links = saved(graph.edges(c))
+    seeds = c.groupBy("run_id").agg(F.min_by("url", "seq").alias("url")).withColumn("site", F.concat("run_id", F.lit("/")))
+    docs, files = A.sitemap_docs(spark, sf), A.robots_files(spark, sf)
+    listed, visits = sitemaps.crawl_sitemaps(docs.where("url LIKE '%/sitemap.xml'").select(F.col("url").alias("root")), docs)
+    run = F.regexp_replace("root", r"/sitemap\.xml$", "").alias("run_id")
+    listed = saved(listed.select(run, "url", "pos"))
+    urls = links.select("run_id", F.col("to").alias("url")).unionByName(seeds.select("run_id", "url")).unionByName(listed.select("run_id", "url")).where("url IS NOT NULL").distinct()
+    denied, blocked = crawl.robots_policy(seeds.select("run_id", "site"), urls, files, "Sitefacts")
+    wrong = F.size(F.filter("steps", lambda s: s.error.isNotNull())) + F.col("omitted_documents") + F.col("omitted_urls")
+    faults = visits.select(run, wrong.cast("long").alias("faults")).unionByName(robots.robots_issues(robots.lines(files)).groupBy(F.col("origin").alias("run_id")).agg(F.count("*").alias("faults")))
+    return (*crawl.replay(c, links, seeds, listed, denied, blocked), c, faults)
+
+
+def crawl_sites(spark, sf):
+    return crawled_sites(spark, sf)[0]
 
 
 def crawl_coverage(spark, sf):
-    return graph.crawl_coverage(*replay(spark, sf))
+    return crawl.coverage(*crawled_sites(spark, sf))
 
 
 def page_table(spark, sf):
@@ -465,7 +487,7 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "graph_depths": (graph_depths, f"WITH RECURSIVE e AS (SELECT f, t, min(cost) AS cost FROM ({EDGES}) x GROUP BY f, t), d AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT e.t, d.depth + e.cost FROM d JOIN e ON e.f = d.n WHERE d.depth + e.cost <= 12) SELECT 'https://example.com/part/' || n AS url, CAST(min(depth) AS INT) AS depth FROM d GROUP BY n"),
     "redirect_chains": (redirect_chains, f"""WITH RECURSIVE s AS ({STEP}), c AS (SELECT f AS start, [f] AS path, t AS cur FROM s UNION ALL SELECT c.start, list_append(c.path, c.cur), s.t FROM c JOIN s ON s.f = c.cur WHERE NOT list_contains(c.path, c.cur))
  SELECT 'https://example.com/part/' || start AS start, 'https://example.com/part/' || cur AS final, CASE WHEN list_contains(path, cur) THEN 'loop' ELSE 'observed_destination' END AS termination, CAST(len(path) AS BIGINT) AS hops FROM c WHERE list_contains(path, cur) OR cur NOT IN (SELECT f FROM s)"""),
-    "graph_findings": (graph_findings, None), "graph_frontier": (graph_frontier, None), "crawl_replay": (crawl_replay, None), "crawl_coverage": (crawl_coverage, None), "page_table": (page_table, None),
+    "graph_findings": (graph_findings, None), "graph_frontier": (graph_frontier, None), "crawl_replay": (crawl_replay, None), "crawl_sites": (crawl_sites, None), "crawl_coverage": (crawl_coverage, None), "page_table": (page_table, None),
     "inspection_sample": (inspection_sample, "SELECT page_id, url, k AS place, CASE WHEN page_id % 2 = 0 THEN 'PASS' END AS verdict FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS k FROM pages WHERE page_id % 10 <> 7) p WHERE k <= 3"),
     "investigate_pages": (investigate_pages, f"""WITH b AS (SELECT page AS url, CAST(split_part(page, '/', 5) AS BIGINT) AS k, max(CASE breakdown WHEN 'totals' THEN clicks END) AS clicks, max(CASE breakdown WHEN 'totals' THEN impressions END) AS impressions, count(*) FILTER (breakdown = 'query') AS queries, count(*) FILTER (breakdown = 'date') AS dates FROM ({BREAKDOWNS}) x GROUP BY page)
  SELECT url, clicks || ' clicks of ' || impressions || ' impressions' AS finding, queries, dates, CAST(retained_sessions AS BIGINT) AS retained_sessions,

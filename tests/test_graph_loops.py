@@ -57,9 +57,3 @@ def test_random_redirects_and_depths(spark, seed):
     seeds = spark.createDataFrame([("r", names[0]), ("r", names[1]), ("r", names[1])], "run_id string, url string")
     assert {r.url: r.depth for r in graph.depths(df, seeds).collect()} == want
     assert graph.depths(df.limit(0), seeds).count() == 2 and graph.redirect_chains(df.limit(0), seeds).count() == 0
-
-
-def test_any_skip_makes_a_crawl_incomplete(spark):
-    crawled = spark.createDataFrame([("r", url("a")), ("q", url("a"))], "run_id string, url string")
-    replay = spark.createDataFrame([("r", url("a"), 1, None), ("r", "https://other.example/", None, "outside_origin"), ("q", url("a"), 1, None)], "run_id string, url string, place long, reason string")
-    assert {r.run_id: r.complete for r in graph.crawl_coverage(replay, crawled).collect()} == {"r": False, "q": True}

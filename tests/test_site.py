@@ -106,9 +106,6 @@ def test_graph_depths_chains_and_findings(spark):
     both = frame(spark, [("r", u("c")), ("r", u("z"))], "run_id string, url string")
     kinds = {(r.url[-1], r.kind) for r in graph.findings(pages_, links, graph.redirect_chains(links, pages_, paths=True).limit(0), both, both.limit(0)).collect()}
     assert kinds == {("a", "missing_html_metadata"), ("a", "noindex_directive"), ("c", "http_error"), ("z", "canonical_difference"), ("z", "no_incoming_link_observed")}
-    seeds = frame(spark, [("r", u(""), u("a"))], "run_id string, site string, url string")
-    replay = {r.url: (r.depth, r.place, r.reason) for r in graph.crawl_replay(pages_, links, seeds, max_pages=2).collect()}
-    assert replay == {u("a"): (0, 1, None), u("b"): (0, 2, None), u("c"): (None, None, "page_limit")}
 
 
 def test_sessions_do_not_depend_on_hours(spark):
