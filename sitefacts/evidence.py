@@ -146,15 +146,6 @@ def provider_selection(config: DataFrame) -> DataFrame:
     return config.select("site", F.col("search_property").isNotNull().alias("search"), F.col("analytics_property").isNotNull().alias("analytics"), F.col("sitemap").isNotNull().alias("sitemap"))
 
 
-def build_snapshot(site: str, parts: dict) -> DataFrame:
-    """EV-7: named observations of one site from the outputs of other operators, each row as JSON."""
-    out = None
-    for name, df in parts.items():
-        rows = df.select(F.lit(site).alias("site"), F.lit(name).alias("name"), F.to_json(F.struct(*df.columns)).alias("row"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def scope_rows(v: Column, dropped=(), defaults=None) -> Column:
     """Sorted (path, value) of a VARIANT object's fields, values as canonical JSON; `dropped` names fall out."""
     m = get(v, "$", "map<string,variant>")

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from . import adapters as A
-from . import assess, compare, crawl, evidence, graph, robots, sitemaps, speed
+from . import assess, compare, crawl, evidence, graph, realtime, robots, sitemaps, snapshot, speed
 from . import functions as X
 from . import opportunities as O
 from . import pages as P
 from . import reports as R
+from .ranks import first_of_each
 from .workdir import saved, shared_dir
 
 START, END = "1995-01-01", "2001-12-31"
@@ -125,13 +126,17 @@ def realtime_two_ranges(spark, sf):
 
 
 def realtime_sliding(spark, sf):
-    """The events as a stream, read to their end; windows that the watermark has not closed stay open."""
+    """The events as a stream, read to their end: every window with an event, those still open included."""
     path = f"{sf}/events.parquet"
     s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events.parquet", "event[s].parquet"))
-    s = s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event_name"))
     out = shared_dir(spark)
-    R.realtime_stream(s).writeStream.format("parquet").option("checkpointLocation", shared_dir(spark)).option("path", out).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    realtime.realtime_table(s.select("ts", F.col("event_type").alias("event_name")), out, shared_dir(spark)).awaitTermination()
+    return realtime.windows(spark, out)
+
+
+def realtime_ordered(spark, sf):
+    now = A.raw_events(spark, sf).agg(F.max("ts").cast("string")).first()[0]
+    return R.realtime_report(A.raw_events(spark, sf), now, [("wide", 59, 0)], ["event_name", "user_id"], order=[F.desc("event_count"), "event_name", "user_id"], limit=25)
 
 
 def freshness_check(spark, sf):
@@ -270,6 +275,67 @@ def snapshots(spark, sf):
     return evidence.split_snapshots(A.snapshot_documents(spark, sf))
 
 
+def assembled(spark, sf):
+    """Snapshots from operators' outputs: the search suite, both hosts' January of events, and each origin of the pages
+    with its sitemap and up to ten configured pages."""
+    at = [F.lit("2024-03-01T00:00:00Z").cast("timestamp").alias("started_at"), F.lit("2024-03-01T00:01:00Z").cast("timestamp").alias("finished_at")]
+    day = lambda d: F.lit(d).cast("date")
+    none = F.array().cast("array<string>")
+    january = [day("2024-01-01").alias("start_date"), day("2024-01-31").alias("end_date")]
+
+    found, asked = saved(A.search_facts(spark, sf)), spark.range(1).select(F.lit("example.com-search").alias("snapshot_id"), F.lit(A.SITE).alias("target"), day(START).alias("start_date"), day(END).alias("end_date"), *at)
+    suite = [[], ["page"], ["query"], ["date"]]
+    name = lambda provider, dims: F.concat(F.lit(f"{provider}."), F.lit("+".join(dims) or "totals"))
+    texts = lambda dims: F.array(*[F.col(d).cast("string") for d in dims]).cast("array<string>")
+    rows = [R.search_report(found, d, START, END).select(F.lit("example.com-search").alias("snapshot_id"), name("search", d).alias("name"), texts(d).alias("keys"), "clicks", "impressions", "ctr", "position") for d in suite]
+    wanted = [asked.select("*", name("search", d).alias("name"), F.array(*map(F.lit, d)).cast("array<string>").alias("dims"), F.lit("byPage" if "page" in d else "byProperty").alias("aggregation")) for d in suite]
+    search = snapshot.search_observations(every(wanted), every(rows), size=1000)
+
+    e = A.raw_events(spark, sf).where(F.col("ts").between("2024-01-01", "2024-01-31T23:59:59.999999")).withColumn("snapshot_id", F.concat("host", F.lit("-january")))
+    hosts = e.groupBy("snapshot_id", "host").agg(F.lit(False).alias("thresholded"))
+    types = F.array(F.lit("TYPE_INTEGER"), F.lit("TYPE_INTEGER"))
+    wanted = [hosts.select("snapshot_id", name("analytics", [n for n, _ in d]).alias("name"), F.lit("properties/1").alias("target"), F.array(*[F.lit(n) for n, _ in d]).cast("array<string>").alias("dims"), F.array(F.lit("eventCount"), F.lit("totalUsers")).alias("metrics"), types.alias("metric_types"),
+        F.lit("UTC").alias("time_zone"), F.lit("USD").alias("currency"), "thresholded", F.lit(None).cast("string").alias("filter"), *january, *at) for d in ([], [("eventName", "event_name")])]
+    rows = [e.groupBy("snapshot_id", *[c for _, c in d]).agg(F.array(F.count("*").cast("string"), F.count_distinct("user_id").cast("string")).alias("raw")).select("snapshot_id", name("analytics", [n for n, _ in d]).alias("name"), texts([c for _, c in d]).alias("keys"), "raw") for d in ([], [("eventName", "event_name")])]
+    analytics = snapshot.analytics_observations(every(wanted), every(rows), size=2)
+
+    urls = A.table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("seq")).withColumn("origin", X.origin(F.col("url")))
+    listed = saved(first_of_each(urls, ["origin"], ["seq"], 10).select("origin", "url", "seq"))
+    read = A.crawled(spark, sf).drop("url").join(listed, "seq").select(F.col("origin").alias("snapshot_id"), *at, "url", "status", "title", "description", "canonical", "sha256")
+    page = snapshot.single(read, "web", "page", F.concat(F.lit("page:"), "url"), F.col("url"), F.struct("url"), F.struct("status", "title", "description", "canonical", "sha256"), F.when(F.col("status") >= 400, "error").otherwise("ok"), F.col("status"))
+    maps = sitemaps.sitemap_coverage(inventory(spark, sf)).select(X.origin(F.col("root")).alias("snapshot_id"), *at, "root", "documents", "urls", "complete")
+    sitemap = snapshot.single(maps, "web", "sitemap-inventory", F.lit("web.sitemap"), F.col("root"), F.struct(F.col("root").alias("url")), F.struct("documents", "urls", "complete"), F.when(F.col("complete"), "ok").otherwise("partial"))
+
+    text = lambda v: F.lit(v).cast("string")
+    site = lambda df, url, pages, s, a, m, dates: df.select("snapshot_id", url.alias("site"), pages.alias("pages"), s.alias("search_property"), a.alias("analytics_property"), m.alias("sitemap"), none.alias("success_events"), none.alias("caveats"), *dates)
+    sites = [site(asked, F.lit(A.SITE), none, text("sc-domain:example.com"), text(None), text(None), ["start_date", "end_date"]),
+             site(hosts, F.concat(F.lit("https://"), "host", F.lit("/")), none, text(None), text("properties/1"), text(None), january),
+             site(listed.groupBy(F.col("origin").alias("snapshot_id")).agg(F.array_sort(F.collect_list("url")).alias("urls")), F.concat("snapshot_id", F.lit("/")), F.col("urls"), text(None), text(None), F.concat("snapshot_id", F.lit("/sitemap.xml")), january)]
+    return snapshot.build_snapshot(every(sites), saved(every([search, analytics, page, sitemap])))
+
+
+def every(parts):
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def snapshot_assembly(spark, sf):
+    """The assembled snapshots read back as saved evidence, with whether each report can be compared."""
+    s, o, _ = evidence.split_snapshots(saved(assembled(spark, sf)[0]))
+    pages = saved(evidence.report_pages(o))
+    broken = evidence.report_violations(pages, s).select("snapshot_id", F.col("observation").alias("name")).distinct().withColumn("broken", F.lit(True))
+    rows = o.join(broken, ["snapshot_id", "name"], "left")
+    return rows.select("snapshot_id", "name", "provider", "status", F.size("pages").alias("pages"), F.col("pagination.rowsReturned").alias("rows_returned"), F.col("pagination.nextOffset").alias("next_offset"), F.col("error.code").alias("error_code"), ((F.col("operation") == "report") & F.isnull("broken")).alias("usable"))
+
+
+def snapshot_values(spark, sf):
+    """What a comparison reads from the assembled snapshots: every number of the reports that can be used."""
+    s, o, _ = evidence.split_snapshots(saved(assembled(spark, sf)[0]))
+    return evidence.normalize_reports(o, s).select("snapshot_id", F.col("observation").alias("name"), F.concat_ws("|", "keys").alias("keys"), "metric", F.round(F.col("raw").cast("double"), 6).alias("value"))
+
+
 def evidence_rollup(spark, sf):
     return evidence.rollup(snapshots(spark, sf)[1]).select("snapshot_id", "status", "observations")
 
@@ -460,7 +526,10 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
  SELECT 'row' AS row_kind, 'all' AS date_range, event_name, event_count FROM q UNION ALL SELECT 'total', 'all', NULL, CAST(sum(event_count) AS BIGINT) FROM q UNION ALL SELECT 'minimum', 'all', NULL, min(event_count) FROM q UNION ALL SELECT 'maximum', 'all', NULL, max(event_count) FROM q UNION ALL SELECT 'count', 'all', NULL, count(*) FROM q"""),
     "analytics_having_order": (analytics_having_order, "SELECT 'all' AS date_range, user_id, count(*) AS event_count FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-01' AND '2024-01-31' GROUP BY user_id HAVING count(*) >= 5 ORDER BY event_count DESC, user_id LIMIT 20"),
     "realtime_two_ranges": (realtime_two_ranges, "WITH n AS (SELECT max(ts) AS now FROM events), a AS (SELECT event_type AS event_name, floor(date_diff('microsecond', ts, now) / 60000000) AS ago FROM events, n) SELECT r.minute_range, event_name, count(*) AS event_count FROM a JOIN (VALUES ('near', 29), ('wide', 59)) r(minute_range, far) ON ago BETWEEN 0 AND far GROUP BY ALL"),
-    "realtime_sliding": (realtime_sliding, None), "freshness_check": (freshness_check, None),
+    "realtime_sliding": (realtime_sliding, """SELECT m - to_minutes(i) AS window_start, m - to_minutes(i) + INTERVAL 30 MINUTE AS window_end, event_name, CAST(sum(n) AS BIGINT) AS event_count, m - to_minutes(i) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS closed
+ FROM (SELECT date_trunc('minute', ts) AS m, event_type AS event_name, count(*) AS n FROM events GROUP BY ALL) e, range(30) r(i) GROUP BY ALL"""),
+    "realtime_ordered": (realtime_ordered, "SELECT * FROM (SELECT 'wide' AS minute_range, event_type AS event_name, user_id, count(*) AS event_count, row_number() OVER (ORDER BY count(*) DESC, event_type, user_id) AS row_no FROM events WHERE floor(date_diff('microsecond', ts, (SELECT max(ts) FROM events)) / 60000000) <= 59 GROUP BY event_type, user_id) q WHERE row_no <= 25"),
+    "freshness_check": (freshness_check, None),
     "compare_periods": (changes, f"SELECT b.user_id, b.event_name, 'events' AS metric, CAST(b.n AS VARCHAR) AS before_raw, CAST(a.n AS VARCHAR) AS after_raw, CAST(a.n - b.n AS DOUBLE) AS delta, round(100.0::DOUBLE * (a.n - b.n) / b.n, 6) AS percent FROM ({BEFORE}) b JOIN ({AFTER}) a USING (user_id, event_name)"),
     "compare_only_before": (only(True), f"SELECT user_id, event_name, hour, CAST(n AS VARCHAR) AS raw FROM ({HOURS.format('2024-01-01', '2024-01-15')}) b ANTI JOIN ({HOURS.format('2024-01-15', '2024-01-29')}) a USING (user_id, event_name, hour)"),
     "compare_only_after": (only(False), f"SELECT user_id, event_name, hour, CAST(n AS VARCHAR) AS raw FROM ({HOURS.format('2024-01-15', '2024-01-29')}) b ANTI JOIN ({HOURS.format('2024-01-01', '2024-01-15')}) a USING (user_id, event_name, hour)"),
@@ -469,6 +538,18 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
  FROM (SELECT * FROM ({SAVED_VALUES}) x WHERE half = 'first') b JOIN (SELECT * FROM ({SAVED_VALUES}) y WHERE half = 'second') a USING (host, name, keys, metric) JOIN (SELECT host, name FROM ({SAVED_PAIRS}) p WHERE status IN ('compared', 'limited')) f USING (host, name)"""),
     "compare_summary": (compare_summary, "SELECT 'https://' || host || '/' AS site, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in compare.STATUSES) + f" FROM ({SAVED_PAIRS}) p GROUP BY host"),
     "report_limitations": (report_limitations, f"SELECT host || '-' || half AS snapshot_id, name AS observation, CASE WHEN name = 'analytics.eventName' AND min(u) < 30 THEN 'thresholded' ELSE '' END AS limitations FROM ({SAVED}) v, (VALUES ('analytics.eventName'), ('search.query')) o(name) GROUP BY host, half, name"),
+    "snapshot_assembly": (snapshot_assembly, f"""SELECT 'example.com-search' AS snapshot_id, 'search.' || name AS name, 'search' AS provider, CASE WHEN n < 20000 THEN 'ok' ELSE 'partial' END AS status, CAST(least(n // 1000 + 1, 20) AS INT) AS pages, least(n, 20000) AS rows_returned,
+  CASE WHEN n >= 20000 THEN 20000::BIGINT END AS next_offset, NULL::VARCHAR AS error_code, name <> 'date' AS usable FROM ({' UNION ALL '.join(f"SELECT '{d or 'totals'}' AS name, count(*) AS n FROM ({facts_sql([d] if d else [])}) r" for d in ('', 'page', 'query', 'date'))}) s
+ UNION ALL SELECT host || '-january', name, 'analytics', 'ok', CAST(CASE name WHEN 'analytics.totals' THEN 1 ELSE (n + 1) // 2 END AS INT), CASE name WHEN 'analytics.totals' THEN 1 ELSE n END, NULL, NULL, true
+  FROM (SELECT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host, count(DISTINCT event_type) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-01' AND '2024-01-31' GROUP BY 1) h, (VALUES ('analytics.totals'), ('analytics.eventName')) o(name)
+ UNION ALL SELECT DISTINCT {ORIGIN}, 'web.sitemap', 'web', 'partial', 1, NULL::BIGINT, NULL::BIGINT, NULL, false FROM pages
+ UNION ALL SELECT o, 'page:' || url, 'web', CASE WHEN k % 10 = 7 THEN 'error' ELSE 'ok' END, CASE WHEN k % 10 = 7 THEN 0 ELSE 1 END, NULL, NULL, CASE WHEN k % 10 = 7 THEN 'not_found' END, false
+  FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY k) AS place FROM (SELECT {ORIGIN} AS o, url, min(page_id) AS k FROM pages GROUP BY ALL) u) p WHERE place <= 10"""),
+    "snapshot_values": (snapshot_values, f"""SELECT 'example.com-search' AS snapshot_id, name, keys, metric, round(value, 6) AS value FROM (SELECT 'search.page' AS name, page AS keys, clicks, impressions, ctr, position FROM ({facts_sql(['page'])}) p QUALIFY row_number() OVER (ORDER BY clicks DESC, page) <= 20000
+  UNION ALL SELECT 'search.query', query, clicks, impressions, ctr, position FROM ({facts_sql(['query'])}) q UNION ALL SELECT 'search.totals', '', clicks, impressions, ctr, position FROM ({facts_sql([])}) t) s,
+  LATERAL (VALUES ('clicks', clicks::DOUBLE), ('impressions', impressions::DOUBLE), ('ctr', ctr), ('position', position)) m(metric, value)
+ UNION ALL SELECT host || '-january', name, keys, metric, value FROM (SELECT CASE WHEN user_id % 5 = 0 THEN 'localhost' ELSE 'example.com' END AS host, CASE WHEN grouping(event_type) = 0 THEN 'analytics.eventName' ELSE 'analytics.totals' END AS name, coalesce(event_type, '') AS keys, count(*) AS n, count(DISTINCT user_id) AS u
+   FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-01' AND '2024-01-31' GROUP BY GROUPING SETS ((1), (1, event_type))) e, LATERAL (VALUES ('eventCount', n::DOUBLE), ('totalUsers', u::DOUBLE)) m(metric, value)"""),
     "evidence_rollup": (evidence_rollup, f"SELECT host || '-' || half AS snapshot_id, CASE WHEN count(*) > 0 THEN 'partial' END AS status, 3::BIGINT AS observations FROM ({SAVED}) v GROUP BY host, half"),
     "report_violations": (report_violations, f"SELECT DISTINCT host || '-' || half AS snapshot_id, name AS observation, CASE half WHEN 'first' THEN 'NR-9' ELSE 'NR-1' END AS rule FROM ({SAVED_VALUES}) v WHERE host = 'localhost' AND (half = 'first' OR name = 'search.query')"),
     "normalized_reports": (normalized, f"""SELECT host || '-' || half AS snapshot_id, name AS observation, keys, metric, raw, CASE name WHEN 'search.query' THEN '[{{"path":"aggregation","value":"byProperty"}},{{"path":"time_zone","value":"America/Los_Angeles"}}]'

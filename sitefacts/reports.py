@@ -224,8 +224,11 @@ def observation_name(provider: Column, dims: Column, organic_only: Column) -> Co
     return F.concat(base, F.when(organic_only, F.lit(".organic")).otherwise(F.lit("")))
 
 
-def realtime_report(events: DataFrame, now: str, ranges=(("default", 29, 0),), dims=("event_name",), value: str | None = "value", dim_filter=None, metric_filter=None) -> DataFrame:
-    """RT-1, 3 over a table: events by minutes before `now`; an event counts in every range that holds it."""
+def realtime_report(events: DataFrame, now: str, ranges=(("default", 29, 0),), dims=("event_name",), value: str | None = "value", dim_filter=None, metric_filter=None, order=None, limit: int = 10_000) -> DataFrame:
+    """RT-1, 3 over a table: events by minutes before `now`; an event counts in every range that holds it.
+
+    With `order` the first `limit` rows in it come back with their place `row_no`; there is no offset to read on from.
+    """
     for name, start, end in ranges:
         if not 0 <= end <= start <= 59:
             raise ValueError(f"not a minute range: {name}")
@@ -236,7 +239,8 @@ def realtime_report(events: DataFrame, now: str, ranges=(("default", 29, 0),), d
     ago = F.floor(F.timestamp_diff("SECOND", F.col("ts"), at) / 60)
     held = F.array_compact(F.array(*[F.when(ago.between(e, s), F.lit(n)) for n, s, e in ranges]))
     out = rows.withColumn("minute_range", F.explode(held)).groupBy("minute_range", *dims).agg(F.count("*").alias("event_count"))
-    return out.where(metric_filter) if metric_filter is not None else out
+    out = out.where(metric_filter) if metric_filter is not None else out
+    return page_of(out, order, 0, limit) if order else out
 
 
 def realtime_state(row_count: int, returned: int) -> dict:
