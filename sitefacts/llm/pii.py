@@ -1,12 +1,12 @@
-"""Personal data: exact base patterns, and a semi-Markov model that adds whole spans beside them.
+"""Personal data: exact base patterns, and a semi-Markov conditional random field that adds whole spans beside them.
 
-Base matches follow fixed rules and always stay. Around each further word that holds a digit, a bounded
-dynamic programme over segments of up to `MAX_WORDS` words chooses boundaries and types by whole-span
-weights; a segment without a digit scores below outside, so all other words stay outside. Time is linear in the length of a text. Null text is empty, and
-redact leaves it null. Repeated rows keep their rows, an empty table has none; further columns are ignored by detect
-and kept by redact.
+Base matches follow fixed rules and always stay. Around words with a digit, and after words that announce a secret,
+the model of `spans` chooses boundaries and types (secret, phone, account, birth) of segments that overlap no base
+match; all other words stay outside. Time is linear in the length of a text. Null text is empty, and redact leaves it
+null. Repeated rows keep their rows, an empty table has none; further columns are ignored by detect and kept by redact.
 """
 
+import bisect
 import hashlib
 import re
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spans as S
+
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
@@ -21,8 +23,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"\S+")
-KEYED = re.compile(r"(?i)(?:password|passwd|secret|token|key)\W{1,4}$")
-MAX_WORDS = 6
+ADDED = ["secret", "account", "birth"]
 
 
 def luhn(digits):
@@ -46,15 +47,6 @@ def base_spans(text):
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def span_score(text, a, b, words):
-    """Best (type, score) of a whole candidate span; outside scores 0 a word."""
-    s = text[a:b].strip(".,;:\"'")
-    digits = sum(c.isdigit() for c in s)
-    secret = 4.0 * bool(KEYED.search(text[max(0, a - 12):a] + re.split(r"[0-9a-fA-F]{8,}", text[a:b])[0])) + 2.5 * bool(re.search(r"[0-9a-f]{16,}", s)) - 5 - 3 * (words - 1)
-    phone = 3.0 * (10 <= digits <= 11) + 1.5 * bool(re.fullmatch(r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", s)) - 3.5 - 0.1 * words
-    return max(("secret", secret), ("phone", phone), key=lambda x: x[1])
-
-
 def untouched(words, taken):
     """For each word whether no span overlaps it; both are in order of their starts, so one merge decides."""
     free, i, end = [], 0, 0
@@ -66,55 +58,60 @@ def untouched(words, taken):
     return free
 
 
-def added_spans(text, taken):
+def windows(text):
+    """Stretches of text around hot words: those with a digit, and three words from one that announces a secret on. A
+    window holds a word before and after, and hot words with at most two others between them share it."""
     words = [m.span() for m in WORD.finditer(text)]
-    free = untouched(words, taken)
-    hot = [f and any(c.isdigit() for c in text[a:b]) for (a, b), f in zip(words, free)]
+    hot = [any("0" <= c <= "9" for c in text[a:b]) for a, b in words]
+    low = text.lower()
+    if any(s in low for s in S.STEMS):
+        starts = [a for a, _ in words]
+        for m in S.KEYED.finditer(text):
+            i = bisect.bisect_right(starts, m.start()) - 1
+            hot[i:i + 3] = [True] * len(hot[i:i + 3])
     out, i = [], 0
     while i < len(words):
         if not hot[i]:
             i += 1
             continue
-        low, high = max(0, i - 1), i
-        while high + 1 < len(words) and any(hot[high + 1:high + 3]):
+        high = i
+        while high + 1 < len(words) and any(hot[high + 1:high + 4]):
             high += 1
-        best, back = [0.0] * (high - low + 2), {}
-        for j in range(1, high - low + 2):
-            best[j] = best[j - 1]
-            for n in range(1, min(MAX_WORDS, j) + 1):
-                seg = range(low + j - n, low + j)
-                if all(free[k] for k in seg) and any(hot[k] for k in seg):
-                    kind, v = span_score(text, words[seg[0]][0], words[seg[-1]][1], n)
-                    if best[j - n] + v > best[j]:
-                        best[j], back[j] = best[j - n] + v, (n, kind)
-        j = high - low + 1
-        while j > 0:
-            n, kind = back.get(j, (1, None)) if best[j] != best[j - 1] else (1, None)
-            if kind:
-                out.append((words[low + j - n][0], words[low + j - 1][1], kind))
-            j -= n
-        i = high + 1
+        low_word, high_word = max(0, i - 1), min(len(words) - 1, high + 1)
+        out.append((words[low_word][0], words[high_word][1]))
+        i = high + 2
+    return out
+
+
+def added_spans(text, taken, weights):
+    tokens = [[m.span() for m in S.TOKEN.finditer(text, a, b)] for a, b in windows(text)]
+    free = untouched([t for ts in tokens for t in ts], taken)
+    out, at = [], 0
+    for ts in tokens:
+        out += S.decode(text, ts, free[at:at + len(ts)], weights)
+        at += len(ts)
     return out
 
 
-def find(text):
+def find(text, weights=None):
+    """(base spans, added spans); `weights` are those of spans.fit()."""
     text = text or ""
-    if not any(c in text for c in "0123456789@"):
-        return [], []
-    base = base_spans(text)
-    return base, added_spans(text, base)
+    base = base_spans(text) if any(c in text for c in "0123456789@") else []
+    return base, added_spans(text, base, weights or S.fit())
 
 
 def written(spans):
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda s: (s[0], [*KINDS, "secret"].index(s[2]))))
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda s: (s[0], [*KINDS, *ADDED].index(s[2]))))
 
 
 def detect(docs: DataFrame) -> DataFrame:
+    weights = S.fit()
+
     def run(batches):
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                base, more = find(text)
+                base, more = find(text, weights)
                 n = [sum(k == x[2] for x in base) for k in KINDS]
                 rows.append((doc_id, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(base + more)))
             yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]).astype({"doc_id": "Int64"})
@@ -124,12 +121,14 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows with every found span replaced by its kind in brackets."""
+    weights = S.fit()
+
     @F.pandas_udf("string")
     def masked(text: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
                 return None
-            base, more = find(t)
+            base, more = find(t, weights)
             out, at = [], 0
             for s, e, k in sorted(base + more, key=lambda s: (s[0], -s[1])):
                 if s >= at:
