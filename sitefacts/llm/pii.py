@@ -23,6 +23,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"\S+")
+DIGIT = re.compile(r"[0-9]+")
 ADDED = ["secret", "account", "birth"]
 
 
@@ -61,10 +62,18 @@ def untouched(words, taken):
 def windows(text):
     """Stretches of text around hot words: those with a digit, and three words from one that announces a secret on. A
     window holds a word before and after, and hot words with at most two others between them share it."""
-    words = [m.span() for m in WORD.finditer(text)]
-    hot = [any("0" <= c <= "9" for c in text[a:b]) for a, b in words]
     low = text.lower()
-    if any(s in low for s in S.STEMS):
+    keyed = any(s in low for s in S.STEMS)
+    if not keyed and not DIGIT.search(text):
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    hot = [False] * len(words)
+    i = 0
+    for m in DIGIT.finditer(text):  # runs and words are in order, so one merge decides
+        while words[i][1] <= m.start():
+            i += 1
+        hot[i] = True
+    if keyed:
         starts = [a for a, _ in words]
         for m in S.KEYED.finditer(text):
             i = bisect.bisect_right(starts, m.start()) - 1
