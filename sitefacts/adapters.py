@@ -44,6 +44,16 @@ def fetches(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.lit("run").alias("run_id"), F.col("page_id").alias("seq"), "url", F.when(missing, 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.when(F.col("page_id") % 10 == 3, "noindex").alias("x_robots_tag"), none.alias("location"), F.col("html").alias("body"))
 
 
+def marked_up(spark, sf_dir) -> DataFrame:
+    """The fetches with social cards, alternates, structured data and images of each page before its own html."""
+    n = F.col("seq").cast("string")
+    bodies = [F.lit('<meta property="OG:title" content="Page '), n, F.lit('"><meta property="og:image" content="/a.png"><meta property="og:image" content="/b.png"><meta name="twitter:card" content="summary">'),
+        F.lit('<link rel="alternate" hreflang="de" href="/de/'), n, F.lit('"><link rel="nofollow Alternate" hreflang="x-default" href="http://[bad">'),
+        F.lit('<script type="application/ld+json">{"@id":'), n, F.lit('}</script><script type="application/ld+json">{broken</script>'),
+        F.lit('<noscript><img src="/k.png" alt="picture '), n, F.lit('"></noscript><img src="/i.png" alt=""><img src="/j.png">')]
+    return fetches(spark, sf_dir).withColumn("body", F.concat(*bodies, F.coalesce("body", F.lit(""))))
+
+
 def crawled(spark, sf_dir) -> DataFrame:
     return P.crawl_metadata(P.observed(fetches(spark, sf_dir), html_only=True))
 

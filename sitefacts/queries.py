@@ -159,6 +159,24 @@ def page_anchors(spark, sf):
     return P.anchors(P.observed(A.fetches(spark, sf))).select(F.col("seq").alias("page_id"), "pos", "href", "text")
 
 
+def page_social(spark, sf):
+    seen = saved(P.observed(A.marked_up(spark, sf)))
+    return every([P.social(seen, k) for k in ("og", "twitter")]).select(F.col("seq").alias("page_id"), "property", "content")
+
+
+def page_hreflang(spark, sf):
+    rows = P.hreflang(P.page_metadata(P.observed(A.marked_up(spark, sf))))
+    return rows.select(F.col("seq").alias("page_id"), "lang", "raw", "href", "warning")
+
+
+def page_jsonld(spark, sf):
+    return P.structured_data(P.observed(A.marked_up(spark, sf))).select(F.col("seq").alias("page_id"), "pos", "raw", "valid_json")
+
+
+def page_images(spark, sf):
+    return P.images(P.observed(A.marked_up(spark, sf))).select(F.col("seq").alias("page_id"), "pos", "src", "alt_present", "alt", "in_noscript", "omitted")
+
+
 def robots_of(f):
     return lambda spark, sf: f(robots.lines(A.robots_files(spark, sf)))
 
@@ -515,6 +533,10 @@ QUERIES = {f"search_by_{d}": (facts([d]), facts_sql([d])) for d in ("page", "que
     "page_metadata": (page_metadata, None), "page_seo_fields": (lambda s, sf: P.seo_fields(P.observed(A.fetches(s, sf))), None),
     "page_anchors": (page_anchors, "SELECT page_id, CAST(pos AS INT) AS pos, href, href[2:] AS text FROM (" + ANCHORS + ") a"),
     "page_image_alt": (lambda s, sf: P.image_alt_summary(P.observed(A.fetches(s, sf))).select(F.col("seq").alias("page_id"), "images", "missing", "empty", "meaningful"), "SELECT page_id, CAST(len(regexp_extract_all(html, '<img ')) AS BIGINT) AS images, 0::BIGINT AS missing, 0::BIGINT AS empty, 0::BIGINT AS meaningful FROM pages"),
+    "page_social": (page_social, "SELECT page_id, property, content FROM pages, LATERAL (VALUES ('og:title', 'Page ' || page_id), ('og:image', '/a.png'), ('og:image', '/b.png'), ('twitter:card', 'summary')) m(property, content)"),
+    "page_hreflang": (page_hreflang, f"SELECT page_id, 'de' AS lang, '/de/' || page_id AS raw, {ORIGIN} || '/de/' || page_id AS href, NULL::VARCHAR AS warning FROM pages UNION ALL SELECT page_id, 'x-default', 'http://[bad', NULL, 'alternate_malformed' FROM pages"),
+    "page_jsonld": (page_jsonld, """SELECT page_id, pos, raw, valid_json FROM pages, LATERAL (VALUES (0, '{"@id":' || page_id || '}', true), (1, '{broken', false)) b(pos, raw, valid_json)"""),
+    "page_images": (page_images, "SELECT page_id, pos, src, alt IS NOT NULL AS alt_present, alt, pos = 2 AS in_noscript, 0 AS omitted FROM pages, LATERAL (VALUES (0, '/i.png', ''), (1, '/j.png', NULL), (2, '/k.png', 'picture ' || page_id)) i(pos, src, alt)"),
     "hostname_census": (events(R.hostname_census), f"SELECT host, count(DISTINCT session) AS sessions, count(CASE WHEN event_name = 'view' THEN 1 END) AS views FROM ({EVENTS}) e GROUP BY host"),
     "channel_report": (events(R.channel_report, A.HOST), f"SELECT channel, source, medium, {COUNTS} FROM ({EVENTS}) e WHERE {PROD} GROUP BY ALL"),
     "event_report": (lambda s, sf: R.event_report(A.raw_events(s, sf), A.HOST, A.KEY_EVENTS), f"SELECT event_name, count(*) AS event_count, count(CASE WHEN event_name IN ('purchase', 'signup') THEN 1 END) AS key_events FROM ({EVENTS}) e WHERE {PROD} GROUP BY event_name"),
