@@ -63,10 +63,11 @@ def lab_field(results: DataFrame) -> DataFrame:
 CAPTURE_FIELDS = ["titles", "descriptions", "canonicals", "robots", "h1", "json_ld", "links", "link_texts"]
 
 
-def capture_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """DF-1: for each url and field equal, different or unavailable. Captures are seo_fields rows (url, ..., truncated)."""
-    side = lambda df, p: df.select("url", F.struct(*CAPTURE_FIELDS, "truncated").alias(p))
-    met = side(a, "a").join(side(b, "b"), "url", "full")
+def capture_diff(a: DataFrame, b: DataFrame, key=("url",)) -> DataFrame:
+    """DF-1: for each pair of captures and field equal, different or unavailable. Captures are seo_fields rows (url, ...,
+    truncated). Those with the same `key`, which has the url, are a pair; name more of it where a url was captured twice."""
+    side = lambda df, p: df.select(*key, F.struct(*CAPTURE_FIELDS, "truncated").alias(p))
+    met = side(a, "a").join(side(b, "b"), [*key], "full")
     gone = F.isnull("a") | F.isnull("b") | F.coalesce(F.col("a.truncated") | F.col("b.truncated"), F.lit(False))
     one = lambda f: F.struct(F.lit(f).alias("field"), F.when(gone, "unavailable").when(F.to_json(F.struct(F.col(f"a.{f}"))) == F.to_json(F.struct(F.col(f"b.{f}"))), "equal").otherwise("different").alias("result"))
     return met.select("url", F.explode(F.array(*map(one, CAPTURE_FIELDS))).alias("x")).select("url", "x.field", "x.result")
