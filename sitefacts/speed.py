@@ -73,11 +73,11 @@ def capture_diff(a: DataFrame, b: DataFrame, key=("url",)) -> DataFrame:
     return met.select("url", F.explode(F.array(*map(one, CAPTURE_FIELDS))).alias("x")).select("url", "x.field", "x.result")
 
 
-def document_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """DF-2: status and X-Robots-Tag of two captures of a document."""
-    x, y = a.select("url", F.struct("status", "x_robots_tag").alias("a")), b.select("url", F.struct("status", "x_robots_tag").alias("b"))
+def document_diff(a: DataFrame, b: DataFrame, key=("url",)) -> DataFrame:
+    """DF-2: status and X-Robots-Tag of two captures of a document; `key` as in capture_diff."""
+    x, y = a.select(*key, F.struct("status", "x_robots_tag").alias("a")), b.select(*key, F.struct("status", "x_robots_tag").alias("b"))
     one = lambda f: F.struct(F.lit(f).alias("field"), F.when(F.isnull("a") | F.isnull("b"), "unavailable").when(F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), "equal").otherwise("different").alias("result"))
-    return x.join(y, "url", "full").select("url", F.explode(F.array(one("status"), one("x_robots_tag"))).alias("x")).select("url", "x.field", "x.result")
+    return x.join(y, [*key], "full").select("url", F.explode(F.array(one("status"), one("x_robots_tag"))).alias("x")).select("url", "x.field", "x.result")
 
 
 def target_document(captures: DataFrame) -> DataFrame:

@@ -25,3 +25,7 @@ def same(spark, sf, name):
 
 def test_capture_diff(spark, tmp_path):
     same(spark, twice(spark, tmp_path), "capture_diff")
+
+
+def test_document_diff(spark, tmp_path):
+    same(spark, twice(spark, tmp_path), "document_diff")
