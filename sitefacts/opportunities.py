@@ -99,12 +99,17 @@ def unassociated(landings: DataFrame, shown: DataFrame, site: str, cap: int = 10
 
 
 def exact_breakdowns(facts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """IV-1: totals, query, device, country and date of each page, apart and not joint, in one pass."""
+    """IV-1: totals, query, device, country and date of each page, apart and not joint, in one pass.
+
+    The facts are dealt by page before a row becomes five, so they are shuffled once and every table is summed where its
+    page is.
+    """
     rows = facts if pages is None else facts.join(pages.select("page"), "page", "left_semi")
-    sets = [["page"], ["page", "query"], ["page", "device"], ["page", "country"], ["page", "date"]]
-    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "page", "query", "device", "country", "date").agg(F.grouping_id().alias("g"), *R.search_metrics())
-    kind = F.when(F.col("g") == 15, "totals").when(F.col("g") == 7, "query").when(F.col("g") == 11, "device").when(F.col("g") == 13, "country").otherwise("date")
-    return out.select("page", kind.alias("breakdown"), F.coalesce("query", "device", "country", F.col("date").cast("string")).alias("value"), "clicks", "impressions", "ctr", "position")
+    rows = rows.select("page", "query", "device", "country", "date", "clicks", "impressions", "position").repartition("page")
+    kind = lambda k, value: F.struct(F.lit(k).alias("breakdown"), value.cast("string").alias("value"))
+    tables = [kind("totals", F.lit(None)), *[kind(k, F.col(k)) for k in ("query", "device", "country", "date")]]
+    rows = rows.select("page", F.inline(F.array(*tables)), "clicks", "impressions", "position")
+    return rows.groupBy("page", "breakdown", "value").agg(*R.search_metrics())
 
 
 def landing_evidence(urls: DataFrame, site: str, landings: DataFrame, events: DataFrame) -> DataFrame:
