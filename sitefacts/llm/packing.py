@@ -25,6 +25,7 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +60,13 @@ class Words:
     A token never spans white space, and none spans a letter and the punctuation after it, so words are encoded
     once each, without it. Words of letters only go many in one string through the bare model, where each ends with
     an end-of-word token; others go between marks through the whole tokenizer; words with the mark itself alone.
-    Tokenizers of another kind encode whole texts.
+    Texts are split, their different words found and these words' ids put in place as Arrow columns, so Python handles
+    a word once for all texts of a piece. Tokenizers of another kind encode whole texts.
     """
 
     MARK, ENDS, KNOWN_LETTERS = "\x01", ".,;:!?$%&*#()", "ɏ"
+    # Letters that have one small letter of this kind and are their own normal form.
+    COMMON = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and (c.isascii() or c >= "À") and c != "İ")
 
     def __init__(self, path, most=500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -85,7 +89,7 @@ class Words:
         if word.isascii() and word.isalpha():
             return (word.lower(),)
         core = word.rstrip(self.ENDS)
-        if len(core) == len(word) or not core or not core[-1].isalpha():
+        if len(core) == len(word) or not core or not unicodedata.normalize("NFC", core[-1]).lower()[-1].isalpha():  # a letter may come apart
             return (word.lower() if word.isascii() else self.lowered(word),)
         return (core.lower() if core.isascii() else self.lowered(core), word[len(core):])
 
@@ -138,18 +142,53 @@ class Words:
         self.new, self.old = dict(islice(self.new.items(), most)), {}
 
     def texts(self, texts):
+        return self.column(pa.array(texts, pa.string())).to_pylist()
+
+    def found(self, words, learn):
+        """Ids of an Arrow column of words, each different one looked up or learned once."""
+        words = words.dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.new.get, different))
+        if None in ids:
+            learn([w for w, i in zip(different, ids) if i is None])
+            ids = list(map(self.new.get, different))
+        return pa.array(ids, pa.binary()).take(words.indices)
+
+    def learn_letters(self, missing):
+        """The same as `learn` for words of small common letters."""
+        words = [w for w in missing if w not in self.old]
+        if len(words) < len(missing):
+            self.new.update((w, self.old[w]) for w in missing if w in self.old)
+        for some, ids in self.joined(self.bare, words, " "):
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            self.new.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+
+    def words(self, words):
+        """Ids of an Arrow column of words; common letters and the punctuation after them are looked up apart."""
+        tails = pc.utf8_ltrim(words, characters=self.COMMON)
+        common = pc.and_(pc.equal(pc.utf8_rtrim(tails, characters=self.ENDS), ""), pc.not_equal(tails, words))
+        some, rest = words.filter(common), words.filter(pc.invert(common))
+        letters = self.found(pc.utf8_lower(pc.utf8_rtrim(some, characters=self.ENDS)), self.learn_letters)
+        ids = pc.binary_join_element_wise(letters, self.found(tails.filter(common), self.learn), pa.scalar(b"", pa.binary()))
+        common = common.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([ids, self.found(rest, self.learn)]).take(pa.array(np.where(common, np.cumsum(common), len(some) + np.cumsum(~common)) - 1))
+
+    def column(self, texts, end=b""):
+        """Ids of an Arrow column of texts (null: empty), each with `end` after them, as a binary column."""
+        texts = texts.fill_null("")
         if not self.by_word:
-            return [np.array(self.ids(t), "<u4").tobytes() for t in texts]
+            return pa.array([np.array(self.ids(t), "<u4").tobytes() + end for t in texts.to_pylist()], pa.binary())
         if len(self.new) > self.most:
             self.new, self.old = {"": b""}, self.new
-        split, get = [t.replace("\n", " ").split(" ") for t in texts], self.new.get
-        found = [list(map(get, words)) for words in split]
-        gaps = [[j for j, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
-        self.learn({words[j] for words, at in zip(split, gaps) for j in at})
-        for words, ids, at in zip(split, found, gaps):
-            for j in at:
-                ids[j] = self.new[words[j]]
-        return list(map(b"".join, found))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy()) + np.arange(len(texts))  # places of `end` among all words
+        at = np.full(len(words) + len(texts), len(words.dictionary), np.int32)
+        at[np.delete(np.arange(len(at)), ends)] = words.indices.to_numpy()
+        ids = pa.concat_arrays([self.words(words.dictionary), pa.array([end], pa.binary())]).take(pa.array(at))
+        _, offsets, data = ids.buffers()
+        cuts = np.frombuffer(offsets, np.int32, len(ids) + 1)[np.concatenate([[0], ends + 1])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.tobytes()), data])
 
 
 @lru_cache(maxsize=1)
@@ -157,18 +196,27 @@ def _loaded(path):
     return Words(path)
 
 
+def _by_bytes(b, most=4 << 20):
+    """The rows of a batch in pieces of some `most` bytes of text; a longer text is a piece alone."""
+    ends, first = np.cumsum(pc.binary_length(b["text"]).fill_null(0).to_numpy()), 0
+    while first < b.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, most + (ends[first - 1] if first else 0), "right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
 @tidy
 def _tokenise(path, end_id, batches):
     words = _loaded(path)
     part, used, end = TaskContext.get().partitionId(), {}, struct.pack("<I", end_id)
     for b in batches:
-        for first in range(0, b.num_rows, 128):
-            some, rows = b.slice(first, 128).to_pydict(), []
-            for doc_id, raw, source in zip(some["doc_id"], words.texts([t or "" for t in some["text"]]), some["source"]):
-                ids = raw + end
-                rows.append((doc_id, source, part, used.get(source, 0), len(ids) // 4, ids))
-                used[source] = used.get(source, 0) + len(ids) // 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TOKENS.types)], schema=TOKENS)
+        for some in _by_bytes(b):
+            ids = words.column(some["text"], end)
+            n, at = pc.divide(pc.binary_length(ids), 4).to_pylist(), []
+            for source, m in zip(some["source"].to_pylist(), n):
+                at.append(used.get(source, 0))
+                used[source] = at[-1] + m
+            yield pa.RecordBatch.from_arrays([some["doc_id"], some["source"].cast(pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), ids], schema=TOKENS)
     words.forget()
 
 

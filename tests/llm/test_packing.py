@@ -70,3 +70,38 @@ def test_other_tokenizers_encode_whole_texts():
     from sitefacts.llm import packing
     w = packing.Words(public_tokenizers.path("byte_bpe_50k.json"))
     assert not w.by_word and w.texts(["Hello  world. It's"])[0] == np.array(w.tok.encode("Hello  world. It's", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_word_is_kept_once_for_all_its_capitals_and_punctuation():
+    from sitefacts.llm import packing
+    w = packing.Words(tokenizer())
+    w.texts([f"{c}{e}" for c in ("qatzu", "Qatzu", "QATZU", "qATZU") for e in ("", ".", ",", "!", "?!", "...")])
+    assert len(w.new) == 1 + 6  # the letters and six tails, one of them empty
+
+
+def test_columns_of_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    from sitefacts.llm import packing
+    letters = [chr(i) for i in range(1, 0x250)]
+    odd = [None, "", " ", "\n\n.", "a\x01b \x01 c. \x01.", "x" * 3000 + "!!!", "a" * 70_000, "İi. İ. x\u0958. \ufb1d, ẞß? ﬁ é é. Ǆ ǆ, µ. ª! ́. x́.", "it's. don't'll!! 3.5 a1. 1a. a.b. .a #a# (ab)  a. a .   b."]
+    texts = odd + [f"x{c}. {c}y, {c} {c}. .{c} Q{c}Q!" for c in letters] + [" ".join(f"{c}a{c}?!" for c in letters)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tok, w = Tokenizer.from_file(public_tokenizers.path(name)), packing.Words(public_tokenizers.path(name), most=300)
+        want = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+        for kind in (pa.string(), pa.large_string()):
+            for size in (1, 7, len(texts)):
+                got = [x for i in range(0, len(texts), size) for x in w.column(pa.array(texts, kind).slice(i, size), want[0]).to_pylist()]
+                assert got == want
+            w.forget(100)
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+    from sitefacts.llm import packing
+    texts = [None, "aa", "a" * 50, "", "a", "é" * 4, "a" * 9, None]
+    b = pa.record_batch({"text": pa.array(texts), "doc_id": pa.array(range(len(texts)))})
+    got = [p["text"].to_pylist() for p in packing._by_bytes(b, 10)]
+    assert sum(got, []) == texts and all(got) and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in got)
+    assert [p for b in (b.slice(0, 0), b.slice(2, 3)) for p in map(len, packing._by_bytes(b, 10))] == [1, 2]
