@@ -67,6 +67,19 @@ def search_report(facts: DataFrame, dims=(), start=None, end=None, filters=(), s
     return out.withColumn("aggregation", F.lit(label)) if labelled else out
 
 
+def search_reports(facts: DataFrame, suite: list, start=None, end=None) -> DataFrame:
+    """`search_report` by each list of dimensions of `suite`, all in one pass over the facts: `report` is the place in
+    `suite`, and dimensions that a report does not have are null. Totals have a row without facts, too."""
+    rows = date_range(facts, start, end) if start else facts
+    dims = list(dict.fromkeys(d for ds in suite for d in ds))
+    rows = rows.select(*dims, "clicks", "impressions", "position", F.lit(True).alias("__fact"))
+    rows = rows.unionByName(rows.sparkSession.range(1).select(F.lit(False).alias("__fact")), allowMissingColumns=True)  # only for totals of no facts
+    bits = [sum((d not in ds) << i for i, d in enumerate(reversed(dims))) for ds in suite]
+    out = rows.groupingSets([[F.col(d) for d in ds] for ds in suite], *dims).agg(F.grouping_id().alias("__bits"), *search_metrics(), F.bool_or("__fact").alias("__fact"))
+    report = F.coalesce(*[F.when(F.col("__bits") == b, i) for i, b in enumerate(bits)])
+    return out.where(F.col("__fact") | (F.col("__bits") == (1 << len(dims)) - 1)).select(report.alias("report"), *dims, "clicks", "impressions", "ctr", "position")
+
+
 def page_of(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """RP-6: rows offset + 1 to offset + limit in the order, by ranks that need no single task; `row_no` tells the place."""
     return ranked(df, order, "row_no").where((F.col("row_no") > offset) & (F.col("row_no") <= offset + limit))
